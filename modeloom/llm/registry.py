@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from modeloom.llm.bpe import op5_tree_bpe
+from modeloom.llm.chat import op10_chat
+from modeloom.llm.media import op6_media
 from modeloom.llm.packing import op8_packing
 from modeloom.llm.token_files import op3_token_files
+from modeloom.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op8_packing)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_warc, op5_tree_bpe, op6_media, op8_packing, op10_chat)}
 ORACLE_SQL: dict[str, str] = {}
