@@ -1,0 +1,24 @@
+"""Small dense fixtures, and conversions to and from numpy."""
+
+import numpy as np
+
+from modeloom.tensor import Tensor
+
+
+def from_numpy(spark, array, modes, dense=True):
+    rows = [(*map(int, at), float(v)) for at, v in np.ndenumerate(array)]
+    schema = ", ".join([*[f"{m} long" for m in modes], "v double"])
+    return Tensor(spark.createDataFrame(rows, schema), tuple(modes), "v", dict(zip(modes, array.shape)), dense)
+
+
+def to_numpy(t, shape=None):
+    out = np.zeros(shape or tuple(t.extents.values()))
+    for row in t.df.collect():
+        out[tuple(int(row[m]) for m in t.modes)] = row[t.value]
+    return out
+
+
+def fill(shape, *factors, mod=5, scale=0.5):
+    """((sum of factor * index) % mod + 1) * scale: no symmetry."""
+    grid = np.indices(shape)
+    return (sum(f * g for f, g in zip(factors, grid)) % mod + 1) * scale

@@ -1,0 +1,37 @@
+import pytest
+
+from modeloom.labels import gather, inverse, merge_extents, plan_contraction
+
+
+def test_plan_of_a_permuted_contraction():
+    p = plan_contraction("jik", "kjl", "li")
+    assert (p.contracted, p.free_a, p.free_b, p.canonical) == (("j", "k"), ("i",), ("l",), ("i", "l"))
+    assert (p.perm_a, p.perm_b, p.perm_out) == ((1, 0, 2), (1, 0, 2), (1, 0))
+
+
+def test_default_output_is_canonical():
+    assert plan_contraction("abc", "dcb").out == ("a", "d")
+    assert plan_contraction("ab", "cd").contracted == ()
+    assert plan_contraction("ab", "ba").out == ()
+
+
+def test_permutations():
+    p = gather("xyz", "zxy")
+    assert [("x", "y", "z")[i] for i in p] == ["z", "x", "y"]
+    assert inverse(inverse(p)) == p and [p[i] for i in inverse(p)] == [0, 1, 2]
+
+
+@pytest.mark.parametrize(
+    "a,b,out,said",
+    [("aab", "bc", None, "twice"), ("ab", "bc", "abc", "in both"), ("ab", "bc", "ad", "neither"), ("ab", "bc", "a", "missing"), ("ab", "bc", "aac", "twice")],
+)
+def test_bad_labels(a, b, out, said):
+    with pytest.raises(ValueError, match=said):
+        plan_contraction(a, b, out)
+    assert plan_contraction("ab", "bc", "ca").out == ("c", "a")  # the control
+
+
+def test_extents():
+    assert merge_extents({"a": 2, "b": None}, {"b": 3}) == {"a": 2, "b": 3}
+    with pytest.raises(ValueError, match="extents 2 and 4"):
+        merge_extents({"a": 2}, {"a": 4})
