@@ -5,7 +5,8 @@ letters, digits or other signs with at most one leading space, and white-space r
 A batch of texts is handled as one array of code points; the rules are evaluated with
 numpy on classes of code points, so no Python object is made per piece.  Each piece
 gets a 64-bit polynomial hash, equal pieces of a batch are folded, and only pieces not
-met before are handed to an encoder.  A worker keeps what it has encoded in a bounded
+met before are handed to an encoder.  Code points that Python's Unicode tables do not
+assign count as other signs.  A worker keeps what it has encoded in a bounded
 :class:`PieceCache`; the bound changes speed only, never results.
 """
 
