@@ -11,8 +11,8 @@ time by which all registers are full, about the number of registers times its lo
 points, however long a document is.
 
 Signatures are cut into bands.  In each band's bucket every document is compared with the
-bucket's least one, documents that stay unconnected are compared with all others of their
-bucket in blocks, and every pair is verified on the multisets themselves.
+bucket's least one, and documents that stay unconnected are compared with all others of
+their bucket in blocks.  Both compare the multisets themselves, whole.
 """
 
 from __future__ import annotations
@@ -180,62 +180,104 @@ def banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("v", "sig").where("sig is not null").mapInArrow(work, "key long, v long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (a, b) of doc_ids whose multisets are as similar."""
+def multisets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(v, items) of the documents whose ids are in ``wanted`` (v)."""
 
     def sets(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in text_slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(multisets(*shingles(texts[a:b]), b - a), pa.binary())], ["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(multisets(*shingles(texts[a:b]), b - a), pa.binary())], ["v", "items"])
+
+    texts = texts_of(docs, "doc_id").join(wanted.select(F.col("v").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+    return texts.mapInArrow(sets, "v long, items binary")
+
+
+def verified(items: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose multisets are as similar."""
 
     def compare(batches):
         for batch in batches:
             keep = [weighted_jaccard(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = texts_of(docs, "doc_id").join(ends.hint("shuffle_hash"), "doc_id", "left_semi")
-    items = written(texts.mapInArrow(sets, "doc_id long, items binary"), "multisets")
-    one = pairs.join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-    two = one.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
+    one = pairs.join(items.select(F.col("v").alias("b"), F.col("items").alias("y")), "b")
+    two = one.join(items.select(F.col("v").alias("a"), F.col("items").alias("x")), "a")
     return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def unmet(nodes: DataFrame, bands: DataFrame, joined: DataFrame, estimate: float) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components so far, and whose signatures agree enough.
+def similar(left: list[bytes], right: list[bytes], similarity: float, width: int = 4096) -> np.ndarray:
+    """Whether each pair of multisets is as similar; overlaps are counted by products of 0/1 matrices, some columns at a time."""
+    x, y = ([np.frombuffer(b, np.uint32) for b in side] for side in (left, right))
+    nx, ny = (np.array([len(a) for a in side]) for side in (x, y))
+    ox, oy = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)
+    x, y = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(x, y)
+    both = np.zeros((len(nx), len(ny)), np.float32)
+    if not len(shared):
+        return both > 1
+    places = []
+    for values, owner in ((x, ox), (y, oy)):
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        hit = shared[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], owner[hit][order]))
+    for k in range(0, len(shared), width):
+        parts = []
+        for (at, owner), n in zip(places, (len(nx), len(ny))):
+            a, b = np.searchsorted(at, [k, k + width])
+            part = np.zeros((n, width), np.float32)
+            part[owner[a:b], at[a:b] - k] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return both / np.maximum(nx[:, None] + ny[None, :] - both.astype(np.float64), 1) >= similarity
+
+
+def least_linked(v: np.ndarray, w: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least vertex that each of ``v`` and ``w`` is linked to, directly or in steps."""
+    a, b, most = v.copy(), w.copy(), np.iinfo(np.int64).max
+    while True:
+        a2 = np.minimum(a, np.where(hit, b[None, :], most).min(axis=1))
+        b2 = np.minimum(b, np.where(hit, a2[:, None], most).min(axis=0))
+        if (a2 == a).all() and (b2 == b).all():
+            return a, b
+        a, b = a2, b2
+
+
+def unmet(items: DataFrame, bands: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between documents that share a bucket and lie in different components so far.
 
     In a bucket, the documents outside its most frequent component meet all of its
-    documents; both sides are dealt in blocks, so no task holds a large bucket.
+    documents; both sides are dealt in blocks, so no task holds a large bucket.  A block of
+    pairs is compared in memory, and what it gives is one link per document at most, to the
+    least one that it is linked to there, so no pairs are written.
     """
     member = bands.join(joined.select("v", "component"), "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     member = written(member.join(mixed, "key"), "mixed-buckets")
     sizes = member.groupBy("key", "c").count().groupBy("key").agg(F.sum("count").alias("n"), F.max_by("c", F.struct("count", F.col("c"))).alias("home"), F.max("count").alias("most"))
-    known = member.join(sizes, "key").join(nodes.select("v", "sig"), "v")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    known = known.withColumn("out", F.col("n") - F.col("most"))
-    at = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.greatest(blocks(n), F.lit(1)).cast("long")).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(blocks(n), F.lit(1)) - 1))
+    known = member.join(sizes, "key").withColumn("out", F.col("n") - F.col("most"))
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    at = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), blocks(n).cast("long")).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     outside = known.where("c <> home").withColumn("i", at("out", 1)).withColumn("j", spread("n"))
     everyone = known.withColumn("j", at("n", 2)).withColumn("i", spread("out"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found_a, found_b = [], []
+        a = b = np.zeros(0, np.int64)
         if left.num_rows and right.num_rows:
-            get = lambda t: (t.column(3).to_numpy(), t.column(4).to_numpy(), np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint32).reshape(-1, REGISTERS))
+            get = lambda t: (t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_pylist())
             (v, c, s), (w, d, u) = get(left), get(right)
-            for k in range(len(v)):
-                hit = np.flatnonzero(d != c[k])
-                hit = hit[(u[hit] == s[k]).sum(axis=1) >= estimate * REGISTERS]
-                found_a.append(np.minimum(w[hit], v[k]))
-                found_b.append(np.maximum(w[hit], v[k]))
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(join(found_a), pa.int64()), "b": pa.array(join(found_b), pa.int64())})
-
-    cols = ["key", "i", "j", "v", "c", "sig"]
+            hit = similar(s, u, similarity) & (c[:, None] != d[None, :])
+            one, two = least_linked(v, w, hit)
+            a, b = np.concatenate([one, two]), np.concatenate([v, w])
+            a, b = a[a < b], b[a < b]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    cols = ["key", "i", "j", "v", "c", "items"]
     right = [c + "2" for c in cols]
-    return outside.select(cols).groupBy(cols[:3]).cogroup(everyone.select(cols).toDF(*right).groupBy(right[:3])).applyInArrow(meet, "a long, b long").distinct()
+    with_items = lambda df: df.join(items, "v").select(cols)
+    return with_items(outside).groupBy(cols[:3]).cogroup(with_items(everyone).toDF(*right).groupBy(right[:3])).applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -250,16 +292,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = written(rows.groupBy("sum").agg(F.min("doc_id").alias("v"), F.min("sig").alias("sig")), "texts")
     bands = banded(nodes)
     centres = bands.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("key", "a")
-    star = written(bands.join(centres, "key").where("a < v").groupBy(F.col("v").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "star")
+    met = bands.join(centres, "key")
+    near = written(met.groupBy("v").agg(F.min("a").alias("a")), "star")  # every document that shares a bucket
+    items = written(multisets_of(docs, near), "multisets")
+    star = near.where("a < v").select("a", F.col("v").alias("b"))
     # one document with two texts links both
     same = rows.join(nodes.select("sum", "v"), "sum").where("doc_id <> v").select(F.col("v").alias("a"), F.col("doc_id").alias("b"))
     own = nodes.select(F.col("v").alias("a"))
     twice = same.join(own, same["b"] == own["a"], "left_semi")
-    links = written(verified(docs, star, similarity).unionByName(twice), "links")
+    links = written(verified(items, star, similarity).unionByName(twice), "links")
     first = written(components(links), "components")
-    more = written(unmet(nodes, bands, first, similarity - 0.2), "unmet")
+    shared = bands.join(centres.select("key"), "key", "left_semi")
+    more = written(unmet(items, shared, first, similarity), "unmet")
     if more.limit(1).count():
-        first = written(components(links.unionByName(verified(docs, more, similarity))), "components")
+        first = written(components(links.unionByName(more)), "components")
     whole = nodes.select("sum", "v").join(first, "v", "left").select("sum", F.coalesce("component", "v").alias("class_id"))
     out = rows.select("doc_id", "sum").join(whole, "sum").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     none = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
