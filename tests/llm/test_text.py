@@ -360,5 +360,6 @@ def test_pipeline_odd(spark, odd, nothing):
             before, docs = docs, stage(spark, docs, "").cache()
             docs.count()
         assert before.columns == odd.columns
+    # 3 is as empty as the null text of 2, and 5 equals 4
     left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, odd, "").collect()
-    assert sorted(str(r.doc_id) for r in left) == sorted(map(str, [1, 2, 3, 4, 6, 7, 8, None, None]))
+    assert sorted(str(r.doc_id) for r in left) == sorted(map(str, [1, 2, 4, 6, 7, 8, None, None]))
