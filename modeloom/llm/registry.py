@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from modeloom.llm import sql
 from modeloom.llm.ann import op1_nearest
 from modeloom.llm.bpe import op5_tree_bpe
 from modeloom.llm.chat import op10_chat
@@ -14,4 +15,4 @@ from modeloom.llm.token_files import op3_token_files
 from modeloom.llm.warc import op4_warc
 
 QUERIES = {f.__name__: f for f in (op1_nearest, op2_minhash, op3_token_files, op4_warc, op5_tree_bpe, op6_media, op7_language, op8_packing, op9_substrings, op10_chat)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc": sql.WARC, "op10_chat": sql.CHAT}
