@@ -232,7 +232,9 @@ class Dag:
                 continue
             made = evaluate(node, slots, seen)
             made = made if isinstance(made, list) else [made]
-            if persist and node.kind != "input" and sum(readers[len(slots) : len(slots) + len(made)]) > 1:
+            if node.kind == "stage":
+                kept.append(made[0].df)
+            if persist and node.kind not in ("input", "stage") and sum(readers[len(slots) : len(slots) + len(made)]) > 1:
                 frame = getattr(made[0], "frame", made[0].df).persist(StorageLevel.MEMORY_AND_DISK)
                 kept.append(frame)
                 made = [Tensor(frame, t.modes, t.value, t.extents, t.dense) for t in made]
