@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.common import written
+from modeloom.llm.common import discard, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(v, component): the least vertex of the component of each vertex of the edges (a, b); nulls and loops are left out."""
+    """(v, component), a written table: the least vertex of the component of each vertex of the edges (a, b); nulls and loops are left out."""
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     now, before = written(pairs, "edges"), None
     for _ in range(most_rounds):
@@ -25,11 +25,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         met = large.join(least, "b")
         # both outputs of a neighbour come from one pass over the join
         out = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("b").alias("b")), F.struct(F.col("lo").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").where("a < b").distinct()
-        now = written(out, "edges")
+        last, now = now, written(out, "edges")
+        discard(last)
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("b").alias("v"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("v"), F.col("a").alias("component")).distinct())
+    whole = now.select(F.col("b").alias("v"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("v"), F.col("a").alias("component")).distinct())
+    out = written(whole, "components")
+    discard(now)
+    return out

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.llm.common import table, texts_of, written
+from modeloom.llm.common import discard, table, texts_of, written
 from modeloom.llm.components import components
 from modeloom.llm.pieces import SPACE, classes, code_points, mix, span_hashes, text_slices
 
@@ -245,7 +245,7 @@ def least_linked(v: np.ndarray, w: np.ndarray, hit: np.ndarray) -> tuple[np.ndar
 
 
 def unmet(items: DataFrame, bands: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between documents that share a bucket and lie in different components so far.
+    """Links (a, b), a written table, between documents that share a bucket and lie in different components so far.
 
     In a bucket, the documents outside its most frequent component meet all of its
     documents; both sides are dealt in blocks, so no task holds a large bucket.  A block of
@@ -277,7 +277,10 @@ def unmet(items: DataFrame, bands: DataFrame, joined: DataFrame, similarity: flo
     cols = ["key", "i", "j", "v", "c", "items"]
     right = [c + "2" for c in cols]
     with_items = lambda df: df.join(items, "v").select(cols)
-    return with_items(outside).groupBy(cols[:3]).cogroup(with_items(everyone).toDF(*right).groupBy(right[:3])).applyInArrow(meet, "a long, b long").distinct()
+    met = with_items(outside).groupBy(cols[:3]).cogroup(with_items(everyone).toDF(*right).groupBy(right[:3])).applyInArrow(meet, "a long, b long")
+    out = written(met.distinct(), "unmet")
+    discard(member)
+    return out
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -301,11 +304,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     own = nodes.select(F.col("v").alias("a"))
     twice = same.join(own, same["b"] == own["a"], "left_semi")
     links = written(verified(items, star, similarity).unionByName(twice), "links")
-    first = written(components(links), "components")
+    first = components(links)
     shared = bands.join(centres.select("key"), "key", "left_semi")
-    more = written(unmet(items, shared, first, similarity), "unmet")
+    more = unmet(items, shared, first, similarity)
     if more.limit(1).count():
-        first = written(components(links.unionByName(more)), "components")
+        star = first
+        first = components(links.unionByName(more))
+        discard(star)
+    discard(near, items, links, more)
     whole = nodes.select("sum", "v").join(first, "v", "left").select("sum", F.coalesce("component", "v").alias("class_id"))
     out = rows.select("doc_id", "sum").join(whole, "sum").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     none = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
