@@ -173,7 +173,8 @@ def write_token_files(docs: DataFrame, vocab: str, folder: str, end_id: int = 0,
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The driver sums one number per file; offsets within a file come from its select structure.
+    The driver sums one number per file; offsets within a file come from its encoded boundaries,
+    all of which one pass over the bits gives (:meth:`EliasFano.select` gives single ones).
     """
     files = sorted(manifest.collect(), key=lambda r: r["part"])
     start, rows = 0, []
