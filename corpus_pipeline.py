@@ -19,8 +19,8 @@ from modeloom.llm.packing import pack
 from modeloom.llm.substrings import remove_repeats
 from modeloom.llm.tokens import vocabulary
 
-#: A text whose bytes cost more under its best language is none that was learned; a uniform byte costs 8.
-MOST_BITS = 6.0
+#: What a byte costs that is predicted no better than chance; a text that costs more under its best language is in none that was learned.
+MOST_BITS = 8.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
