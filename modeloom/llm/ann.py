@@ -4,10 +4,13 @@ Centroids come from a bounded sample by k-means with a penalty on full lists.  E
 goes to the list of its nearest centroid and, when it lies near a boundary, to further ones
 within a ratio of that distance.  A graph over the centroids, small enough for every
 worker, finds lists by best-first search; a query opens the lists whose centroids are
-within a ratio of its nearest one, few in dense places and many where all are far.
+within a ratio of its nearest one, few in dense places and many where all are far.  What
+ratio the data need is measured: some queries are answered by a scan of all vectors, and
+the ratio is raised until the lists hold the answers, all lists if need be.
 
 Largest inner products are nearest neighbours once every vector is given one coordinate
-more, the square root of what its squared length lacks to the greatest one.
+more, the square root of what its squared length lacks to the greatest one.  A query's length
+does not matter to the order of its products; it is brought to the greatest one.
 
 Equal vectors are folded first: a class keeps its vector and its ``k + 1`` smallest ids,
 which is all that a result of ``k`` others can show of it.
@@ -25,6 +28,7 @@ from pyspark.sql.window import Window
 from modeloom.llm.common import table, written
 
 SAMPLE, MOST_LISTS, LIST_ROWS = 32_768, 16_384, 50_000
+TRIED, AIM = 256, 0.98
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -67,14 +71,14 @@ class CentroidGraph:
         self.near = np.concatenate([near, ring], axis=1)
         self.entries = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(np.int32))
 
-    def search(self, x: np.ndarray, beam: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, beam: int, ratio: float, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Up to ``beam`` centroids of each vector, nearest first, and their distances (inf: none).
 
         A vector's search ends when all that is left to expand is farther than its beam, or
-        than ``ratio`` (and a margin) times its nearest centroid.
+        than ``ratio`` (and a margin) times its nearest centroid and ``least`` found ones.
         """
         n, k = len(x), len(self.c)
-        beam = min(beam, k)
+        beam, least = min(beam, k), min(least, beam, k)
         seen = np.zeros((n, k), bool)
         norm = (x * x).sum(1)
         cnorm = (self.c * self.c).sum(1)
@@ -88,8 +92,9 @@ class CentroidGraph:
             waiting = np.where(opened[live], np.inf, dist[live])
             pick = np.argpartition(waiting, min(step, waiting.shape[1]) - 1, axis=1)[:, :step]
             at = np.take_along_axis(waiting, pick, 1)
-            limit = np.minimum(dist[live].min(axis=1) * (1.1 * ratio) ** 2, np.where(dist.shape[1] >= beam, np.partition(dist[live], min(beam, dist.shape[1]) - 1, axis=1)[:, min(beam, dist.shape[1]) - 1], np.inf))
-            good = at <= limit[:, None]
+            near, enough, edge = (np.partition(dist[live], m - 1, axis=1)[:, m - 1] if dist.shape[1] >= m else np.inf for m in (1, least, beam))
+            limit = np.minimum(np.maximum(near * (1.1 * ratio) ** 2, enough), edge)
+            good = np.isfinite(at) & (at <= limit[:, None])
             more = good.any(axis=1)
             live, pick, good = live[more], pick[more], good[more]
             if not len(live):
@@ -124,7 +129,10 @@ class Index:
         self.graph, self.longest, self.dim = graph, longest, dim
 
     def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """float32 vectors with the coordinate more (0 for queries)."""
+        """float32 vectors with the coordinate more (0 for queries, which get the greatest length)."""
+        if query:
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x = x * (self.longest / np.sqrt((x * x).sum(1)))[:, None]
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.longest**2 - (x * x).sum(1), 0))
         return np.concatenate([x, more[:, None]], axis=1).astype(np.float32)
 
@@ -132,7 +140,7 @@ class Index:
         """(number of the vector, list) pairs."""
         rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for a in range(0, len(x), 512):
-            ids, d = self.graph.search(self.lift(x[a : a + 512], query), most, ratio)
+            ids, d = self.graph.search(self.lift(x[a : a + 512], query), most, ratio, least)
             take = (d <= d[:, :1] * ratio + 1e-6) | (np.arange(d.shape[1]) < least)
             r, c = np.nonzero(take & np.isfinite(d))
             rows.append(r + a)
@@ -171,13 +179,63 @@ def build(classes: DataFrame, dim: int) -> Index:
     return index
 
 
+def true_neighbours(classes: DataFrame, asked: np.ndarray, k: int) -> list:
+    """(query, h1, h2, vec) of the ``k`` classes of largest inner product with each row of ``asked``, by a scan of all."""
+    dim = asked.shape[1]
+
+    def scan(batches):
+        kept: list[pa.Table] = [None] * len(asked)
+        for batch in batches:
+            t, x = pa.Table.from_batches([batch]), matrix(batch.column(2), dim)
+            if not len(x):
+                continue
+            s = asked @ x.T
+            m = min(k, len(x))
+            for q, at in enumerate(np.argpartition(-s, m - 1, axis=1)[:, :m]):
+                best = t.take(pa.array(at)).append_column("score", pa.array(s[q, at]))
+                best = best if kept[q] is None else pa.concat_tables([kept[q], best])
+                kept[q] = best.take(pa.array(np.argsort(-best["score"].to_numpy(), kind="stable")[:k]))
+        for q, best in enumerate(kept):
+            if best is not None:
+                yield from best.append_column("query", pa.array(np.full(best.num_rows, q, np.int32))).select(["query", "score", "h1", "h2", "vec"]).combine_chunks().to_batches()
+
+    found = classes.select("h1", "h2", "vec").mapInArrow(scan, "query int, score double, h1 long, h2 long, vec array<double>")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "h1", "h2")
+    return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("query", "h1", "h2", "vec").collect()
+
+
+def calibrate(index: Index, classes: DataFrame, asked: DataFrame, k: int, near: float, replicas: int, ratio: float, least: int, beam: int) -> tuple[float, int, int]:
+    """``ratio``, ``least`` and ``beam``, raised until the lists that ``TRIED`` of the asked classes open hold ``AIM`` of their true neighbours.
+
+    When ``least`` has reached the number of lists, all are open and all neighbours found.
+    """
+    tried = asked.orderBy("h2", "h1").limit(TRIED).select("h1", "h2", "vec").collect()
+    if not tried:
+        return ratio, least, beam
+    x, lists = np.array([r["vec"] for r in tried]), len(index.graph.c)
+    true = [r for r in true_neighbours(classes, x, k + 1) if (r["h1"], r["h2"]) != (tried[r["query"]]["h1"], tried[r["query"]]["h2"])]
+    if not true:
+        return ratio, least, beam
+    stands = np.zeros((len(true), lists), bool)
+    stands[index.lists(np.array([r["vec"] for r in true]), False, near, replicas, 1)] = True
+    query = np.array([r["query"] for r in true])
+    while True:
+        opened = np.zeros((len(x), lists), bool)
+        opened[index.lists(x, True, ratio, beam, least)] = True
+        if least >= lists or (stands & opened[query]).any(axis=1).mean() >= AIM:
+            return ratio, least, beam
+        ratio, least = 1 + 1.2 * (ratio - 1), least + 1 + least // 5
+        beam = max(beam, least)
+
+
 def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", replicas: int = 4, near: float = 1.15, ratio: float = 1.13, least: int = 12, beam: int = 192) -> DataFrame:
     """For each row that the Column ``queries`` (over vec_id) selects, its ``k`` nearest others.
 
     Returns query_id, rank, vec_id, score (inner product in double precision), nearest first, ties
     to the smaller id.  An empty table gives no row; repeated rows count once; other columns
     are ignored.  A vector stands in at most ``replicas`` lists, those within ``near`` times its
-    least distance; a query opens the lists within ``ratio``, ``least`` at least, ``beam`` at most.
+    least distance; a query opens the lists within ``ratio``, ``least`` at least, ``beam`` at most,
+    all three raised where :func:`calibrate` finds too few true neighbours in them.
     A list of more than ``LIST_ROWS`` vectors is dealt out to several tasks.
     """
     rows, dim = usable(vectors, vec_id, embedding)
@@ -188,7 +246,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", em
         return spark.createDataFrame([], out)
     first = Window.partitionBy("h1", "h2").orderBy("vec_id")
     classes = written(rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1).groupBy("h1", "h2").agg(F.min_by("vec", "vec_id").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "vector-classes")
-    index = spark.sparkContext.broadcast(build(classes, dim))
+    fitted = build(classes, dim)
+    index = spark.sparkContext.broadcast(fitted)
 
     def post(batches):
         for batch in batches:
@@ -210,7 +269,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", em
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), *take], ["list", "part", "vec", "h1", "h2"])
 
     asked = rows.where(queries).select("vec_id", "h1", "h2")
-    probes = classes.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("vec", "h1", "h2").mapInArrow(probe, "list int, part int, vec array<double>, h1 long, h2 long")
+    kinds = classes.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("vec", "h1", "h2")
+    ratio, least, beam = calibrate(fitted, classes, kinds, k, near, replicas, ratio, least, beam)
+    probes = kinds.mapInArrow(probe, "list int, part int, vec array<double>, h1 long, h2 long")
     many = F.element_at(F.create_map(*[F.lit(x) for i, n in sizes.items() if n > 1 for x in (i, n)]), F.col("list")) if any(n > 1 for n in sizes.values()) else F.lit(1)
     posts = posts.withColumn("part", F.pmod(F.xxhash64("ids"), F.coalesce(many, F.lit(1))).cast("int"))
 

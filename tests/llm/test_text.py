@@ -319,6 +319,20 @@ def test_long_lists_are_dealt_out(spark, monkeypatch):
     assert got == {(q, k + 1): i for q, r in want.items() for k, (_, i) in enumerate(r)}
 
 
+def test_vectors_of_varied_length(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 64))
+    x *= (rng.uniform(0.5, 1, 6000) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
+        got[r.query_id].add(r.vec_id)
+    s = x[::20] @ x.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(got[20 * q] & set(w.tolist())) / 20 for q, w in enumerate(want)]) >= 0.95
+
+
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(9)
     c = rng.normal(size=(500, 8)).astype(np.float32)
