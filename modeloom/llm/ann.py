@@ -137,14 +137,24 @@ class Index:
         return np.concatenate([x, more[:, None]], axis=1).astype(np.float32)
 
     def lists(self, x: np.ndarray, query: bool, ratio: float, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the vector, list) pairs."""
-        rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for a in range(0, len(x), 512):
-            ids, d = self.graph.search(self.lift(x[a : a + 512], query), most, ratio, least)
-            take = (d <= d[:, :1] * ratio + 1e-6) | (np.arange(d.shape[1]) < least)
-            r, c = np.nonzero(take & np.isfinite(d))
-            rows.append(r + a)
-            lists.append(ids[r, c])
+        """(number of the vector, list) pairs; ``most`` lists of a vector that is stored.
+
+        A query gets every list within ``ratio``: while the ``most`` nearest all are, it is searched again with twice as many.
+        """
+        rows, lists, k = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], len(self.graph.c)
+        waiting = np.arange(len(x))
+        while len(waiting):
+            again, step = [], min(512, max(16, 4_000_000 // k))
+            for a in range(0, len(waiting), step):
+                own = waiting[a : a + step]
+                ids, d = self.graph.search(self.lift(x[own], query), most, ratio, least)
+                take = (d <= d[:, :1] * ratio + 1e-6) | (np.arange(d.shape[1]) < least)
+                full = (take & np.isfinite(d)).all(axis=1) & (query and most < k)
+                again.append(own[full])
+                r, c = np.nonzero(take & np.isfinite(d) & ~full[:, None])
+                rows.append(own[r])
+                lists.append(ids[r, c])
+            waiting, most = np.concatenate(again), 2 * most
         return np.concatenate(rows), np.concatenate(lists)
 
 
@@ -204,18 +214,18 @@ def true_neighbours(classes: DataFrame, asked: np.ndarray, k: int) -> list:
     return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("query", "h1", "h2", "vec").collect()
 
 
-def calibrate(index: Index, classes: DataFrame, asked: DataFrame, k: int, near: float, replicas: int, ratio: float, least: int, beam: int) -> tuple[float, int, int]:
-    """``ratio``, ``least`` and ``beam``, raised until the lists that ``TRIED`` of the asked classes open hold ``AIM`` of their true neighbours.
+def calibrate(index: Index, classes: DataFrame, asked: DataFrame, k: int, near: float, replicas: int, ratio: float, least: int, beam: int) -> tuple[float, int]:
+    """``ratio`` and ``least``, raised until the lists that ``TRIED`` of the asked classes open hold ``AIM`` of their true neighbours.
 
     When ``least`` has reached the number of lists, all are open and all neighbours found.
     """
     tried = asked.orderBy("h2", "h1").limit(TRIED).select("h1", "h2", "vec").collect()
     if not tried:
-        return ratio, least, beam
+        return ratio, least
     x, lists = np.array([r["vec"] for r in tried]), len(index.graph.c)
     true = [r for r in true_neighbours(classes, x, k + 1) if (r["h1"], r["h2"]) != (tried[r["query"]]["h1"], tried[r["query"]]["h2"])]
     if not true:
-        return ratio, least, beam
+        return ratio, least
     stands = np.zeros((len(true), lists), bool)
     stands[index.lists(np.array([r["vec"] for r in true]), False, near, replicas, 1)] = True
     query = np.array([r["query"] for r in true])
@@ -223,9 +233,8 @@ def calibrate(index: Index, classes: DataFrame, asked: DataFrame, k: int, near:
         opened = np.zeros((len(x), lists), bool)
         opened[index.lists(x, True, ratio, beam, least)] = True
         if least >= lists or (stands & opened[query]).any(axis=1).mean() >= AIM:
-            return ratio, least, beam
+            return ratio, least
         ratio, least = 1 + 1.2 * (ratio - 1), least + 1 + least // 5
-        beam = max(beam, least)
 
 
 def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", replicas: int = 4, near: float = 1.15, ratio: float = 1.13, least: int = 12, beam: int = 192) -> DataFrame:
@@ -234,8 +243,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", em
     Returns query_id, rank, vec_id, score (inner product in double precision), nearest first, ties
     to the smaller id.  An empty table gives no row; repeated rows count once; other columns
     are ignored.  A vector stands in at most ``replicas`` lists, those within ``near`` times its
-    least distance; a query opens the lists within ``ratio``, ``least`` at least, ``beam`` at most,
-    all three raised where :func:`calibrate` finds too few true neighbours in them.
+    least distance; a query opens the lists within ``ratio``, ``least`` at least, both raised
+    where :func:`calibrate` finds too few true neighbours in them; its search begins with ``beam`` lists.
     A list of more than ``LIST_ROWS`` vectors is dealt out to several tasks.
     """
     rows, dim = usable(vectors, vec_id, embedding)
@@ -270,7 +279,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", em
 
     asked = rows.where(queries).select("vec_id", "h1", "h2")
     kinds = classes.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("vec", "h1", "h2")
-    ratio, least, beam = calibrate(fitted, classes, kinds, k, near, replicas, ratio, least, beam)
+    ratio, least = calibrate(fitted, classes, kinds, k, near, replicas, ratio, least, beam)
     probes = kinds.mapInArrow(probe, "list int, part int, vec array<double>, h1 long, h2 long")
     many = F.element_at(F.create_map(*[F.lit(x) for i, n in sizes.items() if n > 1 for x in (i, n)]), F.col("list")) if any(n > 1 for n in sizes.values()) else F.lit(1)
     posts = posts.withColumn("part", F.pmod(F.xxhash64("ids"), F.coalesce(many, F.lit(1))).cast("int"))

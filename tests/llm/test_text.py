@@ -333,6 +333,18 @@ def test_vectors_of_varied_length(spark):
     assert np.mean([len(got[20 * q] & set(w.tolist())) / 20 for q, w in enumerate(want)]) >= 0.95
 
 
+def test_the_beam_caps_no_query():
+    rng = np.random.default_rng(12)
+    c, x = rng.normal(size=(300, 9)).astype(np.float32), rng.normal(size=(40, 8))
+    index = ann.Index(ann.CentroidGraph(c), 3.0, 8)
+    d = np.sqrt(ann.squared(index.lift(x, True), c))
+    want = d <= d.min(axis=1, keepdims=True) * 1.5
+    got = np.zeros(want.shape, bool)
+    got[index.lists(x, True, 1.5, 8, 2)] = True
+    assert want.sum(axis=1).max() > 32 and (got & want).sum() >= 0.99 * want.sum()
+    assert np.bincount(index.lists(x, False, 1.5, 4, 1)[0]).max() == 4
+
+
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(9)
     c = rng.normal(size=(500, 8)).astype(np.float32)
