@@ -82,12 +82,13 @@ def locate(render: Callable[[list[Turn]], str], turns: list[Turn], exact: int =
 
     The first ``exact`` prefixes are rendered whole.  Beyond them a turn is rendered after its
     last ``context`` and ``context`` + 1 neighbours; when both add the same, and in the end the
-    parts make up the rendering of the whole, that is the turn's span (work in proportion to
-    the length); else every prefix is rendered whole.
+    parts, one after the other, are the rendering of the whole, that is the turn's span (work
+    in proportion to the length); else every prefix is rendered whole.
     """
     whole, previous = render(turns), render([])
     spans: list[tuple[int, int]] = []
     texts: list[tuple[int, int]] = []
+    parts = [previous]
     rewritten = None
     at = len(previous)
     for k, turn in enumerate(turns):
@@ -109,9 +110,10 @@ def locate(render: Callable[[list[Turn]], str], turns: list[Turn], exact: int =
             head, tail = frame.split(MARK, 1)
             fits = added.startswith(head) and added.endswith(tail) and len(added) >= len(head) + len(tail)
             texts.append((at + len(head), at + len(added) - len(tail)) if fits else (at, at))
+        parts.append(added)
         spans.append((at, at + len(added)))
         at += len(added)
-    if rewritten is None and at != len(whole) and len(turns) > exact:
+    if rewritten is None and len(turns) > exact and "".join(parts) != whole:
         return locate(render, turns, len(turns) + 1, context)
     return Located(whole, spans, texts, rewritten)
 

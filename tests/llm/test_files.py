@@ -194,6 +194,14 @@ def test_templates_that_look_far_back_or_rewrite():
     assert chat.locate(last_only, turns).rewritten_at == 1
 
 
+@pytest.mark.parametrize("late", [3, 70, 99])
+def test_masking_late_in_a_conversation(late):
+    masked = lambda turns: "".join(f"<{'*' * len(t) if k == 0 and len(turns) > late else t}>" for k, (_, t) in enumerate(turns))
+    turns = [("user", f"text {k}") for k in range(100)]
+    got = chat.locate(masked, turns)
+    assert got.rewritten_at == late and len(got.spans) == late
+
+
 def check_chat(spark, rows, got):
     by: dict = {}
     for conv, turn, role, text in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
