@@ -27,6 +27,7 @@ from modeloom.llm.tokens import library_cache, vocabulary
 MAGIC = b"MLOOMEF1"
 FOOTER = struct.Struct("<8sIIQQQQ")  # magic, id width, low bits, documents, ids, high words, directory entries
 EVERY = 256
+BLOCK = 4_000_000  # ids that are read at a time
 
 
 class EliasFano:
@@ -71,15 +72,34 @@ class EliasFano:
             low |= (int(self.low[b >> 3]) >> (b & 7) & 1) << k
         return (8 * byte + bit - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """Every value, by one pass over the bits."""
-        place = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (place - np.arange(self.n)) << self.low_bits
+    def after(self, value: int, begin: int = 0) -> int:
+        """Number of the first value from ``begin`` on that is greater than ``value`` (``n``: none), by selects that halve what is left."""
+        end = self.n
+        while begin < end:
+            middle = (begin + end) // 2
+            begin, end = (begin, middle) if self.select(middle) > value else (middle + 1, end)
+        return begin
+
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Values ``i`` to ``j - 1``, by one pass over the bits that hold them, which the directory finds."""
+        if not 0 <= i < j <= self.n:
+            return np.zeros(0, np.int64)
+        d, stop = i // EVERY, -(-j // EVERY)
+        begin = int(self.directory[d]) >> 3
+        end = (int(self.directory[stop]) >> 3) + 1 if stop < len(self.directory) else len(self.high)
+        place = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little")) + 8 * begin
+        skip = int(np.searchsorted(place, int(self.directory[d]))) + i - d * EVERY
+        out = (place[skip : skip + j - i] - np.arange(i, j)) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+            first = i * self.low_bits
+            bits = np.unpackbits(self.low[first >> 3 : (j * self.low_bits + 7) >> 3], bitorder="little")[first & 7 :][: (j - i) * self.low_bits].reshape(j - i, self.low_bits)
             out |= bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
         return out
 
+    def all(self) -> np.ndarray:
+        """Every value, by one pass over the bits."""
+        return self.between(0, self.n)
+
 
 class TokenFileWriter:
     """Appends documents; holds boundaries only."""
@@ -170,11 +190,27 @@ def write_token_files(docs: DataFrame, vocab: str, folder: str, end_id: int = 0,
     return written(rows.mapInArrow(work, "part int, path string, n_docs long, n_ids long"), "token-manifest")
 
 
+def file_rows(path: str, base: int) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`read_token_files` for one file, whose first id is number ``base``; a block of documents at a time."""
+    f = TokenFile(path)
+    k = 0
+    while k < f.n_docs:
+        m = max(k + 1, f.bounds.after(f.bounds.select(k) + BLOCK, k) - 1)
+        bounds = f.bounds.between(k, m + 1)
+        ids = memoryview(f.ids(int(bounds[0]), int(bounds[-1])).tobytes())
+        own = (bounds - bounds[0]) * 4
+        crc = [zlib.crc32(ids[a:b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
+        doc = f.doc_ids[k:m]
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == NO_DOC), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        k = m
+
+
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The driver sums one number per file; offsets within a file come from its encoded boundaries,
-    all of which one pass over the bits gives (:meth:`EliasFano.select` gives single ones).
+    The driver sums one number per file; offsets within a file come from its encoded boundaries:
+    :meth:`EliasFano.select` finds the edges of a block of documents, and one pass over the
+    block's bits gives those between.
     """
     files = sorted(manifest.collect(), key=lambda r: r["part"])
     start, rows = 0, []
@@ -185,17 +221,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                f = TokenFile(path)
-                bounds = f.bounds.all()
-                k = 0
-                while k < f.n_docs:
-                    m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + 4_000_000, "right")) - 1)
-                    ids = memoryview(f.ids(int(bounds[k]), int(bounds[m])).tobytes())
-                    own = (bounds[k : m + 1] - bounds[k]) * 4
-                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
-                    doc = f.doc_ids[k:m]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == NO_DOC), pa.array(bounds[k:m] + base), pa.array(np.diff(bounds[k : m + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                    k = m
+                yield from file_rows(path, base)
 
     df = spark.createDataFrame(rows, "path string, base long")
     return df.repartition(max(1, len(rows))).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -134,6 +134,34 @@ def test_elias_fano(steps):
     assert 8 * (len(e.low) + len(e.high)) <= n * (2 + max(0, np.log2(max(u, 1) / n))) + n + 32
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5000), min_size=1, max_size=900), st.data())
+def test_elias_fano_in_part(steps, data):
+    values = np.cumsum([0, *steps])
+    e = token_files.EliasFano.encode(values)
+    i = data.draw(st.integers(0, len(values) - 1))
+    j = data.draw(st.integers(i, len(values)))
+    assert e.between(i, j).tolist() == values[i:j].tolist()
+    v = data.draw(st.integers(0, int(values[-1]) + 1))
+    assert e.after(v, i) == max(i, int(np.searchsorted(values, v, "right")))
+
+
+def test_blocks_are_found_by_select(spark, documents, library, monkeypatch, tmp_path):
+    rows = sorted(documents.items())[:60]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_files.write_token_files(df.coalesce(1), token_files.vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}")
+    want, start = [], 0
+    for r in sorted(manifest.collect(), key=lambda r: r["part"]):
+        want.append((r["path"], start))
+        start += r["n_ids"]
+    selects = []
+    select = token_files.EliasFano.select
+    monkeypatch.setattr(token_files.EliasFano, "select", lambda self, i: selects.append(i) or select(self, i))
+    monkeypatch.setattr(token_files, "BLOCK", 500)
+    got = [tuple(x) for path, base in want for batch in token_files.file_rows(path, base) for x in zip(*batch.to_pydict().values())]
+    assert got == expected_files(rows, library) and len(selects) > len(want)
+
+
 def expected_files(rows, library):
     out, start = [], 0
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
