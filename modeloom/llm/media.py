@@ -23,10 +23,13 @@ def chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def png_write(samples: np.ndarray, level: int = 1, most: int = 1 << 20) -> bytes:
-    """A PNG of 8-bit samples, shape (height, width, 1 to 4), without row filters."""
+    """A PNG of 8-bit samples, shape (height, width, 1 to 4); the first row by filter Sub, the others by Up."""
     height, width, n = samples.shape
     rows = np.zeros((height, 1 + width * n), np.uint8)
     rows[:, 1:] = samples.reshape(height, -1)
+    rows[1:, 1:] -= rows[:-1, 1:].copy()
+    rows[:1, 1 + n :] -= rows[:1, 1:-n].copy()
+    rows[:1, 0], rows[1:, 0] = 1, 2
     data = zlib.compress(rows.tobytes(), level)
     colour = {1: 0, 2: 4, 3: 2, 4: 6}[n]
     body = b"".join(chunk(b"IDAT", data[i : i + most]) for i in range(0, len(data), most))

@@ -118,6 +118,15 @@ def test_png_filters(width, height, n, data):
     assert (media.png_read(media.png_write(samples, most=10)) == samples).all()
 
 
+@pytest.mark.parametrize("height,width,n", [(1, 1, 3), (1, 64, 3), (5, 1, 1), (9, 7, 4)])
+def test_png_write_filters_every_row(height, width, n):
+    samples = np.random.default_rng(4).integers(0, 256, (height, width, n), np.uint8)
+    raw = zlib.decompress(b"".join(body for kind, body in media.png_chunks(media.png_write(samples)) if kind == b"IDAT"))
+    kinds = [1, *[2] * (height - 1)]
+    assert raw == filtered(samples.reshape(height, -1), kinds, n).tobytes()
+    assert (media.png_read(media.png_write(samples)) == samples).all()
+
+
 def test_png_errors():
     png = bytearray(media.png_write(np.zeros((2, 2, 3), np.uint8)))
     for change, said in ((slice(0, 1), "not a PNG"), (slice(20, 21), "checksum"), (slice(-20, -19), None)):
