@@ -6,18 +6,21 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset, one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset and all runs in one process, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="modeloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -54,6 +57,29 @@ def texts_of(df: DataFrame, *ids: str, text: str = "text") -> DataFrame:
     return df.select(*[F.col(c).cast("long").alias(c) for c in ids], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def fresh(names: list[str], base: str) -> str:
+    """A column name that is not among the names, whatever their case."""
+    taken = {n.lower() for n in names}
+    while base in taken:
+        base += "_"
+    return base
+
+
+def col(name: str) -> Column:
+    """A column by its plain name, which may hold dots and backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string column without nulls, and where each begins."""
+    binary = column.cast(pa.large_binary())
+    if isinstance(binary, pa.ChunkedArray):
+        binary = binary.combine_chunks()
+    ends = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
+    data = np.frombuffer(binary.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends - ends[0]
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch that returns columns by name, or None for nothing."""
     names = [x.split()[0] for x in schema.split(", ")]

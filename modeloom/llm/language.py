@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from modeloom.llm.common import table
+from modeloom.llm.common import table, text_bytes
 
 ORDER = 3
 HEAD = 3  # blanks before each text, its first context
@@ -65,14 +65,6 @@ def grams(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a string column without nulls, and where each begins."""
-    binary = column.cast(pa.large_binary())
-    ends = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
-    data = np.frombuffer(binary.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    return data, ends - ends[0]
-
-
 class ContextTree:
     """Frozen counts of one language."""
 

@@ -6,10 +6,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from modeloom.llm import ann, bwt, language, minhash, substrings
+from modeloom.llm.common import text_bytes
 from modeloom.llm.components import components
 
 # -- language
@@ -201,16 +203,45 @@ def test_merge_orders_suffixes():
         lengths.append(n)
         strings += shard
     depth = 6
-    rows, block, lf = bwt.merge(bwts, depth)
-    owner, offset = bwt.places(bwts, lf, lengths)
+    found = bwt.Merged(bwts, depth)
+    rows = found.order
+    owner, offset = found.places(lengths)
     suffix = [strings[o][k:] + b"\0" for o, k in zip(owner, offset)]
     assert sorted(suffix) == sorted(s[k:] + b"\0" for s in strings for k in range(len(s) + 1))
     merged = [suffix[r] for r in rows]
     cut = [s[:depth] for s in merged]
     assert cut == sorted(cut)
+    common = found.common_prefixes(rows[1:], rows[:-1], depth)
     for i in range(1, len(cut)):
-        if len(cut[i]) == depth and b"\0" not in cut[i]:
-            assert (block[i] == block[i - 1]) == (cut[i] == cut[i - 1])
+        if len(cut[i]) == len(cut[i - 1]) == depth and b"\0" not in cut[i] + cut[i - 1]:
+            assert common[i - 1] == next((k for k in range(depth) if cut[i][k] != cut[i - 1][k]), depth)
+
+
+@pytest.mark.parametrize("depth", [5, 10, 35, 100])
+def test_merge_and_shards_find_the_same_prefixes(depth):
+    rng = np.random.default_rng(depth)
+    base = bytes(rng.integers(97, 100, 300).astype(np.uint8))
+    shards = []
+    for _ in range(4):
+        cuts = rng.integers(0, 180, 7)
+        shards.append([base[a : a + 120] if rng.random() < 0.7 else bytes(rng.integers(97, 100, 130).astype(np.uint8)) for a in cuts])
+    strings = [x for shard in shards for x in shard]
+    lengths = [np.array([len(x) for x in shard]) for shard in shards]
+    rows = [np.frombuffer(b"".join(x + b"\0" for x in shard), np.uint8) for shard in shards]
+    found = bwt.Merged([bwt.transform(r, n + 1) for r, n in zip(rows, lengths)], depth)
+    owner, offset = found.places(lengths)
+    whole = [r for r in found.order.tolist() if offset[r] + depth <= len(strings[owner[r]])]
+    text = [strings[owner[r]][offset[r] : offset[r] + depth] for r in whole]
+    assert text == sorted(text)
+    common = found.common_prefixes(np.array(whole[1:]), np.array(whole[:-1]), depth).tolist()
+    assert common == [next((k for k in range(depth) if a[k] != b[k]), depth) for a, b in zip(text, text[1:])]
+    own = np.concatenate(rows)
+    left = bwt.lefts(np.concatenate(lengths) + 1)
+    one = bwt.SuffixOrder(own, left)
+    whole = one.order[left[one.order] > depth]
+    text = [own[p : p + depth].tobytes() for p in whole]
+    assert text == sorted(text)
+    assert one.alike(whole[1:], whole[:-1], depth).tolist() == [a == b for a, b in zip(text, text[1:])]
 
 
 def passages(seed):
@@ -227,11 +258,11 @@ def passages(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT, 1])
-def test_op9_passages(spark, hot):
-    rows = passages(hot)
-    texts = substrings.body(substrings.keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
-    got = {r.key: r.repeats for r in substrings.repeats_of(texts, hot).collect()}
+@pytest.mark.parametrize("sizes", [{}, {"split": 1}, {"run": 2000, "shard": 3000}, {"run": 500, "shard": 900, "split": 2, "fan": 3}])
+def test_op9_passages(spark, sizes):
+    rows = passages(len(sizes))
+    texts = substrings.body(*substrings.keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    got = {r.key: r.repeats for r in substrings.repeats_of(texts, **sizes).collect()}
     removed = 0
     for doc, b, mask in brute_repeats(rows):
         own = np.zeros(len(b), bool)
@@ -244,6 +275,36 @@ def test_op9_passages(spark, hot):
     assert removed > 2000
 
 
+def test_op9_long_text_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SLICE", 700)
+    rng = random.Random(8)
+    long_ = "".join(rng.choice("abcdefgh") for _ in range(9000))
+    rows = [(1, long_), (2, "x" * 50 + long_[650:900] + "y" * 50), (3, long_[3000:]), (4, long_[:1500] * 2), (5, "q" * 5000)]
+    texts = substrings.body(*substrings.keyed(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = {r.key: r.repeats for r in substrings.repeats_of(texts).collect()}
+    for doc, b, mask in brute_repeats(rows):
+        assert substrings.kept_bytes(b, got.get(doc))[0] == bytes(np.frombuffer(b, np.uint8)[~mask])
+
+
+def test_op9_equal_hashes_decide_nothing(spark, monkeypatch):
+    """With one hash for all, everything enters the transforms, and the result is the same."""
+    monkeypatch.setattr(substrings, "span_hashes", lambda data, a, b: np.zeros(len(a), np.uint64))
+    monkeypatch.setattr(substrings, "gram_hashes", lambda data: np.zeros(len(data), np.uint64))
+    rows = passages(3)[:12]
+    key, text = zip(*sorted(rows))
+    data, ends = text_bytes(pa.array(text))
+    known = np.zeros(1, substrings.SHARED)
+    s, begin, route = substrings.asked_strings(np.array(key), data, ends, known)
+    out, again, start = substrings.build_shard(s, data, begin, np.zeros(len(s), np.int64))
+    windows = set(zip(again.tolist(), start.tolist()))
+    seen = set()
+    for k, t in sorted(rows):
+        b = t.encode()
+        for i in range(len(b) - 99):
+            assert ((k, i) in windows) == (b[i : i + 100] in seen)
+            seen.add(b[i : i + 100])
+
+
 def test_op9(spark, sf, documents):
     got = {r.doc_id: tuple(r)[1:] for r in substrings.op9_substrings(spark, sf).collect()}
     assert len(got) == len(documents)
