@@ -6,7 +6,9 @@ within a ratio of that distance.  A graph over the centroids, small enough for e
 worker, finds lists by best-first search; a query opens the lists whose centroids are
 within a ratio of its nearest one, few in dense places and many where all are far.  What
 ratio the data need is measured: some queries are answered by a scan of all vectors, and
-the ratio is raised until the lists hold the answers, all lists if need be.
+the ratio is raised until the lists hold the answers, all lists if need be.  A query that found
+fewer neighbours than it asks for, as one far from all centroids of a dense cluster
+may, is searched again with four times as many lists, until it has them or all lists are open.
 
 Largest inner products are nearest neighbours once every vector is given one coordinate
 more, the square root of what its squared length lacks to the greatest one.  A query's length
@@ -18,6 +20,8 @@ which is all that a result of ``k`` others can show of it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
@@ -27,7 +31,8 @@ from pyspark.sql.window import Window
 
 from modeloom.llm.common import table, written
 
-SAMPLE, MOST_LISTS, LIST_ROWS = 32_768, 16_384, 50_000
+SAMPLE, MOST_LISTS = 32_768, 16_384
+LIST_ROWS, LIST_PROBES = 50_000, 20_000  # vectors and queries of a list that meet in one task
 TRIED, AIM = 256, 0.98
 
 
@@ -244,8 +249,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", em
     to the smaller id.  An empty table gives no row; repeated rows count once; other columns
     are ignored.  A vector stands in at most ``replicas`` lists, those within ``near`` times its
     least distance; a query opens the lists within ``ratio``, ``least`` at least, both raised
-    where :func:`calibrate` finds too few true neighbours in them; its search begins with ``beam`` lists.
-    A list of more than ``LIST_ROWS`` vectors is dealt out to several tasks.
+    where :func:`calibrate` finds too few true neighbours in them, and more where it finds fewer than ``k``
+    of any kind; its search begins with ``beam`` lists.
+    A list of more than ``LIST_ROWS`` vectors or ``LIST_PROBES`` queries is dealt out to several tasks.
     """
     rows, dim = usable(vectors, vec_id, embedding)
     rows = rows.dropDuplicates(["vec_id", "h1", "h2"])
@@ -256,33 +262,73 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", em
     first = Window.partitionBy("h1", "h2").orderBy("vec_id")
     classes = written(rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1).groupBy("h1", "h2").agg(F.min_by("vec", "vec_id").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "vector-classes")
     fitted = build(classes, dim)
-    index = spark.sparkContext.broadcast(fitted)
+    index, lists_all = spark.sparkContext.broadcast(fitted), len(fitted.graph.c)
 
     def post(batches):
         for batch in batches:
             r, lists = index.value.lists(matrix(batch.column(0), dim), False, near, replicas, 1)
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r))], ["list", "vec", "ids"])
 
-    posts = classes.select("vec", "ids").mapInArrow(post, "list int, vec array<double>, ids array<long>")
-    posts = written(posts, "posting-lists")
-    sizes = {r["list"]: -(-r["count"] // LIST_ROWS) for r in posts.groupBy("list").count().collect()}  # one number a list
-    parts = spark.sparkContext.broadcast(np.array([sizes.get(i, 0) for i in range(len(index.value.graph.c))]))
+    posts = written(classes.select("vec", "ids").mapInArrow(post, "list int, vec array<double>, ids array<long>"), "posting-lists")
+    asked = rows.where(queries).select("vec_id", "h1", "h2")
+    kinds = classes.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("vec", "h1", "h2")
+    ratio, least = calibrate(fitted, classes, kinds, k, near, replicas, ratio, least, beam)
+    wanted = min(k + 1, classes.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0])
+    found, open_ = [], kinds
+    while True:
+        top = written(searched(posts, open_, index, dim, k, ratio, least, beam), "neighbours")
+        short = F.size("ids") < wanted
+        found.append(top if least >= lists_all else top.where(~short))
+        if least >= lists_all or not top.where(short).limit(1).count():
+            break
+        open_ = kinds.join(top.where(short).select("h1", "h2"), ["h1", "h2"], "left_semi").select("vec", "h1", "h2")
+        least = 4 * least
+    top = reduce(DataFrame.unionByName, found)
+    met = asked.join(top, ["h1", "h2"]).select("vec_id", F.arrays_zip("ids", "scores").alias("z"))
+    others = F.slice(F.filter("z", lambda x: x["ids"] != F.col("vec_id")), 1, k)
+    return met.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+
+
+def parts_of(rows: DataFrame, lists: int, most: int) -> np.ndarray:
+    """Into how many parts each list goes that ``most`` rows are to have; one number a list comes to the driver."""
+    out = np.zeros(lists, np.int32)
+    for r in rows.groupBy("list").count().collect():
+        out[r["list"]] = -(-r["count"] // most)
+    return out
+
+
+def searched(posts: DataFrame, kinds: DataFrame, index: Broadcast, dim: int, k: int, ratio: float, least: int, beam: int) -> DataFrame:
+    """(h1, h2, ids, scores): the ``k`` + 1 best ids of the lists that each query class (vec, h1, h2) opens.
 
-    def probe(batches):
+    Both the vectors and the queries of a list are dealt into parts, and each part of the one meets each of the other in a task.
+    """
+    spark, lists_all = posts.sparkSession, len(index.value.graph.c)
+
+    def open_lists(batches):
         for batch in batches:
             r, lists = index.value.lists(matrix(batch.column(0), dim), True, ratio, beam, least)
-            n = parts.value[lists]
-            r, lists = np.repeat(r, n), np.repeat(lists, n)
-            part = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
-            take = [batch.column(i).take(pa.array(r)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), *take], ["list", "part", "vec", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *[batch.column(i).take(pa.array(r)) for i in range(3)]], ["list", "vec", "h1", "h2"])
 
-    asked = rows.where(queries).select("vec_id", "h1", "h2")
-    kinds = classes.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("vec", "h1", "h2")
-    ratio, least = calibrate(fitted, classes, kinds, k, near, replicas, ratio, least, beam)
-    probes = kinds.mapInArrow(probe, "list int, part int, vec array<double>, h1 long, h2 long")
-    many = F.element_at(F.create_map(*[F.lit(x) for i, n in sizes.items() if n > 1 for x in (i, n)]), F.col("list")) if any(n > 1 for n in sizes.values()) else F.lit(1)
-    posts = posts.withColumn("part", F.pmod(F.xxhash64("ids"), F.coalesce(many, F.lit(1))).cast("int"))
+    probes = written(kinds.mapInArrow(open_lists, "list int, vec array<double>, h1 long, h2 long"), "probes")
+    post_parts, probe_parts = (spark.sparkContext.broadcast(parts_of(df, lists_all, most)) for df, most in ((posts, LIST_ROWS), (probes, LIST_PROBES)))
+
+    def deal(own: Broadcast, other: Broadcast, names: list[str]):
+        """Each row goes to one part of its side, chosen by its place, and to all parts of the other."""
+
+        def work(batches):
+            for number, batch in enumerate(batches):
+                lists = batch.column(0).to_numpy()
+                mine = (np.arange(len(lists)) + number) % np.maximum(own.value[lists], 1)
+                n = other.value[lists]
+                r = np.repeat(np.arange(len(lists)), n)
+                theirs = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+                both = dict(zip(names, (mine[r], theirs)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), *[pa.array(both[c].astype(np.int32)) for c in ("i", "j")], *[c.take(pa.array(r)) for c in batch.columns[1:]]], ["list", "i", "j", *batch.schema.names[1:]])
+
+        return work
+
+    left = posts.mapInArrow(deal(post_parts, probe_parts, ["i", "j"]), "list int, i int, j int, vec array<double>, ids array<long>")
+    right = probes.mapInArrow(deal(probe_parts, post_parts, ["j", "i"]), "list int, i int, j int, vec array<double>, h1 long, h2 long")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         scores, found, qs = [], [], []
@@ -309,7 +355,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", em
         picked = right.select(["h1", "h2"]).take(pa.array(qs, pa.int64()))
         return pa.table({"h1": picked["h1"], "h2": picked["h2"], "ids": lists(found, pa.int64()), "scores": lists(scores, pa.float64())})
 
-    pairs = posts.groupBy("list", "part").cogroup(probes.groupBy("list", "part")).applyInArrow(meet, "h1 long, h2 long, ids array<long>, scores array<double>")
+    pairs = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInArrow(meet, "h1 long, h2 long, ids array<long>, scores array<double>")
 
     def best(batches):
         """Streams over rows sorted by query class; the best k + 1 of each."""
@@ -345,11 +391,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", em
         if done:
             yield flush()
 
-    top = pairs.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(best, "h1 long, h2 long, ids array<long>, scores array<double>")
-    found = asked.join(top, ["h1", "h2"]).select("vec_id", F.arrays_zip("ids", "scores").alias("z"))
-    others = F.slice(F.filter("z", lambda x: x["ids"] != F.col("vec_id")), 1, k)
-    return found.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    return pairs.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(best, "h1 long, h2 long, ids array<long>, scores array<double>")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest others of every twentieth vector; see :func:`usable` for those that take no part."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

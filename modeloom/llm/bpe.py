@@ -6,7 +6,12 @@ grows until the tokens outside it provably stay: a token sequence is the encodin
 bytes exactly if each pair of neighbours is the encoding of the pair's bytes, so it is
 enough that the window's outermost tokens stand next to their outer neighbours unchanged.
 Pieces of the pattern are walls that no token crosses; there, a join is concatenation.
-Decoding concatenates up the tree.
+
+A text is halved down to leaves of at most ``TEXT_LEAF`` characters, wherever the halves fall,
+and a piece, or what a cut leaves of it, down to leaves of a few bytes.  What is next
+to a wall is final, so of the joins of a text only those at seams inside pieces change tokens;
+they are made in the order of the tree, and the rest is concatenation.  Decoding
+concatenates up the tree of halves.
 """
 
 from __future__ import annotations
@@ -21,22 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from modeloom.llm.common import map_batches, table, texts_of
-from modeloom.llm.pieces import PieceCache, ragged, text_slices
+from modeloom.llm.pieces import PieceCache, code_points, piece_starts, ragged, spelled, text_slices
 from modeloom.llm.tokens import vocabulary
 
+TEXT_LEAF = 256
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class TreeBPE:
     """Encoder and decoder over ranks (bytes of a token -> id)."""
 
-    def __init__(self, ranks: dict[bytes, int], leaf: int = 24):
+    def __init__(self, ranks: dict[bytes, int], leaf: int = 4):
         self.ranks, self.leaf = ranks, leaf
         self.token = {i: b for b, i in ranks.items()}
+        self.joins = 0
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._halves: dict[bytes, list[int]] = {}
 
     @classmethod
-    def from_file(cls, path: str, leaf: int = 24) -> TreeBPE:
+    def from_file(cls, path: str, leaf: int = 4) -> TreeBPE:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, leaf)
 
@@ -102,6 +110,7 @@ class TreeBPE:
         """The encoding of the bytes of both."""
         if not left or not right:
             return left + right
+        self.joins += 1
         size = 1
         while True:
             a, b = max(0, len(left) - size), min(len(right), size)
@@ -110,19 +119,37 @@ class TreeBPE:
                 return left[:a] + middle + right[b:]
             size *= 2
 
-    def _tree(self, data: bytes) -> list[int]:
+    def tree(self, data: bytes) -> list[int]:
+        """The encoding of bytes that no wall divides; short ones are kept (the bound changes speed only)."""
         if len(data) <= self.leaf:
             return self.merge(data)
-        half = len(data) // 2
-        return self.join(self._tree(data[:half]), self._tree(data[half:]))
+        found = self._halves.get(data)
+        if found is None:
+            half = len(data) // 2
+            found = self.join(self.tree(data[:half]), self.tree(data[half:]))
+            if len(data) <= 16:
+                if len(self._halves) > 500_000:
+                    self._halves.clear()
+                self._halves[data] = found
+        return found
 
     def encode_piece(self, data: bytes) -> list[int]:
         """The encoding of one match of the pattern."""
-        whole = self.ranks.get(data)
-        return [whole] if whole is not None else self._tree(data)
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.token[i] for i in ids])
+        return self.as_piece(data, self.tree(data))
+
+    def as_piece(self, data: bytes, ids: list[int]) -> list[int]:
+        """A whole piece that is a token is that token, even one that merges would not reach."""
+        if len(ids) > 1 and (whole := self.ranks.get(data)) is not None:
+            return [whole]
+        return ids
+
+    def decode(self, ids: np.ndarray, leaf: int = 1 << 16) -> bytes:
+        """Bytes of ids: those of the halves, one after the other; a leaf is one gather from the table of tokens."""
+        if len(ids) > leaf:
+            half = len(ids) // 2
+            return self.decode(ids[:half], leaf) + self.decode(ids[half:], leaf)
+        pool, begin, count = self.tables()[:3]
+        return pool[ragged(begin[ids], count[ids])].tobytes()
 
     @lru_cache(maxsize=1)
     def tables(self) -> tuple[np.ndarray, ...]:
@@ -135,27 +162,96 @@ class TreeBPE:
         return tuple(out)
 
 
+class TreeEncoder(PieceCache):
+    """Encodes texts by the tree of their halves; equal pieces, and equal joins inside pieces, are made once per worker."""
+
+    def __init__(self, bpe: TreeBPE, most: int = 2_000_000):
+        super().__init__(lambda pieces: [bpe.encode_piece(p.encode("utf-8", "surrogatepass")) for p in pieces], most)
+        self.bpe = bpe
+        self.joined: dict[tuple[str, ...], list[int]] = {}
+
+    def join_parts(self, parts: list[str], heights: list[int]) -> list[int]:
+        """The encoding of a piece from its parts between seams, joined in the order of the seams' heights in the tree."""
+        found = self.joined.get(key := tuple(parts))
+        if found is None:
+            values = [self.bpe.tree(p.encode("utf-8", "surrogatepass")) for p in parts]
+            heights = heights[:]
+            while heights:
+                k = heights.index(min(heights))
+                values[k : k + 2] = [self.bpe.join(values[k], values[k + 1])]
+                del heights[k]
+            found = self.bpe.as_piece("".join(parts).encode("utf-8", "surrogatepass"), values[0])
+            if len(self.joined) > 500_000:
+                self.joined.clear()
+            self.joined[key] = found
+        return found
+
+    def encode_part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cp, at = code_points(texts)
+        starts = piece_starts(cp, at)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        ends = np.append(starts[1:], len(cp))
+        seam, height = seams(at)
+        piece = np.searchsorted(starts, seam, "right") - 1
+        inside = starts[piece] != seam  # elsewhere the join is concatenation
+        seam, height, piece = seam[inside], height[inside], piece[inside]
+        cut, first = np.unique(piece, return_index=True)
+        results = []
+        for p, a, b in zip(cut.tolist(), first.tolist(), np.append(first[1:], len(piece)).tolist()):
+            edge = [int(starts[p]), *seam[a:b].tolist(), int(ends[p])]
+            results.append(self.join_parts([spelled(cp[i:j]) for i, j in zip(edge, edge[1:])], height[a:b].tolist()))
+        uncut = np.ones(len(starts), bool)
+        uncut[cut] = False
+        size = ends - starts
+        kept = cp[ragged(starts[uncut], size[uncut])] if len(cut) else cp
+        own = size[uncut]
+        ids, count = self.encode_pieces(kept, np.cumsum(own) - own) if len(own) else (np.zeros(0, np.uint32), own)
+        n, where = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        more = np.fromiter(map(len, results), np.int64, len(results))
+        n[uncut], n[cut] = count, more
+        where[uncut], where[cut] = np.cumsum(count) - count, len(ids) + np.cumsum(more) - more
+        pool = np.concatenate([ids, np.fromiter((i for r in results for i in r), np.uint32, int(more.sum()))])
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return pool[ragged(where, n)], np.diff(upto[np.searchsorted(starts, at)])
+
+
+def seams(at: np.ndarray, leaf: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where texts, which begin at ``at``, are cut into leaves by halving, in ascending order, and how high in the tree each seam is joined."""
+    n = np.diff(at)
+    depth = np.ceil(np.log2(np.maximum(n / (leaf or TEXT_LEAF), 1))).astype(np.int64)
+    leaves = 1 << depth
+    text = np.repeat(np.arange(len(n)), leaves - 1)
+    i = ragged(np.ones(len(n), np.int64), leaves - 1)
+    return at[text] + n[text] * i // leaves[text], (i & -i)
+
+
 @lru_cache(maxsize=2)
-def tree_cache(path: str) -> tuple[TreeBPE, PieceCache]:
-    bpe = TreeBPE.from_file(path)
-    return bpe, PieceCache(lambda pieces: [bpe.encode_piece(p.encode()) for p in pieces])
+def tree_encoder(path: str) -> TreeEncoder:
+    return TreeEncoder(TreeBPE.from_file(path))
 
 
-def digests(ids: np.ndarray, at: np.ndarray, pool: np.ndarray, begin: np.ndarray, count: np.ndarray, cut: int) -> list[str]:
-    """SHA-256 per text of what its ids stand for in the pool, without the last ``cut`` bytes."""
-    n = count[ids]
-    data = memoryview(pool[ragged(begin[ids], n)].tobytes())
-    upto = np.zeros(len(n) + 1, np.int64)
-    np.cumsum(n, out=upto[1:])
-    edge = upto[at].tolist()
-    return [hashlib.sha256(data[a : max(a, b - cut)]).hexdigest() for a, b in zip(edge, edge[1:])]
+def digests(data: bytes, sizes: np.ndarray, cut: int = 0) -> list[str]:
+    """SHA-256 of each of the texts in a row, whose sizes are given, without their last ``cut`` bytes."""
+    edge, view = np.concatenate([[0], np.cumsum(sizes)]).tolist(), memoryview(data)
+    return [hashlib.sha256(view[a : max(a, b - cut)]).hexdigest() for a, b in zip(edge, edge[1:])]
+
+
+def summed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    upto = np.concatenate([[0], np.cumsum(values)])
+    return np.diff(upto[at])
 
 
 def encode_documents(docs: DataFrame, vocab: str) -> DataFrame:
-    """doc_id and ids (array of int) of each text; null texts are empty, repeated rows stay, other columns are ignored."""
+    """doc_id and ids (array of int) of each text.
+
+    Null texts are empty, null ids and repeated rows stay, other columns are ignored, an empty
+    table gives no row.  A very long text is encoded part by part, so it costs memory for its ids
+    and one part; one without any blank between other signs is one part.
+    """
 
     def work(batch: pa.RecordBatch) -> dict:
-        _, cache = tree_cache(vocab)
+        cache = tree_encoder(vocab)
         texts, parts, sizes = batch.column(1).to_pylist(), [], []
         for a, b in text_slices(texts):
             ids, at = cache.encode_texts(texts[a:b])
@@ -172,15 +268,16 @@ def decode_documents(encoded: DataFrame, vocab: str) -> DataFrame:
     """Per row of :func:`encode_documents`: how many ids, and the digests of the ids and of the bytes they decode to."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        pool, begin, count, dpool, dbegin, dcount = tree_cache(vocab)[0].tables()
+        bpe = tree_encoder(vocab).bpe
+        _, _, count, dpool, dbegin, dcount = bpe.tables()
         lists = batch.column(1)
         flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
         by_ids, by_bytes, k = [], [], 0
         while k < len(ends) - 1:
             m = max(k + 1, int(np.searchsorted(ends, ends[k] + 1_000_000, "right")) - 1)
             ids, at = flat[ends[k] : ends[m]], ends[k : m + 1] - ends[k]
-            by_ids += digests(ids, at, dpool, dbegin, dcount, 1)
-            by_bytes += digests(ids, at, pool, begin, count, 0)
+            by_ids += digests(dpool[ragged(dbegin[ids], dcount[ids])].tobytes(), summed(dcount[ids], at), 1)
+            by_bytes += digests(bpe.decode(ids), summed(count[ids], at))
             k = m
         return {"doc_id": batch.column(0), "n_tokens": np.diff(ends), "ids_sha256": by_ids, "decoded_sha256": by_bytes}
 

@@ -5,6 +5,12 @@ prefixes of a conversation; what a prefix adds to the one before is the span of
 turn.  A prefix whose output does not begin with the output before shows a template that
 rewrites history.  Within a span, a second rendering with a marker for the text shows
 where the text stands, which gives the loss mask.
+
+A template may declare, as its attribute ``context``, how many turns before a turn decide what
+that turn adds.  It is then rendered after so many turns instead of whole prefixes, in
+conversations of any length; what it declares is tested on every turn and on the whole
+output, and whole prefixes are rendered where it fails.  A template that declares nothing is
+always rendered for each prefix, whole.
 """
 
 from __future__ import annotations
@@ -72,49 +78,58 @@ class Located:
         self.formatted, self.spans, self.texts, self.rewritten_at = formatted, spans, texts, rewritten_at
 
 
-def _added(render: Callable[[list[Turn]], str], before: list[Turn], turn: Turn) -> str | None:
-    old, new = render(before), render([*before, turn])
+instruction_template.context = 0
+
+
+def _added(old: str, new: str) -> str | None:
     return new[len(old) :] if new.startswith(old) else None
 
 
-def locate(render: Callable[[list[Turn]], str], turns: list[Turn], exact: int = 64, context: int = 4) -> Located:
-    """Renders prefix after prefix.
+def _text_place(added: str, frame: str | None) -> tuple[int, int] | None:
+    """Where the text stands in what a turn adds, seen from what the turn with the marker for a text adds."""
+    if frame is None or MARK not in frame:
+        return None
+    head, tail = frame.split(MARK, 1)
+    if added.startswith(head) and added.endswith(tail) and len(added) >= len(head) + len(tail):
+        return len(head), len(added) - len(tail)
+    return None
+
+
+def locate(render: Callable[[list[Turn]], str], turns: list[Turn], context: int | None = None) -> Located:
+    """Renders prefix after prefix; what each adds to the one before is the span of its last turn.
 
-    The first ``exact`` prefixes are rendered whole.  Beyond them a turn is rendered after its
-    last ``context`` and ``context`` + 1 neighbours; when both add the same, and in the end the
-    parts, one after the other, are the rendering of the whole, that is the turn's span (work
-    in proportion to the length); else every prefix is rendered whole.
+    With ``context``, a turn is rendered after that many turns, and after one more: both must add
+    the same, and the parts, one after the other, must be the rendering of the whole; else
+    every prefix is rendered whole.  A turn without a place for its text has an empty one.
     """
-    whole, previous = render(turns), render([])
+    parts = [previous := render([])]
     spans: list[tuple[int, int]] = []
     texts: list[tuple[int, int]] = []
-    parts = [previous]
-    rewritten = None
-    at = len(previous)
+    rewritten, at = None, len(previous)
     for k, turn in enumerate(turns):
-        before = turns[:k] if k < exact else turns[k - context : k]
-        if k < exact:
-            now = render(turns[: k + 1])
-            if not now.startswith(previous):
-                rewritten = k
-                break
-            added, previous = now[len(previous) :], now
-        else:
-            added = _added(render, before, turn)
-            if added is None or added != _added(render, turns[k - context - 1 : k], turn):
-                return locate(render, turns, len(turns) + 1, context)
-        frame = _added(render, before, (turn[0], MARK))
-        if frame is None or MARK not in frame:
-            texts.append((at, at))
-        else:
-            head, tail = frame.split(MARK, 1)
-            fits = added.startswith(head) and added.endswith(tail) and len(added) >= len(head) + len(tail)
-            texts.append((at + len(head), at + len(added) - len(tail)) if fits else (at, at))
-        parts.append(added)
+        begin = 0 if context is None else max(0, k - context)
+        before = turns[begin:k]
+        old = previous if context is None else render(before)
+        now = render([*before, turn])
+        added = _added(old, now)
+        if context is not None and begin and added is not None:
+            more = turns[begin - 1 : k]
+            if _added(render(more), render([*more, turn])) != added:
+                added = None
+        if added is None:
+            if context is not None:
+                return locate(render, turns)
+            rewritten = k
+            break
+        place = _text_place(added, _added(old, render([*before, (turn[0], MARK)])))
+        texts.append((at + place[0], at + place[1]) if place else (at, at))
         spans.append((at, at + len(added)))
+        parts.append(added)
         at += len(added)
-    if rewritten is None and len(turns) > exact and "".join(parts) != whole:
-        return locate(render, turns, len(turns) + 1, context)
+        previous = now
+    whole = previous if context is None and rewritten is None else render(turns)
+    if context is not None and "".join(parts) != whole:
+        return locate(render, turns)
     return Located(whole, spans, texts, rewritten)
 
 
@@ -125,7 +140,9 @@ def format_conversations(conversations: DataFrame, render: Callable[[list[Turn]]
     turns by role and text; a null role or text is empty; rows without a conv_id make one
     conversation with a null id; other columns are ignored; an empty table gives no row.  A
     conversation that its template rewrites has ``rewritten_at`` set to that turn and spans
-    for the turns before only.  Tasks stream over sorted rows and hold one conversation.
+    for the turns before only.  Tasks stream over sorted rows and hold one conversation, which is
+    one row of output, so memory is that of the longest conversation.  A template that declares
+    no ``context`` costs time that grows with the square of a conversation's length.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +151,7 @@ def format_conversations(conversations: DataFrame, render: Callable[[list[Turn]]
 
         def close() -> None:
             nonlocal size
-            got = locate(render, turns)
+            got = locate(render, turns, getattr(render, "context", None))
             loss = [x for x, (role, _) in zip(got.texts, turns) if role == "assistant"]
             for name, v in zip(out, (key, got.formatted, [r for r, _ in turns], [a for a, _ in got.spans], [a for a, _ in loss], [b for _, b in loss], got.rewritten_at)):
                 out[name].append(v)

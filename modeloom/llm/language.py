@@ -20,9 +20,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from modeloom.llm.common import table, text_bytes
+from modeloom.llm.common import col, fresh, table, text_bytes
 
 ORDER = 3
 HEAD = 3  # blanks before each text, its first context
@@ -169,16 +168,19 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, per_language: int = 400) -> Model:
     """A model of the non-null ``lang`` values, from a bounded sample of the labelled rows.
 
-    Per language, the ``per_language`` documents whose hashed ids are least, held-out ones
-    left aside, give counts by whole text.  Their hashes are found from narrow columns, counts
+    Per language, about ``per_language`` documents give counts by whole text (all, if there are no
+    more; held-out ones are left aside): those whose hashed ids lie below the share of all hash
+    values that the language's number of documents asks for.  That number is an aggregate that is
+    added up before it is shuffled, so no task gets a language's documents; counts of the sample
     are summed on the executors, and the driver gets sums whose number the sample bounds.
     """
     rows = docs.where(~held_out()).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("hash"))
-    least = rows.select("lang", "hash").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("hash").alias("most")).collect()
-    if not least:
+    sizes = rows.groupBy("lang").count().collect()
+    if not sizes:
         return Model([], [])
-    bound = F.create_map(*[F.lit(x) for r in least for x in (r["lang"], r["most"])])
+    top = lambda n: (1 << 63) - 1 if n <= per_language else (1 << 64) * per_language // n - (1 << 63)
+    bound = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], top(r["count"]))])
 
     def count(batches):
         for batch in batches:
@@ -215,25 +217,33 @@ def predict_columns(model: Model, text: pa.Array, known: pa.Array) -> tuple[list
     return [model.languages[b] if h else UNKNOWN for b, h in zip(best, has)], np.where(has, score, 0.0), low / np.maximum(np.diff(ends), 1)
 
 
-def predict(docs: DataFrame, model: Broadcast, prefix: str = "") -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred``, ``score``, ``bits_per_byte`` (names with ``prefix``).
+def predict(docs: DataFrame, model: Broadcast) -> DataFrame:
+    """All columns of ``docs`` and three more: language, score and code bits a byte.
 
-    A text that is null or has no letter is ``und`` with score 0; ties go to the first language
-    by name; repeated rows and null ids stay; with no language learned all is ``und``.
+    They are called ``lang_pred``, ``score`` and ``bits_per_byte``, with as many ``_`` behind as
+    it takes to differ from the columns of ``docs``, and are the last three.  A text that is null or
+    has no letter is ``und`` with score 0; ties go to the first language by name; repeated rows
+    and null ids stay; with no language learned all is ``und``; an empty table gives no row.
+    Texts are taken in runs of 2 MB; a very long one costs some 60 bytes of memory a byte.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField(prefix + "lang_pred", T.StringType()), T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "bits_per_byte", T.DoubleType())])
-    text, n = F.coalesce(F.col("text").cast("string"), F.lit("")), len(docs.columns)
-    wide = docs.select("*", text.alias("__text"), text.rlike(r"\p{L}").alias("__known"))
+    names = docs.columns
+    for base in ("lang_pred", "score", "bits_per_byte"):
+        names = [*names, fresh(names, base)]
+    n = len(docs.columns)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, t) for c, t in zip(names[n:], (T.StringType(), T.DoubleType(), T.DoubleType()))]])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    wide = docs.select(*map(col, docs.columns), text.alias(names[n]), text.rlike(r"\p{L}").alias(names[n + 1]))
 
     def work(batches):
         for batch in batches:
             out = predict_columns(model.value, batch.column(n), batch.column(n + 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *map(pa.array, out)], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *map(pa.array, out)], names)
 
     return wide.mapInArrow(work, schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents of the table; see :func:`predict` for odd rows."""
     docs = table(spark, sf_dir, "documents")
     model = spark.sparkContext.broadcast(train(docs))
     return predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), model).drop("text")

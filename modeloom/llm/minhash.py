@@ -24,32 +24,41 @@ from pyspark.sql import functions as F
 
 from modeloom.llm.common import discard, table, texts_of, written
 from modeloom.llm.components import components
-from modeloom.llm.pieces import SPACE, classes, code_points, mix, span_hashes, text_slices
+from modeloom.llm.pieces import SPACE, classes, code_points, mix, text_parts, text_slices, tile_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 4, 20
 REGISTERS = ROWS * BANDS
-BLOCK = 2000
+BLOCK, BLOCK_BYTES = 2000, 16 << 20  # documents, and bytes of their multisets, that a side of a block has
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in a row, and how many each text has; a long text is taken part by part."""
+    parts, count = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for k, own in text_parts(texts):
+        cp, at = code_points([t.lower() for t in own])
+        if not len(cp):
+            continue
+        word = classes()[cp] != SPACE
+        edge = np.zeros(len(cp) + 1, bool)
+        edge[at] = True
+        starts, stops = word.copy(), word.copy()
+        starts[1:] &= ~word[:-1] | edge[1:-1]
+        stops[:-1] &= ~word[1:] | edge[1:-1]
+        starts, stops = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+        parts.append(tile_hashes(cp, starts, stops))
+        count[k : k + len(own)] += np.diff(np.searchsorted(starts, at))
+    return np.concatenate(parts), count
+
+
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, shingle hash, weight), by text."""
-    cp, at = code_points([t.lower() for t in texts])
-    if not len(cp):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = classes()[cp] != SPACE
-    edge = np.zeros(len(cp) + 1, bool)
-    edge[at] = True
-    starts = word.copy()
-    starts[1:] &= ~word[:-1] | edge[1:-1]
-    starts = np.flatnonzero(starts)
-    stops = word.copy()
-    stops[:-1] &= ~word[1:] | edge[1:-1]
-    stops = np.flatnonzero(stops) + 1
-    h = span_hashes(cp, starts, stops)
-    text = np.searchsorted(at, starts, "right") - 1
-    count = np.bincount(text, minlength=len(texts))
+    """(text number, shingle hash, weight), by text.
+
+    A word is known by 64 bits: sums of random numbers for each of its letters at its place.
+    """
+    h, count = word_hashes(texts)
+    text = np.repeat(np.arange(len(texts)), count)
     first = np.cumsum(count) - count
     size = np.minimum(count[text], words)  # a short text is one shingle
     begins = np.arange(len(h)) - first[text] <= count[text] - size
@@ -59,15 +68,13 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
         has = size > k
         total[has] += (h[b[has] + k] ^ (h[b[has] + k] >> np.uint64(31))) * _ODD[k % 5]
     value, text = mix(total), text[begins]
-    order = np.argsort(value + text.astype(np.uint64) * _ODD[0])  # equal shingles of a text stand together
+    order = np.lexsort((value, text))
     value, text = value[order], text[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
     place = np.flatnonzero(new)
     weight = np.diff(np.append(place, len(value)))
-    value, text = value[place], text[place]
-    order = np.argsort(text, kind="stable")
-    return text[order], value[order], weight[order]
+    return text[place], value[place], weight
 
 
 def draw(seed: np.ndarray, step: int) -> np.ndarray:
@@ -248,16 +255,20 @@ def unmet(items: DataFrame, bands: DataFrame, joined: DataFrame, similarity: flo
     """Links (a, b), a written table, between documents that share a bucket and lie in different components so far.
 
     In a bucket, the documents outside its most frequent component meet all of its
-    documents; both sides are dealt in blocks, so no task holds a large bucket.  A block of
-    pairs is compared in memory, and what it gives is one link per document at most, to the
-    least one that it is linked to there, so no pairs are written.
+    documents; both sides are dealt in blocks of bounded number and bytes, so no task holds a
+    large bucket.  A block of pairs is compared in memory, and what it gives is one link per
+    document at most, to the least one that it is linked to there, so no pairs are written.  Each
+    document is sent once for each block of the other side: rows and time grow with the product
+    of both sides, which is the price of losing no link.
     """
-    member = bands.join(joined.select("v", "component"), "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
+    sizes_of = items.select("v", F.octet_length("items").cast("long").alias("size"))
+    member = bands.join(joined.select("v", "component"), "v", "left").join(sizes_of, "v").select("key", "v", "size", F.coalesce("component", "v").alias("c"))
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     member = written(member.join(mixed, "key"), "mixed-buckets")
-    sizes = member.groupBy("key", "c").count().groupBy("key").agg(F.sum("count").alias("n"), F.max_by("c", F.struct("count", F.col("c"))).alias("home"), F.max("count").alias("most"))
-    known = member.join(sizes, "key").withColumn("out", F.col("n") - F.col("most"))
-    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    by = F.struct("count", F.col("c"))
+    sizes = member.groupBy("key", "c").agg(F.count("*").alias("count"), F.sum("size").alias("bytes")).groupBy("key").agg(F.sum("count").alias("n"), F.sum("bytes").alias("n_bytes"), F.max_by("c", by).alias("home"), F.max("count").alias("most"), F.max_by("bytes", by).alias("most_bytes"))
+    known = member.join(sizes, "key").withColumns({"out": F.col("n") - F.col("most"), "out_bytes": F.col("n_bytes") - F.col("most_bytes")})
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(n + "_bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
     at = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), blocks(n).cast("long")).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     outside = known.where("c <> home").withColumn("i", at("out", 1)).withColumn("j", spread("n"))
@@ -288,12 +299,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     ``docs``: doc_id, text.  A null text is empty.  Equal texts are one class even if they have no
     word; rows with an equal doc_id are one document; documents without an id take no part and
-    come back with a null class; other columns are ignored; an empty table gives no row.
+    come back with a null class; other columns are ignored; an empty table gives no row.  A very
+    long text is read part by part, but costs memory for its shingles, 24 bytes each.
     Signatures that stand in for candidates miss a pair at the similarity with a chance of 3e-5.
     """
     rows = written(sign(docs), "signatures")
     nodes = written(rows.groupBy("sum").agg(F.min("doc_id").alias("v"), F.min("sig").alias("sig")), "texts")
-    bands = banded(nodes)
+    bands = written(banded(nodes), "bands")
     centres = bands.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("key", "a")
     met = bands.join(centres, "key")
     near = written(met.groupBy("v").agg(F.min("a").alias("a")), "star")  # every document that shares a bucket
@@ -311,7 +323,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         star = first
         first = components(links.unionByName(more))
         discard(star)
-    discard(near, items, links, more)
+    discard(near, items, links, more, bands)
     whole = nodes.select("sum", "v").join(first, "v", "left").select("sum", F.coalesce("component", "v").alias("class_id"))
     out = rows.select("doc_id", "sum").join(whole, "sum").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     none = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
@@ -319,4 +331,5 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of the documents of the table; see :func:`near_duplicates` for odd rows."""
     return near_duplicates(table(spark, sf_dir, "documents"))

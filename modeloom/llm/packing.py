@@ -5,9 +5,10 @@ what is left over, shorter than a window, is put by descending length into the o
 with the least remaining capacity that still holds it.  A segment tree over the remaining
 capacities finds that window in O(log capacity).
 
-Each task packs the left-over pieces of its own partition (in runs of at most ``run``
-pieces, so memory is bounded), hence nothing is shuffled: only the few windows still open
-at the end of a run carry padding.  A lost task is simply run again.
+Texts are encoded where they are read; only their pieces (numbers, no ids) are written to the
+shared folder.  Full windows are done; pieces left over are dealt evenly to as many tasks as
+hold ``run`` pieces each, however many partitions the texts came from, and each task packs its
+own, so only the few windows still open at the end of a task carry padding.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from modeloom.llm.common import table, texts_of
+from modeloom.llm.common import table, texts_of, written
 from modeloom.llm.pieces import text_slices
 from modeloom.llm.tokens import library_cache, vocabulary
 
@@ -77,6 +79,36 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, offset, used
 
 
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long"
+
+
+def batch(schema: str, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in schema.split(", ")])
+
+
+def cut_pieces(docs: DataFrame, vocab: str, end_id: int, capacity: int) -> DataFrame:
+    """Pieces of the documents; a full one has a sequence of its own, others have none yet."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, number, end = library_cache(vocab), TaskContext.get().partitionId() << 32, np.array([end_id], np.uint32)
+        for rows in batches:
+            texts, docs = rows.column(1).to_pylist(), rows.column(0).to_pylist()
+            for a, b in text_slices(texts):
+                ids, at = cache.encode_texts(texts[a:b])
+                out: list[tuple] = []
+                for k, doc in enumerate(docs[a:b]):
+                    own = np.concatenate([ids[at[k] : at[k + 1]], end])
+                    for s in range(0, len(own), capacity):
+                        piece = own[s : s + capacity]
+                        full = len(piece) == capacity
+                        out.append((doc, s, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), len(own), number if full else None))
+                        number += full
+                if out:
+                    yield batch(PIECE, list(zip(*out)))
+
+    return texts_of(docs, "doc_id").mapInArrow(work, PIECE)
+
+
 def pack(docs: DataFrame, vocab: str, end_id: int = 1, capacity: int = 2048, run: int = 262_144) -> DataFrame:
     """Packs documents into sequences of at most ``capacity`` tokens; one row per piece.
 
@@ -84,47 +116,37 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 1, capacity: int = 2048, run
     packed one by one, other columns are ignored, an empty table gives no row.  A document is
     its ids followed by ``end_id``, so even an empty text has one token.  Pieces of a document
     are cut at multiples of ``capacity``; offsets in a sequence have no gaps.  ``sequence_id``
-    is unique over the table: partition, then number within it.
+    is unique over the table: for a full piece, the task that encoded it and a number within it; for
+    others the same of the task that packed them, plus 2 to the power 62.  A very long
+    text costs memory for its ids and one part of it.
     """
+    pieces = written(cut_pieces(docs, vocab, end_id, capacity), "pieces")
+    left = pieces.where(F.col("sequence_id").isNull())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, base, end = library_cache(vocab), TaskContext.get().partitionId() << 40, np.array([end_id], np.uint32)
-        left: list[list] = [[], [], [], [], []]  # doc, start, length, crc, tokens of the document
-        done = 0
-
-        def rows(*columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in SCHEMA.split(", ")])
+        held: list[pa.RecordBatch] = []
+        base = 1 << 62 | TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            nonlocal done
-            window, offset, n = best_fit_decreasing(np.array(left[2], np.int64), capacity)
-            out = rows(*left, window + (base + done), offset)
-            done += n
-            for x in left:
-                x.clear()
+            nonlocal base
+            t = pa.Table.from_batches(held)
+            held.clear()
+            window, offset, n = best_fit_decreasing(t["length"].to_numpy(), capacity)
+            out = batch(SCHEMA, [*[t.column(i).combine_chunks() for i in range(5)], window + base, offset])
+            base += n
             return out
 
-        for batch in batches:
-            texts, docs = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for a, b in text_slices(texts):
-                ids, at = cache.encode_texts(texts[a:b])
-                full: list[list] = [[], [], [], [], []]
-                for k, doc in enumerate(docs[a:b]):
-                    own = np.concatenate([ids[at[k] : at[k + 1]], end])
-                    for s in range(0, len(own), capacity):
-                        piece = own[s : s + capacity]
-                        for x, v in zip(left if len(piece) < capacity else full, (doc, s, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), len(own))):
-                            x.append(v)
-                if n := len(full[0]):
-                    yield rows(*full, np.arange(base + done, base + done + n), np.zeros(n, np.int64))
-                    done += n
-                if len(left[0]) >= run:
-                    yield flush()
-        if left[0]:
+        for rows in batches:
+            held.append(rows)
+            if sum(r.num_rows for r in held) >= 2 * run:
+                yield flush()
+        if held:
             yield flush()
 
-    return texts_of(docs, "doc_id").mapInArrow(work, SCHEMA)
+    packed = left.repartition(max(1, -(-left.count() // run))).mapInArrow(work, SCHEMA)
+    return pieces.where(F.col("sequence_id").isNotNull()).withColumn("offset", F.lit(0).cast("long")).unionByName(packed)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents of the table; see :func:`pack` for odd rows."""
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))

@@ -4,14 +4,16 @@ The pattern is the public one of ``public_tokenizers.PATTERN``: contractions, ru
 letters, digits or other signs with at most one leading space, and white-space runs.
 A batch of texts is handled as one array of code points; the rules are evaluated with
 numpy on classes of code points, so no Python object is made per piece.  Each piece
-gets a 64-bit polynomial hash, equal pieces of a batch are folded, and only pieces not
-met before are handed to an encoder.  Code points that Python's Unicode tables do not
-assign count as other signs.  A worker keeps what it has encoded in a bounded
-:class:`PieceCache`; the bound changes speed only, never results.
+gets a hash by which it is looked up among those met before, its code points are compared
+with those of the piece found, and only pieces not met before are handed to an encoder.
+Code points that Python's Unicode tables do not assign count as other signs.  A worker keeps
+what it has encoded in a bounded :class:`PieceCache`; the bound changes speed only, never
+results.  A long text is cut at single blanks between other signs, where a piece always begins.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -22,6 +24,7 @@ LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 #: White space as Unicode defines it (fixed values).
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _K1, _K2, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0xD6E8FEB86659FD93
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -57,7 +60,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of an integer array; equal contents give equal hashes."""
+    """64-bit hashes of spans of an integer array that may overlap.
+
+    Equal contents give equal hashes.  The hash is a polynomial modulo 2**64, for which contents
+    of regular build may collide; where it is used, equal hashes decide no result.
+    """
     pw, inv = powers(len(values) + 1)
     v = (values.astype(np.uint64) + np.uint64(1)) * _K1
     v ^= v >> np.uint64(29)
@@ -68,6 +75,17 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * _K2)
 
 
+def tile_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ascending disjoint spans: sums of random numbers that stand for each value at its place in the span."""
+    n = len(values)
+    place = np.arange(n)
+    if len(starts):
+        place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, n)))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(values.astype(np.uint64) * _K1 + place.astype(np.uint64) * _K2), out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64) * _K2)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the concatenated ranges start .. start + length."""
     lengths = lengths.astype(np.int64)
@@ -137,38 +155,47 @@ def blank_joined(starts: np.ndarray, blank: np.ndarray, at: np.ndarray) -> np.nd
 
 
 class PieceCache:
-    """Encoded pieces of this worker, by hash: a pool of ids and the place of each piece in it."""
+    """Encoded pieces of this worker: a pool of ids, a pool of code points, and the place of each piece in both.
+
+    ``whole``: a pattern; texts in which it is found are encoded each as a whole.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 2_000_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 2_000_000, whole: re.Pattern | None = None, encode_whole: Callable[[str], list[int]] | None = None):
+        self.encode, self.most, self.whole, self.encode_whole = encode, most, whole, encode_whole
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.where, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def add(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = self.encode(texts)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        begin = self.used + np.cumsum(n) - n
-        self.used += total
-        keys, begin, n = np.concatenate([self.keys, keys]), np.concatenate([self.where, begin]), np.concatenate([self.count, n])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.where, self.count = keys[order], begin[order], n[order]
+        none = np.zeros(0, np.int64)
+        self.keys, self.entry = np.zeros(0, np.uint64), none  # sorted hashes, and their entries
+        self.where, self.count, self.text_at, self.text_size = none, none, none, none
+        self.pools, self.used = {"ids": np.zeros(1 << 16, np.uint32), "text": np.zeros(1 << 16, np.uint32)}, {"ids": 0, "text": 0}
+        self.others: dict[str, int] = {}  # pieces whose hash another piece has
 
-    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text begins in them (one more entry than texts)."""
-        cp, at = code_points(texts)
-        starts = piece_starts(cp, at)
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+    def put(self, name: str, values: np.ndarray) -> None:
+        used = self.used[name]
+        while used + len(values) > len(self.pools[name]):
+            self.pools[name] = np.concatenate([self.pools[name], np.zeros_like(self.pools[name])])
+        self.pools[name][used : used + len(values)] = values
+        self.used[name] += len(values)
+
+    def add(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """New entries, from code points."""
+        ids = self.encode([spelled(p) for p in pieces])
+        n, size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids, pieces))
+        first = len(self.where)
+        self.where = np.concatenate([self.where, self.used["ids"] + np.cumsum(n) - n])
+        self.text_at = np.concatenate([self.text_at, self.used["text"] + np.cumsum(size) - size])
+        self.count, self.text_size = np.concatenate([self.count, n]), np.concatenate([self.text_size, size])
+        self.put("ids", np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())))
+        self.put("text", np.concatenate(pieces))
+        return np.arange(first, len(self.where))
+
+    def entries(self, cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The entry of each piece; the pieces tile ``cp``."""
         ends = np.append(starts[1:], len(cp))
-        code, unique = pd.factorize(span_hashes(cp, starts, ends))
-        if len(self.keys) + len(unique) > self.most:
+        size = ends - starts
+        code, unique = pd.factorize(tile_hashes(cp, starts, ends))
+        if len(self.keys) + len(self.others) + len(unique) > self.most:
             self.clear()
         place = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
@@ -178,15 +205,89 @@ class PieceCache:
             new = np.flatnonzero(~known)
             one = np.zeros(len(unique), np.int64)
             one[code[::-1]] = np.arange(len(code) - 1, -1, -1)  # first occurrence
-            whole = "".join(texts)
-            s, e = starts[one[new]].tolist(), ends[one[new]].tolist()
-            self.add(unique[new], [whole[i:j] for i, j in zip(s, e)])
+            fresh = self.add([cp[i:j] for i, j in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
+            keys, entry = np.concatenate([self.keys, unique[new]]), np.concatenate([self.entry, fresh])
+            order = np.argsort(keys)
+            self.keys, self.entry = keys[order], entry[order]
             place = np.searchsorted(self.keys, unique)
-        n = self.count[place][code]
-        ids = self.pool[ragged(self.where[place][code], n)]
+        out = self.entry[place][code]
+        # an equal hash proves nothing: the code points are compared
+        same = self.text_size[out] == size
+        held = np.where(same, size, 0)
+        differ = self.pools["text"][ragged(self.text_at[out], held)] != (cp if same.all() else cp[ragged(starts, held)])
+        if differ.any() or not same.all():
+            same[np.searchsorted(np.cumsum(held), np.flatnonzero(differ), "right")] = False
+            for k in np.flatnonzero(~same).tolist():
+                piece = cp[starts[k] : ends[k]]
+                name = spelled(piece)
+                if name not in self.others:
+                    self.others[name] = int(self.add([piece])[0])
+                out[k] = self.others[name]
+        return out
+
+    def encode_pieces(self, cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has."""
+        entry = self.entries(cp, starts)
+        n = self.count[entry]
+        return self.pools["ids"][ragged(self.where[entry], n)], n
+
+    def encode_part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, and how many each has."""
+        cp, at = code_points(texts)
+        starts = piece_starts(cp, at)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        ids, n = self.encode_pieces(cp, starts)
         upto = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=upto[1:])
-        return ids, upto[np.searchsorted(starts, at)]
+        return ids, np.diff(upto[np.searchsorted(starts, at)])
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text begins in them (one more entry than texts)."""
+        parts, sizes = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        for k, own in text_parts(texts, self.whole):
+            if own is None:
+                ids = np.array(self.encode_whole(texts[k]), np.uint32)
+                n = np.array([len(ids)])
+            else:
+                ids, n = self.encode_part(own)
+            parts.append(ids)
+            sizes[k : k + len(n)] += n
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def spelled(cp: np.ndarray) -> str:
+    return cp.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def text_parts(texts: list[str], whole: re.Pattern | None = None, chars: int = 2_000_000) -> Iterator[tuple[int, list[str] | None]]:
+    """(number of the first text, texts) in runs of about so many characters, in order.
+
+    A longer text comes in parts that are pieces in a row, each as a run of its own (as long as
+    it takes to the next place where it can be cut); a text with the pattern comes as None.
+    """
+    begin = size = 0
+    for i, t in enumerate(texts):
+        special = whole is not None and whole.search(t) is not None
+        if special or len(t) > chars:
+            if begin < i:
+                yield begin, texts[begin:i]
+            at = 0
+            while not special and at < len(t):
+                m = _BETWEEN.search(t, at + chars)
+                stop = m.start() if m else len(t)
+                yield i, [t[at:stop]]
+                at = stop
+            if special:
+                yield i, None
+            begin, size = i + 1, 0
+            continue
+        size += len(t)
+        if size >= chars:
+            yield begin, texts[begin : i + 1]
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, texts[begin:]
 
 
 def text_slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:

@@ -1,10 +1,10 @@
 """Token-id files: one concatenated id array, document boundaries in Elias-Fano form.
 
 A file holds, in this order: the magic, the ids (2 bytes each if the vocabulary allows, else
-4), the document ids, the low bits and the high bits of the boundaries, the directory of
-the select structure, and a footer with the sizes.  The boundaries of ``n`` documents over
-``u`` ids take about ``n * (2 + log2(u / n))`` bits; ``select`` finds boundary ``i`` from
-the directory (the place of every 256th set bit) and a population count of few words.
+4), the low bits, high bits and select directory of the boundaries, the same three of the
+document ids (less their least), and a footer with the sizes.  ``n`` values up to ``u`` take about
+``n * (2 + log2(u / n))`` bits; ``select`` finds value ``i`` from the directory (the place of
+every 256th set bit) and a population count of few words.  Nulls come first in a file and are only counted.
 """
 
 from __future__ import annotations
@@ -19,13 +19,17 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from modeloom.llm.common import new_folder, table, texts_of, written
 from modeloom.llm.pieces import text_slices
 from modeloom.llm.tokens import library_cache, vocabulary
 
 MAGIC = b"MLOOMEF1"
-FOOTER = struct.Struct("<8sIIQQQQ")  # magic, id width, low bits, documents, ids, high words, directory entries
+FOOTER = struct.Struct("<8sIIIQQQQQqQ")  # magic, id width, low bits of boundaries and document ids, documents, nulls among them, ids, high bytes of both, least document id, bytes of both
+FILE_IDS = 32_000_000  # ids after which a new file begins
+FILE_BYTES = 64 << 20  # bytes of the table that a task is to have
+UNKNOWN_SIZE = 1 << 60  # plans whose size Spark doesn't know say so by a size beyond this
 EVERY = 256
 BLOCK = 4_000_000  # ids that are read at a time
 
@@ -36,6 +40,14 @@ class EliasFano:
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, directory: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.directory = n, low_bits, low, high, directory
 
+    def stored(self) -> list[bytes]:
+        return [self.low.tobytes(), self.high.tobytes(), self.directory.astype("<u8").tobytes()]
+
+    @classmethod
+    def read(cls, raw: bytes, n: int, bits: int, high: int) -> EliasFano:
+        low = (bits * n + 7) // 8
+        return cls(n, bits, np.frombuffer(raw[:low], np.uint8), np.frombuffer(raw[low : low + high], np.uint8), np.frombuffer(raw[low + high :], "<u8"))
+
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
@@ -45,7 +57,9 @@ class EliasFano:
         place = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(place[-1]) + 8) // 8 if n else 0, np.uint8)
         np.bitwise_or.at(high, place >> 3, (1 << (place & 7)).astype(np.uint8))
-        parts = ((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if bits else np.zeros((n, 0), np.uint8)
+        parts = np.zeros((n, bits), np.uint8)
+        for k in range(bits):
+            parts[:, k] = (values >> np.uint64(k)) & np.uint64(1)
         return cls(n, bits, np.packbits(parts.ravel(), bitorder="little"), high, place[::EVERY].astype(np.uint64))
 
     def select(self, i: int) -> int:
@@ -81,19 +95,20 @@ class EliasFano:
         return begin
 
     def between(self, i: int, j: int) -> np.ndarray:
-        """Values ``i`` to ``j - 1``, by one pass over the bits that hold them, which the directory finds."""
+        """Values ``i`` to ``j - 1`` (unsigned), by one pass over the bits that hold them, which the directory finds."""
         if not 0 <= i < j <= self.n:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64)
         d, stop = i // EVERY, -(-j // EVERY)
         begin = int(self.directory[d]) >> 3
         end = (int(self.directory[stop]) >> 3) + 1 if stop < len(self.directory) else len(self.high)
         place = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little")) + 8 * begin
         skip = int(np.searchsorted(place, int(self.directory[d]))) + i - d * EVERY
-        out = (place[skip : skip + j - i] - np.arange(i, j)) << self.low_bits
+        out = (place[skip : skip + j - i] - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
             first = i * self.low_bits
             bits = np.unpackbits(self.low[first >> 3 : (j * self.low_bits + 7) >> 3], bitorder="little")[first & 7 :][: (j - i) * self.low_bits].reshape(j - i, self.low_bits)
-            out |= bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            for k in range(self.low_bits):
+                out |= bits[:, k].astype(np.uint64) << np.uint64(k)
         return out
 
     def all(self) -> np.ndarray:
@@ -102,30 +117,34 @@ class EliasFano:
 
 
 class TokenFileWriter:
-    """Appends documents; holds boundaries only."""
+    """Appends documents in ascending order of their ids, nulls first; holds boundaries and document ids of one file only."""
 
     def __init__(self, path: str, width: int):
         files, self.path = fs.FileSystem.from_uri(path)
         files.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.out, self.width = files.open_output_stream(self.path), width
         self.ends: list[np.ndarray] = [np.zeros(1, np.int64)]
-        self.docs: list[np.ndarray] = []
-        self.n = 0
+        self.docs: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.n = self.n_docs = self.nulls = 0
         self.out.write(MAGIC)
 
-    def append(self, docs: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
-        """Documents ``docs``; document k ends before ``ends[k]`` in ``ids``."""
+    def append(self, docs: np.ndarray, nulls: int, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Documents: ``nulls`` without an id, then ``docs``; document k ends before ``ends[k]`` in ``ids``."""
         self.out.write(ids.astype("<u2" if self.width == 2 else "<u4").tobytes())
-        self.docs.append(docs.astype("<i8"))
+        self.docs.append(docs.astype(np.int64))
         self.ends.append(ends + self.n)
         self.n += len(ids)
+        self.n_docs += len(ends)
+        self.nulls += nulls
 
     def close(self) -> None:
-        ef = EliasFano.encode(np.concatenate(self.ends))
-        docs = np.concatenate(self.docs) if self.docs else np.zeros(0, "<i8")
-        for x in (docs, ef.low, ef.high, ef.directory.astype("<u8")):
-            self.out.write(x.tobytes())
-        self.out.write(FOOTER.pack(MAGIC, self.width, ef.low_bits, len(docs), self.n, len(ef.high), len(ef.directory)))
+        docs = np.concatenate(self.docs)
+        least = int(docs[0]) if len(docs) else 0
+        both = [EliasFano.encode(np.concatenate(self.ends)), EliasFano.encode(docs.view(np.uint64) - np.array(least).astype(np.int64).view(np.uint64))]
+        parts = [b"".join(e.stored()) for e in both]
+        for x in parts:
+            self.out.write(x)
+        self.out.write(FOOTER.pack(MAGIC, self.width, both[0].low_bits, both[1].low_bits, self.n_docs, self.nulls, self.n, len(both[0].high), len(both[1].high), least, len(parts[0])))
         self.out.close()
 
 
@@ -136,15 +155,13 @@ class TokenFile:
         files, at = fs.FileSystem.from_uri(path)
         self.file = files.open_input_file(at)
         size = self.file.size()
-        magic, self.width, bits, self.n_docs, self.n_ids, high, directory = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
+        magic, self.width, bits, doc_bits, self.n_docs, self.nulls, self.n_ids, high, doc_high, self.least, edge = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
         if magic != MAGIC or self.file.read_at(len(MAGIC), 0) != MAGIC:
             raise ValueError(f"not a token file: {path}")
         begin = len(MAGIC) + self.width * self.n_ids
-        low = (bits * (self.n_docs + 1) + 7) // 8
-        raw = self.file.read_at(8 * self.n_docs + low + high + 8 * directory, begin)
-        cut = np.cumsum([8 * self.n_docs, low, high])
-        self.doc_ids = np.frombuffer(raw[: cut[0]], "<i8")
-        self.bounds = EliasFano(self.n_docs + 1, bits, np.frombuffer(raw[cut[0] : cut[1]], np.uint8), np.frombuffer(raw[cut[1] : cut[2]], np.uint8), np.frombuffer(raw[cut[2] :], "<u8"))
+        raw = self.file.read_at(size - FOOTER.size - begin, begin)
+        self.bounds = EliasFano.read(raw[:edge], self.n_docs + 1, bits, high)
+        self.ids_of_docs = EliasFano.read(raw[edge:], self.n_docs - self.nulls, doc_bits, doc_high)
 
     def ids(self, begin: int, end: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at(self.width * (end - begin), len(MAGIC) + self.width * begin), "<u2" if self.width == 2 else "<u4").astype("<u4")
@@ -152,42 +169,63 @@ class TokenFile:
     def document(self, k: int) -> np.ndarray:
         return self.ids(self.bounds.select(k), self.bounds.select(k + 1))
 
-
-NO_DOC = np.iinfo(np.int64).min  # stands for a null doc_id in a file
+    def doc_ids(self, k: int, m: int) -> pa.Array:
+        """Ids of documents ``k`` to ``m - 1``."""
+        none = max(0, min(m, self.nulls) - k)
+        known = self.ids_of_docs.between(max(k - self.nulls, 0), max(m - self.nulls, 0)) + np.array(self.least).astype(np.int64).view(np.uint64)
+        return pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(known.view(np.int64))])
 
 
 def write_token_files(docs: DataFrame, vocab: str, folder: str, end_id: int = 0, width: int = 2) -> DataFrame:
-    """Writes the documents in ascending doc_id order, a file for each range of ids; returns the manifest.
-
-    ``docs``: doc_id, text; a null text is empty, a null doc_id comes first, equal ids follow
-    each other by text, other columns are ignored; an empty table gives an empty manifest.
-    Each attempt of a task writes a file of its own and only successful ones are in the manifest
-    (part, path, n_docs, n_ids), a written table, so lost tasks leave nothing that is read.
+    """Writes the documents in ascending doc_id order, in files of about ``FILE_IDS`` ids; returns the manifest.
+
+    ``docs``: doc_id, text; a null text is empty, null doc_ids come first, equal ids follow
+    each other by a hash of their text, other columns are ignored; an empty table gives an empty
+    manifest.  The table is sorted in ranges, as many as its size asks for; rows with equal ids, or none,
+    are spread over several ranges by that hash and their place in the input.  A very long
+    text costs memory for its ids and one part of it.
+    Each attempt of a task writes files of its own and only successful ones are in the manifest
+    (part, file, path, n_docs, n_ids), a written table, so lost tasks leave nothing that is read.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out, n = library_cache(vocab), None, 0
+        cache, out, number = library_cache(vocab), None, 0
         part = TaskContext.get().partitionId()
-        path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.ids"
+        stem = f"{folder}/{part:06d}-{uuid.uuid4().hex}"
+
+        def close() -> pa.RecordBatch:
+            nonlocal out, number
+            out.close()
+            row = {"part": pa.array([part], pa.int32()), "file": pa.array([number], pa.int32()), "path": [f"{stem}-{number}.ids"], "n_docs": [out.n_docs], "n_ids": [out.n]}
+            out, number = None, number + 1
+            return pa.RecordBatch.from_pydict(row)
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            docs = batch.column(0).fill_null(NO_DOC).to_numpy(zero_copy_only=False)
+            texts, docs = batch.column(1).to_pylist(), batch.column(0)
             for a, b in text_slices(texts):
                 ids, at = cache.encode_texts(texts[a:b])
-                out = out or TokenFileWriter(path, width)
+                out = out or TokenFileWriter(f"{stem}-{number}.ids", width)
                 ends = at[1:] + np.arange(1, b - a + 1)
                 full = np.full(len(ids) + b - a, end_id, np.uint32)
                 body = np.ones(len(full), bool)
                 body[ends - 1] = False
                 full[body] = ids
-                out.append(docs[a:b], full, ends)
-                n += b - a
+                own = docs.slice(a, b - a)
+                out.append(own.drop_null().to_numpy(), own.null_count, full, ends)
+                if out.n >= FILE_IDS:
+                    yield close()
         if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [n], "n_ids": [out.n]})
+            yield close()
+
+    rows = texts_of(docs, "doc_id").withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(ranges(docs), "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at")
+    return written(rows.select("doc_id", "text").mapInArrow(work, "part int, file int, path string, n_docs long, n_ids long"), "token-manifest")
+
 
-    rows = texts_of(docs, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(work, "part int, path string, n_docs long, n_ids long"), "token-manifest")
+def ranges(docs: DataFrame) -> int:
+    """Tasks for a sort of the table: what its files' size asks for, or the session's number of shuffle partitions if that is more or the size is not known."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES if size < UNKNOWN_SIZE else 0)
 
 
 def file_rows(path: str, base: int) -> Iterator[pa.RecordBatch]:
@@ -196,12 +234,11 @@ def file_rows(path: str, base: int) -> Iterator[pa.RecordBatch]:
     k = 0
     while k < f.n_docs:
         m = max(k + 1, f.bounds.after(f.bounds.select(k) + BLOCK, k) - 1)
-        bounds = f.bounds.between(k, m + 1)
+        bounds = f.bounds.between(k, m + 1).astype(np.int64)
         ids = memoryview(f.ids(int(bounds[0]), int(bounds[-1])).tobytes())
         own = (bounds - bounds[0]) * 4
         crc = [zlib.crc32(ids[a:b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
-        doc = f.doc_ids[k:m]
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == NO_DOC), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([f.doc_ids(k, m), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
         k = m
 
 
@@ -210,9 +247,9 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
     The driver sums one number per file; offsets within a file come from its encoded boundaries:
     :meth:`EliasFano.select` finds the edges of a block of documents, and one pass over the
-    block's bits gives those between.
+    block's bits gives those between.  An empty manifest gives no row.
     """
-    files = sorted(manifest.collect(), key=lambda r: r["part"])
+    files = sorted(manifest.collect(), key=lambda r: (r["part"], r["file"]))
     start, rows = 0, []
     for r in files:
         rows.append((r["path"], start))
@@ -228,5 +265,6 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the table as the files give them; see :func:`write_token_files` for odd rows."""
     manifest = write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), new_folder(spark, "token-files"))
     return read_token_files(spark, manifest)

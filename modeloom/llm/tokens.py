@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 from modeloom.llm.pieces import PieceCache
@@ -20,7 +21,8 @@ def library_cache(path: str) -> PieceCache:
     """A piece cache over the byte-level BPE tokenizer in the file.
 
     The tokenizer splits a text by the pattern before it merges anything, so a text's ids
-    are those of its pieces in a row, and a piece alone is split no further.
+    are those of its pieces in a row, and a piece alone is split no further.  Texts that hold
+    the name of a special token are encoded whole, as the library does by default.
     Pieces that begin with a blank and go on with no white space delimit each other; many are
     encoded in one call and told apart by the blank at the head of their first token.
     """
@@ -28,7 +30,6 @@ def library_cache(path: str) -> PieceCache:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     head = {i for w, i in t.get_vocab().items() if w.startswith("Ġ")}
     run = getattr(t, "encode_batch_fast", t.encode_batch)
 
@@ -47,4 +48,6 @@ def library_cache(path: str) -> PieceCache:
             out[i] = e.ids
         return out
 
-    return PieceCache(encode)
+    added = [x.content for x in t.get_added_tokens_decoder().values()]
+    whole = re.compile("|".join(map(re.escape, added))) if added else None
+    return PieceCache(encode, whole=whole, encode_whole=lambda text: t.encode(text, add_special_tokens=False).ids)

@@ -34,6 +34,7 @@ ARC_FIELDS = {
 }
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:modeloom:page").int >> 64  # upper half of the identifiers that carry a number
+ROWS = 10_000  # records that a reader hands out at a time
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -211,7 +212,8 @@ def write_archives(pages: DataFrame, folder: str, date: str = "20240101000000",
     that shuffles digests only; pages meet it in a join whose small side is built into a hash
     table, and a digest that a large part of all pages share is split by adaptive execution.
     Each attempt of a task writes files of its own (new ones beyond ``most`` bytes); the
-    manifest, a written table, names those of successful attempts.
+    manifest, a written table, names those of successful attempts; an empty table gives an empty
+    one.  A task holds 500 pages at a time, a very long page as a whole.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +258,17 @@ def write_archives(pages: DataFrame, folder: str, date: str = "20240101000000",
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """One row per record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """One row per record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A task for each archive, which reads one record at a time and hands out ``ROWS`` at a time; an
+    empty manifest gives no row.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 files, at = fs.FileSystem.from_uri(path)
-                rows = []
+                rows: list[tuple] = []
                 with files.open_input_stream(at, compression=None) as f:
                     for data in members(f):
                         headers, block = parse_warc(data)
@@ -277,10 +282,19 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                                 raise ValueError(f"payload digest of {headers['WARC-Record-ID']} differs")
                         refers = headers.get("WARC-Refers-To")
                         rows.append((page_of_urn(headers["WARC-Record-ID"]), size, total, kind, page_of_urn(refers) if refers else None))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-    return manifest.repartition("path").mapInArrow(work, SCHEMA)
+                        if len(rows) >= ROWS:
+                            yield batch_of(rows)
+                if rows:
+                    yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        rows.clear()
+        return out
+
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(work, SCHEMA)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,17 @@ def test_op4_odd(spark, least):
     assert warc.read_archives(warc.write_archives(df.limit(0), new_folder(spark, "w"))).count() == 0
 
 
+def test_archives_are_read_by_as_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ROWS", 7)
+    pages = spark.range(200).selectExpr("id as page_id", "'u' as url", "repeat(cast(id % 150 as string), 40) as html").repartition(3)
+    manifest = warc.write_archives(pages, new_folder(spark, "w"), most=1000)
+    files = manifest.count()
+    got = warc.read_archives(manifest)
+    assert files > 10 and got.rdd.getNumPartitions() == files
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    assert sorted(map(tuple, got.collect()), key=str) == expected_pages(rows)
+
+
 # -- images
 
 
@@ -156,6 +167,32 @@ def test_op6(spark, sf, documents, odd, nothing):
     assert media.features(media.store(nothing)).count() == 0
 
 
+def hash_by_the_book(samples):
+    """The hash with plain loops: block means (or nearest samples) of a 32 x 32 picture, its cosine transform, signs against the median."""
+    height, width = samples.shape[:2]
+    grey = [[float(sum(int(v) for v in samples[y, x])) for x in range(width)] for y in range(height)]
+
+    def reduce(line):
+        n = len(line)
+        if n < 32:
+            return [line[i * n // 32] for i in range(32)]
+        return [sum(line[i * n // 32 : (i + 1) * n // 32]) / ((i + 1) * n // 32 - i * n // 32) for i in range(32)]
+
+    columns = [reduce([grey[y][x] for y in range(height)]) for x in range(width)]
+    small = [reduce([columns[x][y] for x in range(width)]) for y in range(32)]
+    cos = [[np.cos(np.pi * (2 * i + 1) * k / 64) for i in range(32)] for k in range(8)]
+    low = [round(sum(cos[a][y] * small[y][x] * cos[b][x] for y in range(32) for x in range(32)), 3) for a in range(8) for b in range(8)]
+    middle = float(np.median(low[1:]))
+    return f"{int(''.join('1' if v > middle else '0' for v in low), 2):016x}"
+
+
+def test_feature_of_the_query(spark, sf, documents):
+    for r in media.op6_media(spark, sf).orderBy("doc_id").limit(25).collect():
+        b = documents[r.doc_id].encode()
+        samples = np.frombuffer(b.ljust(max(192, -(-len(b) // 192) * 192), b" "), np.uint8).reshape(-1, 64, 3)
+        assert r.feature == hash_by_the_book(samples)
+
+
 def test_hashes_follow_the_picture():
     rng = np.random.default_rng(1)
     smooth = (127 + 100 * np.sin(np.arange(200)[:, None, None] / 30) * np.cos(np.arange(64)[None, :, None] / 9)).astype(np.uint8).repeat(3, 2)
@@ -181,7 +218,7 @@ def test_round_trip(turns):
     assert "".join(text[a:b] for a, b in got.spans) == text[len("<s>") :]
 
 
-def test_long_conversations_are_rendered_by_window():
+def test_a_template_that_declares_its_context_is_rendered_by_window():
     calls = []
 
     def render(turns):
@@ -189,26 +226,33 @@ def test_long_conversations_are_rendered_by_window():
         return chat.instruction_template(turns)
 
     turns = [("user" if k % 2 else "assistant", f"text {k}") for k in range(300)]
-    got = chat.locate(render, turns, exact=8)
+    got = chat.locate(render, turns, 0)
     assert [chat.unescape(got.formatted[a:b]) for a, b in got.texts] == [t for _, t in turns]
-    assert sum(calls) < 40 * len(turns)
+    assert sum(calls) < 10 * len(turns)
+    assert vars(got) == vars(chat.locate(chat.instruction_template, turns))
 
 
 def test_templates_that_look_far_back_or_rewrite():
     numbered = lambda turns: "".join(f"<{k}:{r}>{t}" for k, (r, t) in enumerate(turns))
     turns = [("user", f"t{k}") for k in range(30)]
-    got = chat.locate(numbered, turns, exact=4)
-    assert [got.formatted[a:b] for a, b in got.texts] == [t for _, t in turns] and got.rewritten_at is None
+    for context in (None, 0, 3):  # what it declares is wrong, and found to be
+        got = chat.locate(numbered, turns, context)
+        assert [got.formatted[a:b] for a, b in got.texts] == [t for _, t in turns] and got.rewritten_at is None
     last_only = lambda turns: "".join(t if k == len(turns) - 1 else "." for k, (_, t) in enumerate(turns))
     assert chat.locate(last_only, turns).rewritten_at == 1
 
 
-@pytest.mark.parametrize("late", [3, 70, 99])
-def test_masking_late_in_a_conversation(late):
-    masked = lambda turns: "".join(f"<{'*' * len(t) if k == 0 and len(turns) > late else t}>" for k, (_, t) in enumerate(turns))
+@pytest.mark.parametrize("late", [3, 69, 70, 99])
+@pytest.mark.parametrize("undone", [False, True])
+def test_rewriting_late_in_a_conversation(late, undone):
+    """From turn ``late`` on the first turn is masked or in capitals, for ever or in that prefix only."""
+    bad = lambda n: n == late + 1 if undone else n > late
+    masked = lambda turns: "".join(f"<{'*' * len(t) if k == 0 and bad(len(turns)) else t}>" for k, (_, t) in enumerate(turns))
+    upper = lambda turns: "".join(f"<{t.upper() if k == 0 and bad(len(turns)) else t}>" for k, (_, t) in enumerate(turns))
     turns = [("user", f"text {k}") for k in range(100)]
-    got = chat.locate(masked, turns)
-    assert got.rewritten_at == late and len(got.spans) == late
+    for template in (masked, upper):
+        got = chat.locate(template, turns)
+        assert got.rewritten_at == late and len(got.spans) == late
 
 
 def check_chat(spark, rows, got):

@@ -10,13 +10,14 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from modeloom.llm import bpe, packing, token_files
+from modeloom.llm import bpe, packing, pieces, token_files
 from modeloom.llm.common import new_folder
-from modeloom.llm.pieces import PieceCache, code_points, piece_starts, ragged, span_hashes
+from modeloom.llm.pieces import PieceCache, code_points, piece_starts, ragged, span_hashes, tile_hashes
 from modeloom.llm.tokens import library_cache, vocabulary
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,7 +29,6 @@ MULTI = vocabulary("byte_bpe_multi_50k.tiktoken")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(BYTE)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -53,6 +53,44 @@ def test_ragged_and_hashes():
     assert a == b == c != d
 
 
+def thue_morse(n):
+    """The word of n letters and its complement, which polynomial hashes modulo powers of two can't tell apart."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+@pytest.mark.parametrize("together", [True, False])
+def test_pieces_of_regular_build(library, other, n, together):
+    words = thue_morse(n)
+    for cache, encode in ((library_cache(BYTE), library), (bpe.TreeEncoder(bpe.TreeBPE.from_file(MULTI)), other)):
+        for texts in [words] if together else [[w] for w in words]:
+            ids, at = cache.encode_texts(texts)
+            assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [encode(t) for t in texts]
+    starts = np.array([0, n])
+    h = tile_hashes(code_points(words)[0], starts, starts + n)
+    assert h[0] != h[1]
+
+
+def test_equal_hashes_are_no_proof(monkeypatch, library):
+    monkeypatch.setattr(pieces, "tile_hashes", lambda values, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["the quick brown fox jumps", "over the lazy dog, dog, fox", "", "quick the 123 456"]
+    cache = PieceCache(library_cache(BYTE).encode)
+    for own in (texts, texts[::-1]):
+        ids, at = cache.encode_texts(own)
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(own))] == [library(t) for t in own]
+
+
+@pytest.mark.parametrize("chars", [1, 7, 100])
+def test_long_texts_come_in_parts(documents, chars):
+    for t in [*list(documents.values())[:40], "a  b 's it's c", "x" * 500]:
+        parts = [own[0] for _, own in pieces.text_parts([t], chars=chars)]
+        assert "".join(parts) == t
+        want = [m[0] for m in regex.finditer(public_tokenizers.PATTERN, t)]
+        assert [m[0] for p in parts for m in regex.finditer(public_tokenizers.PATTERN, p)] == want
+    assert [k for k, _ in pieces.text_parts(["ab", "c d e f", "", "x"], chars=3)][-1] == 2
+
+
 def test_a_small_cache_gives_the_same():
     cache = PieceCache(lambda pieces: [[len(p), ord(p[0])] for p in pieces], most=3)
     for texts in (["a bb ccc", "", "dddd"], ["ccc a"], ["x y z q"]):
@@ -67,8 +105,7 @@ def test_a_small_cache_gives_the_same():
 def test_library_ids(texts):
     t = Tokenizer.from_file(BYTE) if not hasattr(test_library_ids, "t") else test_library_ids.t
     test_library_ids.t = t
-    t.encode_special_tokens = True
-    texts = [*texts, "a <|endoftext|> b"]
+    texts = [*texts, "a <|endoftext|> b", "<|endoftext|>"]
     ids, at = library_cache(BYTE).encode_texts(texts)
     for k, x in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
@@ -92,7 +129,7 @@ def test_tree_gives_the_library_s_ids(other, documents, leaf):
         if regex.fullmatch(r" ?\p{L}+", w):
             got = tree.encode_piece(w.encode())
             assert got == other(w)
-            assert tree.decode(got).decode() == w
+            assert tree.decode(np.array(got), leaf=2).decode() == w
 
 
 @settings(max_examples=60, deadline=None)
@@ -103,6 +140,36 @@ def test_join_is_associative(a, b, c):
     assert t.join(t.join(x, y), z) == t.join(x, t.join(y, z)) == t.merge(a + b + c)
 
 
+def test_all_documents_pass_through_joins(documents, other, monkeypatch):
+    monkeypatch.setattr(bpe, "TEXT_LEAF", 40)
+    tree = bpe.TreeBPE.from_file(MULTI)
+    for t in [*documents.values(), "é😀" * 100, "word " * 1000]:
+        encoder, before = bpe.TreeEncoder(tree), tree.joins
+        tree._halves.clear()
+        ids, _ = encoder.encode_texts([t])
+        assert ids.tolist() == other(t)
+        pieces_ = [m[0].encode() for m in regex.finditer(public_tokenizers.PATTERN, t)]
+        assert tree.joins > before or max(map(len, pieces_), default=0) <= tree.leaf
+        places, heights = bpe.seams(np.array([0, len(t)]))
+        assert len(places) >= len(t) // 40 - 1 and (np.diff(places, prepend=0) <= 40).all()
+        assert len(t) <= 400 or tree.joins > before + 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXT, max_size=4), st.integers(1, 9))
+def test_cuts_fall_anywhere(texts, leaf):
+    t = test_cuts_fall_anywhere.__dict__
+    if "encoder" not in t:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(MULTI, "rb"))}
+        t["encoder"], t["other"] = bpe.TreeEncoder(bpe.TreeBPE(ranks)), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    bpe.TEXT_LEAF, kept = leaf, bpe.TEXT_LEAF
+    try:
+        ids, at = t["encoder"].encode_texts(texts)
+    finally:
+        bpe.TEXT_LEAF = kept
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [t["other"](x) for x in texts]
+
+
 def test_op5(spark, sf, documents, other):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     rows = bpe.op5_tree_bpe(spark, sf).collect()
@@ -151,7 +218,7 @@ def test_blocks_are_found_by_select(spark, documents, library, monkeypatch, tmp_
     df = spark.createDataFrame(rows, "doc_id long, text string")
     manifest = token_files.write_token_files(df.coalesce(1), token_files.vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}")
     want, start = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r["part"]):
+    for r in sorted(manifest.collect(), key=lambda r: (r["part"], r["file"])):
         want.append((r["path"], start))
         start += r["n_ids"]
     selects = []
@@ -164,7 +231,8 @@ def test_blocks_are_found_by_select(spark, documents, library, monkeypatch, tmp_
 
 def expected_files(rows, library):
     out, start = [], 0
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    by = lambda t: np.uint64(xxhash.xxh64(t.encode(), seed=42).intdigest()).astype(np.int64)
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, by(r[1]))):
         ids = [*library(text), 0]
         out.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -179,12 +247,23 @@ def test_op3_odd(spark, odd, nothing, library):
     m = token_files.write_token_files(odd, BYTE, new_folder(spark, "t"))
     got = sorted(map(tuple, token_files.read_token_files(spark, m).collect()), key=lambda r: r[1])
     assert got == expected_files([(r.doc_id, r.text or "") for r in odd.collect()], library)
-    f = token_files.TokenFile(m.orderBy("part").first()["path"])
+    f = token_files.TokenFile(m.orderBy("part", "file").first()["path"])
     assert len(f.document(0)) == got[0][2]
     m = token_files.write_token_files(nothing, BYTE, new_folder(spark, "t"))
     assert token_files.read_token_files(spark, m).count() == 0
 
 
+def test_files_roll(spark, documents, library, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_IDS", 1000)
+    monkeypatch.setattr(token_files, "text_slices", lambda texts: pieces.text_slices(texts, 200))
+    rows = [*sorted(documents.items())[:50], *[(None, f"none {k}") for k in range(40)], (-(2**63), "least"), (2**63 - 1, "most"), *[(5, "same")] * 30]
+    m = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, new_folder(spark, "t"))
+    assert m.count() > 2 * m.select("part").distinct().count()
+    got = sorted(map(tuple, token_files.read_token_files(spark, m).collect()), key=lambda r: r[1])
+    assert got == expected_files(rows, library)
+    assert m.where("n_docs > 20").count() < m.count() and m.select("part").distinct().count() > 1
+
+
 # -- packing
 
 
@@ -239,4 +318,11 @@ def test_op8_odd(odd, nothing, library):
     rows = packing.pack(odd.where("doc_id > 2"), BYTE).collect()
     check_pack(rows, {r.doc_id: r.text or "" for r in odd.where("doc_id > 2").collect()}, library)
     assert sum(r.start == 0 for r in packing.pack(odd, BYTE, run=2).collect()) == odd.count()
+    assert packing.pack(odd.withColumn("sequence_id", odd.key), BYTE).columns == [x.split()[0] for x in packing.SCHEMA.split(", ")]
     assert packing.pack(nothing, BYTE).count() == 0
+
+
+def test_fill_does_not_depend_on_partitions(spark, sf, documents, library):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    few, many = (check_pack(packing.pack(docs.repartition(n), BYTE).collect(), documents, library) for n in (1, 200))
+    assert few == many
