@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modeloom.llm.common import col, fresh, table, text_bytes
+from modeloom.llm.common import col, fresh, map_rows, table, text_bytes
 
 ORDER = 3
 HEAD = 3  # blanks before each text, its first context
@@ -234,12 +234,10 @@ def predict(docs: DataFrame, model: Broadcast) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     wide = docs.select(*map(col, docs.columns), text.alias(names[n]), text.rlike(r"\p{L}").alias(names[n + 1]))
 
-    def work(batches):
-        for batch in batches:
-            out = predict_columns(model.value, batch.column(n), batch.column(n + 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *map(pa.array, out)], names)
+    def work(batch: pa.RecordBatch) -> list:
+        return [*batch.columns[:n], *map(pa.array, predict_columns(model.value, batch.column(n), batch.column(n + 1)))]
 
-    return wide.mapInArrow(work, schema)
+    return map_rows(wide, work, schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
