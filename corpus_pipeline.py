@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.llm.common import new_folder, table
+from modeloom.llm.common import col, fresh, new_folder, table
 from modeloom.llm.language import UNKNOWN, predict, train
 from modeloom.llm.minhash import near_duplicates
 from modeloom.llm.packing import pack
@@ -20,26 +20,37 @@ from modeloom.llm.substrings import remove_repeats
 from modeloom.llm.tokens import vocabulary
 
 #: What a byte costs that is predicted no better than chance; a text that costs more under its best language is in none that was learned.
-MOST_BITS = 8.0
+CHANCE_BITS = 8.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language; their columns stay."""
+    """Keeps documents with a language; their columns stay.
+
+    Null texts, texts without a letter and texts that no learned language predicts better than
+    chance go; where nothing was learned, all with a letter stay; equal rows are judged one by one.
+    """
     model = spark.sparkContext.broadcast(train(docs))
-    rows = predict(docs, model, "__")
-    if not model.value.languages:  # nothing was learned, so nothing can be told
+    rows = predict(docs, model)
+    if not model.value.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return rows.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__bits_per_byte") <= MOST_BITS)).select(docs.columns)
+    found, _, bits = map(col, rows.columns[-3:])
+    return rows.where((found != UNKNOWN) & (bits <= CHANCE_BITS)).select(*map(col, docs.columns))
 
 
 def near_duplicate_classes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class; rows without an id stay, of rows with an equal id one stays."""
-    gone = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Keeps one document of each class, that of the least doc_id.
+
+    Rows without an id stay; of rows with an equal id, the one whose columns have the least hash stays.
+    """
+    name = fresh(docs.columns, "gone")
+    gone = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias(name))
+    left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_anti")
     ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not ids.limit(1).count():
         return left
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    columns = [col(c) for c in docs.columns]
+    one = left.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(name))
+    return left.where("doc_id is null").unionByName(one.select(*[col(name).getField(c).alias(c) for c in docs.columns]))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
