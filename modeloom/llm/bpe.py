@@ -29,7 +29,7 @@ from modeloom.llm.common import map_batches, table, texts_of
 from modeloom.llm.pieces import PieceCache, code_points, piece_starts, ragged, spelled, text_slices
 from modeloom.llm.tokens import vocabulary
 
-TEXT_LEAF = 256
+TEXT_LEAF = 512
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -101,7 +101,7 @@ class TreeBPE:
         """Whether the two tokens stand next to each other in an encoding."""
         found = self._pairs.get((a, b))
         if found is None:
-            if len(self._pairs) > 500_000:
+            if len(self._pairs) > 200_000:
                 self._pairs.clear()
             found = self._pairs[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
         return found
@@ -128,7 +128,7 @@ class TreeBPE:
             half = len(data) // 2
             found = self.join(self.tree(data[:half]), self.tree(data[half:]))
             if len(data) <= 16:
-                if len(self._halves) > 500_000:
+                if len(self._halves) > 100_000:
                     self._halves.clear()
                 self._halves[data] = found
         return found
@@ -165,7 +165,7 @@ class TreeBPE:
 class TreeEncoder(PieceCache):
     """Encodes texts by the tree of their halves; equal pieces, and equal joins inside pieces, are made once per worker."""
 
-    def __init__(self, bpe: TreeBPE, most: int = 2_000_000):
+    def __init__(self, bpe: TreeBPE, most: int = 1_000_000):
         super().__init__(lambda pieces: [bpe.encode_piece(p.encode("utf-8", "surrogatepass")) for p in pieces], most)
         self.bpe = bpe
         self.joined: dict[tuple[str, ...], list[int]] = {}
@@ -181,7 +181,7 @@ class TreeEncoder(PieceCache):
                 values[k : k + 2] = [self.bpe.join(values[k], values[k + 1])]
                 del heights[k]
             found = self.bpe.as_piece("".join(parts).encode("utf-8", "surrogatepass"), values[0])
-            if len(self.joined) > 500_000:
+            if len(self.joined) > 50_000:
                 self.joined.clear()
             self.joined[key] = found
         return found
