@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from modeloom.llm import ann, bwt, language, minhash, substrings
@@ -239,10 +240,16 @@ def test_op2_odd(odd, nothing):
 # -- repeated substrings
 
 
+def place_of(row):
+    """Where a row (id, text, ...) stands in the order of documents."""
+    h = np.uint64(xxhash.xxh64((row[1] or "").encode(), seed=42).intdigest()).astype(np.int64)
+    return row[0] is not None, row[0] or 0, int(h)
+
+
 def brute_repeats(rows, length=100):
-    """[(doc, removed mask)] of rows sorted by id (null first) and text."""
+    """[(doc, removed mask)] of rows sorted by id (null first) and a hash of the text."""
     seen, out = set(), []
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for doc, text in sorted(rows, key=place_of):
         b = (text or "").encode()
         mask = np.zeros(len(b), bool)
         for s in range(len(b) - length + 1):
@@ -321,7 +328,7 @@ def passages(seed):
 @pytest.mark.parametrize("sizes", [{}, {"split": 1}, {"run": 2000, "shard": 3000}, {"run": 500, "shard": 900, "split": 2, "fan": 3}])
 def test_op9_passages(spark, sizes):
     rows = passages(len(sizes))
-    texts = substrings.body(*substrings.keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    texts = spark.createDataFrame(rows, "key long, text string").repartition(3)
     got = {r.key: r.repeats for r in substrings.repeats_of(texts, **sizes).collect()}
     removed = 0
     for doc, b, mask in brute_repeats(rows):
@@ -329,7 +336,7 @@ def test_op9_passages(spark, sizes):
         for r in got.get(doc, []):
             own[r["start"] : r["start"] + r["size"]] = True
         assert (own == mask).all()
-        left, spans = substrings.kept_bytes(b, got.get(doc))
+        left, spans = substrings.kept_bytes(b, [tuple(r) for r in got.get(doc, [])])
         assert left == bytes(np.frombuffer(b, np.uint8)[~mask]) and spans == int((np.diff(np.r_[0, mask.astype(int)]) == 1).sum())
         removed += mask.sum()
     assert removed > 2000
@@ -340,10 +347,10 @@ def test_op9_long_text_in_slices(spark, monkeypatch):
     rng = random.Random(8)
     long_ = "".join(rng.choice("abcdefgh") for _ in range(9000))
     rows = [(1, long_), (2, "x" * 50 + long_[650:900] + "y" * 50), (3, long_[3000:]), (4, long_[:1500] * 2), (5, "q" * 5000)]
-    texts = substrings.body(*substrings.keyed(spark.createDataFrame(rows, "doc_id long, text string")))
+    texts = spark.createDataFrame(rows, "key long, text string")
     got = {r.key: r.repeats for r in substrings.repeats_of(texts).collect()}
     for doc, b, mask in brute_repeats(rows):
-        assert substrings.kept_bytes(b, got.get(doc))[0] == bytes(np.frombuffer(b, np.uint8)[~mask])
+        assert substrings.kept_bytes(b, [tuple(r) for r in got.get(doc, [])])[0] == bytes(np.frombuffer(b, np.uint8)[~mask])
 
 
 def test_op9_equal_hashes_decide_nothing(spark, monkeypatch):
@@ -380,10 +387,9 @@ def test_op9(spark, sf, documents):
 def test_op9_odd(spark, odd, nothing):
     got = substrings.remove_repeats(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
-    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")
     want = collections.Counter()
     rows = [(r.doc_id, r.text) for r in odd.collect()]
-    for (doc, b, mask), r in zip(brute_repeats(rows), sorted(odd.collect(), key=key)):
+    for (doc, b, mask), r in zip(brute_repeats(rows), sorted(odd.collect(), key=place_of)):
         want[doc, None if r.text is None else bytes(np.frombuffer(b, np.uint8)[~mask]).decode("utf-8", "ignore")] += 1
     assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == want
     assert substrings.remove_repeats(nothing).count() == 0
