@@ -40,7 +40,7 @@ class TreeBPE:
         self.ranks, self.leaf = ranks, leaf
         self.token = {i: b for b, i in ranks.items()}
         self.joins = 0
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[tuple[int, int], list[int]] = {}
         self._halves: dict[bytes, list[int]] = {}
 
     @classmethod
@@ -97,40 +97,46 @@ class TreeBPE:
             i = after[i]
         return out
 
-    def neighbours(self, a: int, b: int) -> bool:
-        """Whether the two tokens stand next to each other in an encoding."""
+    def pair(self, a: int, b: int) -> list[int]:
+        """The encoding of the bytes of two tokens, kept (the bound changes speed only)."""
         found = self._pairs.get((a, b))
         if found is None:
             if len(self._pairs) > 200_000:
                 self._pairs.clear()
-            found = self._pairs[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
+            found = self._pairs[a, b] = self.merge(self.token[a] + self.token[b])
         return found
 
+    def neighbours(self, a: int, b: int) -> bool:
+        """Whether the two tokens stand next to each other in an encoding."""
+        found = self.pair(a, b)
+        return len(found) == 2 and found[0] == a and found[1] == b
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of both."""
         if not left or not right:
             return left + right
         self.joins += 1
-        size = 1
+        middle, size = self.pair(left[-1], right[0]), 1
         while True:
             a, b = max(0, len(left) - size), min(len(right), size)
-            middle = self.merge(b"".join([self.token[t] for t in left[a:] + right[:b]]))
+            if size > 1:
+                middle = self.merge(b"".join([self.token[t] for t in left[a:] + right[:b]]))
             if (a == 0 or self.neighbours(left[a - 1], middle[0])) and (b == len(right) or self.neighbours(middle[-1], right[b])):
                 return left[:a] + middle + right[b:]
             size *= 2
 
     def tree(self, data: bytes) -> list[int]:
         """The encoding of bytes that no wall divides; short ones are kept (the bound changes speed only)."""
-        if len(data) <= self.leaf:
-            return self.merge(data)
+        if len(data) > max(8, self.leaf):
+            half = len(data) // 2
+            return self.join(self.tree(data[:half]), self.tree(data[half:]))
         found = self._halves.get(data)
         if found is None:
             half = len(data) // 2
-            found = self.join(self.tree(data[:half]), self.tree(data[half:]))
-            if len(data) <= 16:
-                if len(self._halves) > 100_000:
-                    self._halves.clear()
-                self._halves[data] = found
+            found = self.merge(data) if len(data) <= self.leaf else self.join(self.tree(data[:half]), self.tree(data[half:]))
+            if len(self._halves) > 200_000:
+                self._halves.clear()
+            self._halves[data] = found
         return found
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -165,7 +171,7 @@ class TreeBPE:
 class TreeEncoder(PieceCache):
     """Encodes texts by the tree of their halves; equal pieces, and equal joins inside pieces, are made once per worker."""
 
-    def __init__(self, bpe: TreeBPE, most: int = 1_000_000):
+    def __init__(self, bpe: TreeBPE, most: int = 600_000):
         super().__init__(lambda pieces: [bpe.encode_piece(p.encode("utf-8", "surrogatepass")) for p in pieces], most)
         self.bpe = bpe
         self.joined: dict[tuple[str, ...], list[int]] = {}

@@ -64,37 +64,45 @@ def unfilter(rows: np.ndarray, step: int) -> np.ndarray:
         return out
     if kinds.max() > 4:
         raise ValueError("unknown row filter")
-    zero = np.zeros(out.shape[1], np.uint8)
+    if kinds.max() > 2:
+        return along_diagonals(kinds, out, step)
     y = 0
     while y < len(out):
-        kind = kinds[y]
-        above = out[y - 1] if y else zero
-        if kind == 2:  # a run of Up rows is a running sum down the columns
+        if kinds[y] == 2:  # a run of Up rows is a running sum down the columns
             stop = y
             while stop < len(out) and kinds[stop] == 2:
                 stop += 1
-            out[y] += above
+            if y:
+                out[y] += out[y - 1]
             out[y:stop] = np.cumsum(out[y:stop], axis=0, dtype=np.uint8)
             y = stop
             continue
-        if kind == 1:  # a running sum along the row for each sample
+        if kinds[y] == 1:  # a running sum along the row for each sample
             out[y] = np.cumsum(out[y].reshape(-1, step), axis=0, dtype=np.uint8).ravel()
-        elif kind > 2:
-            row, up = out[y].reshape(-1, step), above.reshape(-1, step).astype(np.int16)
-            left, corner = np.zeros(step, np.int16), np.zeros(step, np.int16)
-            for x in range(len(row)):
-                if kind == 3:
-                    guess = (left + up[x]) // 2
-                else:
-                    p = left + up[x] - corner
-                    da, db, dc = abs(p - left), abs(p - up[x]), abs(p - corner)
-                    guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up[x], corner))
-                row[x] += guess.astype(np.uint8)
-                left, corner = row[x].astype(np.int16), up[x]
         y += 1
     return out
 
 
+def along_diagonals(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
+    """Undoes filters of any kind, a diagonal of pixels at a time: a pixel needs those to the left, above and at the corner, which lie on the two diagonals before."""
+    height, width = len(rows), rows.shape[1] // step
+    skewed = np.zeros((width + height + 1, height + 1, step), np.int16)  # by diagonal (two empty ones first) and row (an empty one first)
+    y, x = np.indices((height, width))
+    skewed[x + y + 2, y + 1] = rows.reshape(height, width, step)
+    kind = np.zeros((height + 1, 1), np.int16)
+    kind[1:, 0] = kinds
+    for d in range(2, width + height + 1):
+        begin, end = max(1, d - width), min(height, d - 1) + 1  # rows that have a pixel here
+        own, k = skewed[d, begin:end], kind[begin:end]
+        left, up, corner = skewed[d - 1, begin:end], skewed[d - 1, begin - 1 : end - 1], skewed[d - 2, begin - 1 : end - 1]
+        p = left + up - corner
+        da, db, dc = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        paeth = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+        own += np.where(k == 1, left, np.where(k == 2, up, np.where(k == 3, (left + up) >> 1, np.where(k == 4, paeth, 0))))
+        own &= 255
+    return skewed[x + y + 2, y + 1].astype(np.uint8).reshape(height, width * step)
+
+
 def png_read(data: bytes) -> np.ndarray:
     """Samples of an 8-bit PNG without interlacing, shape (height, width, samples a pixel)."""
     head, body, over = None, [], False
@@ -143,7 +151,8 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a PNG 64 pixels wide.
 
     A null text is empty; bytes 32 fill up the last row, and one row is the least.  Repeated
-    rows and null ids stay; other columns are ignored.
+    rows and null ids stay; other columns are ignored; an empty table gives no row.  A very
+    long text costs memory for a few copies of its bytes.
     """
 
     def work(batch: pa.RecordBatch) -> dict:
