@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from modeloom.labels import plan_contraction
 from modeloom.operators.views import tile_view, untile
-from modeloom.tensor import Tensor, flat_index, split_index
+from modeloom.tensor import SMALL, Tensor, flat_index, split_index
+
+STACKED = 4_000_000  # numbers of a side that are multiplied at a time
 
 
 class Blocked:
@@ -34,6 +36,8 @@ class Blocked:
         tiled = tile_view(t, sizes)
         place = flat_index({f"{m}_i": sizes[m] for m in t.modes})
         n = int(np.prod(list(sizes.values()))) if sizes else 1
+        if n > SMALL:
+            raise ValueError(f"a block of {sizes} has {n} elements, {SMALL} are the most")
         pairs = tiled.df.groupBy(*[f"{m}_o" for m in t.modes]).agg(F.collect_list(F.struct(place.cast("int").alias("at"), F.col(t.value).cast("double").alias("x"))).alias("items"))
 
         def fill(batches):
@@ -73,25 +77,32 @@ def contract_blocked(a: Blocked, b: Blocked, out: Sequence[str] | None = None) -
     extents, sizes = a.extents | b.extents, a.sizes | b.sizes
     letters = {m: chr(97 + i) for i, m in enumerate(dict.fromkeys((*a.modes, *b.modes)))}
     word = lambda modes: "".join(letters[m] for m in modes)
-    rule = f"{word(a.modes)},{word(b.modes)}->{word(plan.out)}"
+    rule = f"Z{word(a.modes)},Z{word(b.modes)}->Z{word(plan.out)}"
     shape_a, shape_b = ([x.sizes[m] for m in x.modes] for x in (a, b))
     n = int(np.prod([sizes[m] for m in plan.out])) if plan.out else 1
     left = a.df.withColumnRenamed("data", "__x")
     right = b.df.withColumnRenamed("data", "__y")
     on = [f"{m}_o" for m in plan.contracted]
+    small = [np.prod(list(x.extents.values())) <= SMALL for x in (a, b)]
+    if not on and not any(small):
+        raise ValueError("operands without a shared label: the extents of one must prove it small")
     joined = (left.join(right, on) if on else left.crossJoin(right)).select(*[f"{m}_o" for m in plan.out], "__x", "__y")
     width = len(plan.out)
 
+    step = max(1, STACKED // max(n, int(np.prod(shape_a)), int(np.prod(shape_b))))
+
     def multiply(batches):
         for batch in batches:
-            x, y = (batch.column(width + i).flatten().to_numpy().reshape(batch.num_rows, *s) for i, s in enumerate((shape_a, shape_b)))
-            keys = np.stack([batch.column(i).to_numpy() for i in range(width)], axis=1) if width else np.zeros((batch.num_rows, 0), np.int64)
-            unique, place = np.unique(keys, axis=0, return_inverse=True)
-            total = np.zeros((len(unique), n))
-            for i, k in enumerate(np.ravel(place)):
-                total[k] += np.einsum(rule, x[i], y[i], optimize=True).ravel()
-            ends = pa.array(np.arange(len(unique) + 1, dtype=np.int32) * n)
-            yield pa.RecordBatch.from_arrays([*[pa.array(unique[:, i]) for i in range(width)], pa.ListArray.from_arrays(ends, pa.array(total.ravel()))], [*[f"{m}_o" for m in plan.out], "data"])
+            for k in range(0, batch.num_rows, step):
+                own = batch.slice(k, step)
+                x, y = (own.column(width + i).flatten().to_numpy().reshape(own.num_rows, *s) for i, s in enumerate((shape_a, shape_b)))
+                products = np.einsum(rule, x, y, optimize=True).reshape(own.num_rows, n)  # all pairs of blocks at once
+                keys = np.stack([own.column(i).to_numpy() for i in range(width)], axis=1) if width else np.zeros((own.num_rows, 0), np.int64)
+                unique, place = np.unique(keys, axis=0, return_inverse=True)
+                order = np.argsort(np.ravel(place), kind="stable")
+                total = np.add.reduceat(products[order], np.searchsorted(np.ravel(place)[order], np.arange(len(unique))), axis=0)
+                ends = pa.array(np.arange(len(unique) + 1, dtype=np.int32) * n)
+                yield pa.RecordBatch.from_arrays([*[pa.array(unique[:, i]) for i in range(width)], pa.ListArray.from_arrays(ends, pa.array(total.ravel()))], [*[f"{m}_o" for m in plan.out], "data"])
 
     schema = ", ".join([*[f"{m}_o long" for m in plan.out], "data array<double>"])
     names = [f"{m}_o" for m in plan.out]

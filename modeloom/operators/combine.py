@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modeloom.labels import merge_extents
@@ -33,12 +34,13 @@ def _joined(out: Sequence[str], operands: Sequence[Tensor], join: str | None, we
                 break
         else:
             frames.append((getattr(t, "frame", None), [i]))
-    df = None
-    for frame, own in frames:
-        source = operands[own[0]].df if len(own) == 1 else frame
-        part = source.select(*out, *[F.col(operands[i].value).alias(f"__v{i}") for i in own])
-        how = "inner" if join == "inner" else "full"
-        df = part if df is None else df.join(part, list(out), how) if out else df.crossJoin(part)
+    parts = [(operands[own[0]].df if len(own) == 1 else frame).select(*out, *[F.col(operands[i].value).alias(f"__v{i}") for i in own]) for frame, own in frames]
+    df = parts[0]
+    if len(parts) > 2 and out:
+        df = _met(out, parts, join == "inner")
+    else:
+        for part in parts[1:]:
+            df = df.join(part, list(out), "inner" if join == "inner" else "full") if out else df.crossJoin(part)
     full = all(t.dense for t in operands)
     dense = join == "dense" or full
     if join == "dense" and not full:
@@ -54,6 +56,14 @@ def _joined(out: Sequence[str], operands: Sequence[Tensor], join: str | None, we
     return df, names, {m: extents[m] for m in out}, dense
 
 
+def _met(out: Sequence[str], parts: Sequence[DataFrame], everywhere: bool) -> DataFrame:
+    """Many tables with unique coordinates side by side, by one aggregate over all of them instead of a join for each."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("__has", F.lit(1 << k).cast("long")) for k, p in enumerate(parts)])
+    values = [c for p in parts for c in p.columns if c not in out]
+    met = rows.groupBy(*out).agg(*[F.max(c).alias(c) for c in values], F.bit_or("__has").alias("__has"))
+    return (met.where(F.col("__has") == (1 << len(parts)) - 1) if everywhere else met).drop("__has")
+
+
 def combine_multi(out: Sequence[str], operands: Sequence[Tensor], fn: Callable[..., Sequence[Column]], join: str | None = None, weights: Sequence[Tensor] = ()) -> list[Tensor]:
     """``fn(*labels, *values)`` gives several columns: as many tensors, from one pass.
 

@@ -1,7 +1,7 @@
 """Sums of products over shared labels, as join and aggregate.
 
-The join is an equi-join on the summed labels; a side whose extents prove it small is
-broadcast, any other strategy is left to the optimiser and adaptive execution.  Products
+The join is an equi-join on the summed labels; a side whose extents prove it small (the smaller
+of two such) is broadcast, any other strategy is left to the optimiser and adaptive execution.  Products
 are added up before the shuffle of the aggregate.
 """
 
@@ -32,6 +32,14 @@ def sized(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def in_range(df: DataFrame, t: Tensor) -> DataFrame:
+    """Rows of a side that is broadcast because of its extents; a label outside of them is an error when the side is read."""
+    fine = F.lit(True)
+    for m, n in t.extents.items():
+        fine &= F.col(m).isNull() | F.col(m).between(0, n - 1)
+    return df.where(F.when(fine, F.lit(True)).otherwise(F.raise_error(F.lit(f"a label lies outside of the extents {t.extents}")).cast("boolean")))
+
+
 def contract(a: Tensor, b: Tensor, out: Sequence[str] | None = None, hook: Hook | None = None, semiring: str = "sum_product", batch: Sequence[str] = ()) -> Tensor:
     """``C[out] = sum over shared labels of A * B``; ``hook`` is applied to the result.
 
@@ -61,8 +69,12 @@ def contract_many(many: Sequence[Tensor], b: Tensor, out: Sequence[str] | None =
     left = frame.select(*a.modes, *[F.col(t.value).alias(x) for t, x in zip(many, xs)])
     right = b.columns("__y")
     on = [*batch, *plan.contracted]
-    right = sized(right, b.small and not a.small)
-    left = sized(left, a.small and not b.small)
+    if b.small and not (a.small and a.size < b.size):
+        right = F.broadcast(in_range(right, b))
+    elif a.small:
+        left = F.broadcast(in_range(left, a))
+    if not on and not (a.small or b.small):
+        raise ValueError("operands without a shared label: the extents of one must prove it small")
     joined = left.join(right, on) if on else left.crossJoin(right)
     add, times = SEMIRINGS[semiring]
     names = ["v"] if len(many) == 1 else [f"v{i}" for i in range(len(many))]

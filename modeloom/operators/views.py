@@ -96,8 +96,36 @@ def delinearise(t: Tensor, extents: Mapping[str, int]) -> Tensor:
     return Tensor(t.df.select(*split_index(F.col(t.modes[0]), extents), t.value), tuple(extents), t.value, extents, t.dense)
 
 
-def reshape(t: Tensor, extents: Mapping[str, int], order: Sequence[str] | None = None) -> Tensor:
-    """Another shape over the same elements in memory order (the last label of ``order`` fastest)."""
+def common_factors(source: Sequence[int], target: Sequence[int], most: int = 16) -> list[int]:
+    """Factors, slowest first, whose runs make up both shapes; raises where two extents that meet share none.
+
+    The fastest extents that are left meet; their greatest common divisor is a factor of both.
+    """
+    if math.prod(source) != math.prod(target):
+        raise ValueError(f"{math.prod(target)} elements asked of {math.prod(source)}")
+    left, right, out = [n for n in source if n != 1], [n for n in target if n != 1], []
+    while left:
+        g = math.gcd(left[-1], right[-1])
+        if g == 1:
+            raise ValueError(f"shapes {tuple(source)} and {tuple(target)} have no common factors")
+        out.append(g)
+        for side in (left, right):
+            side[-1] //= g
+            if side[-1] == 1:
+                side.pop()
+    if len(out) > most:
+        raise ValueError(f"{len(out)} common factors, {most} are the most")
+    return out[::-1]
+
+
+def reshape(t: Tensor, extents: Mapping[str, int], order: Sequence[str] | None = None, strict: bool = False) -> Tensor:
+    """Another shape over the same elements in memory order (the last label of ``order`` fastest).
+
+    ``strict``: shapes that do not split into common factors (see :func:`common_factors`) are
+    refused; Spark has no need of them.
+    """
+    if strict:
+        common_factors([t.extents[m] for m in order or t.modes], list(extents.values()))
     return delinearise(linearise(t, "__n", order), extents)
 
 

@@ -2,17 +2,20 @@
 
 A node describes an operation on nodes; nothing runs until a graph is executed, and then
 only as lazy DataFrames.  A :class:`Graph` evaluates trees; a :class:`Dag` names results that
-several nodes read, and keeps those in memory from their first to their last reader.
+several nodes read, makes each once, and keeps it from its first to its last reader.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import weakref
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import DataFrame
 from pyspark.storagelevel import StorageLevel
 
 from modeloom.labels import distinct, merge_extents, plan_contraction
+from modeloom.operators.blocked import Blocked, contract_blocked
 from modeloom.operators.combine import combine_multi
 from modeloom.operators.contract import contract
 from modeloom.operators.hooks import Hook, apply_hook, arity
@@ -30,6 +33,7 @@ class Node:
     run: Callable | None = None
     outputs: int = 1
     slot: int | None = None
+    finish: Callable | None = None
 
     def as_(self, *labels: str) -> Node:
         """The node under other labels, by position."""
@@ -47,9 +51,9 @@ def input_node(tensor: Tensor, hook: Hook | None = None) -> Node:
 
 
 def stage(tensor: Tensor | Node) -> Node:
-    """A leaf that is kept in memory while the graph runs; otherwise the tensor as it is."""
+    """A leaf that a graph with shared results keeps while it runs; otherwise the tensor as it is."""
     node = tensor if isinstance(tensor, Node) else input_node(tensor)
-    return Node("stage", node.modes, node.extents, (node,), lambda t: t.like(t.df.persist(StorageLevel.MEMORY_AND_DISK)))
+    return Node("stage", node.modes, node.extents, (node,), lambda t: t)
 
 
 def slot(number: int, modes: Sequence[str], extents: dict | None = None) -> Node:
@@ -65,11 +69,10 @@ def contraction(a: Node, b: Node, out: Sequence[str] | None = None, hook: Hook |
     if hook is not None:
         arity(hook, len(plan.out) + 1, "hook")
 
-    def run(x: Tensor, y: Tensor) -> Tensor:
-        t = contract(x, y, plan.out)
+    def finish(t: Tensor) -> Tensor:
         return apply_hook(t.cast(value) if value else t, hook)
 
-    return Node("contraction", plan.out, {m: extents[m] for m in plan.out}, (a, b), run)
+    return Node("contraction", plan.out, {m: extents[m] for m in plan.out}, (a, b), lambda x, y: finish(contract(x, y, plan.out)), finish=finish)
 
 
 def combination(operands: Sequence[Node], fn: Callable, out: Sequence[str] | None = None, outputs: int = 1, join: str | None = None, weights: Sequence[Tensor] = (), value: str | None = None) -> Node:
@@ -164,6 +167,35 @@ class Graph:
             flat += t if isinstance(t, list) else [t]
         return flat if only is None else [flat[h.slot] for h in only]
 
+    def execute_flat(self, sizes: Sequence[Mapping[str, int]]) -> Tensor:
+        """The one output of a tree of contractions over inputs, by blocks of dense elements.
+
+        ``sizes``: block sizes by label for each contraction, a node before its operands and the
+        left before the right; labels that are left out are whole.
+        """
+        if len(self.nodes) != 1 or self.nodes[0].outputs != 1:
+            raise ValueError("a flat list of blocks is for a graph of one output")
+        waiting = list(sizes)
+
+        def build(node: Node) -> Tensor:
+            if node.kind == "relabel":
+                return node.run(build(node.operands[0]))
+            if node.kind == "input":
+                return evaluate(node)
+            if node.kind != "contraction":
+                raise ValueError(f"a flat list of blocks is for contractions of inputs, not {node.kind}")
+            if not waiting:
+                raise ValueError("there are more contractions than maps of block sizes")
+            own = waiting.pop(0)
+            a, b = (build(x) for x in node.operands)
+            blocks = [Blocked.of(t, {m: own[m] for m in t.modes if m in own}) for t in (a, b)]
+            return node.finish(contract_blocked(*blocks, node.modes))
+
+        out = build(self.nodes[0])
+        if waiting:
+            raise ValueError(f"{len(waiting)} maps of block sizes are left over")
+        return out
+
 
 @dataclass(frozen=True)
 class Dag:
@@ -171,6 +203,13 @@ class Dag:
 
     nodes: tuple[Node, ...] = ()
     roots: tuple[Output, ...] = ()
+    width: int | None = None
+
+    def tasks(self, n: int) -> Dag:
+        """How many tasks staged and shared results are dealt to when the graph runs (default: as Spark plans)."""
+        if n < 1:
+            raise ValueError(f"a run in {n} tasks")
+        return replace(self, width=n)
 
     def add(self, node: Node):
         """The graph with the node, and one handle per output."""
@@ -220,28 +259,54 @@ class Dag:
             out.append(place)
         return out
 
-    def execute(self, persist: bool = False) -> Run:
-        """Tensors of the roots. ``persist``: results with two readers or more are kept until the run is closed."""
+    def execute(self, persist: bool = True, release: bool = False, by: Mapping[int, Sequence[str]] | None = None) -> Run:
+        """Tensors of the roots.
+
+        ``persist``: results with two readers or more are made once and kept until the run is
+        closed (staged inputs always are).  ``release``: all results are made at once, in order, and
+        each is let go after its last reader was made, so that no more are kept than
+        :meth:`pools` counts; only roots are left.  ``by``: labels by which the staged input
+        at a place of the graph is dealt to tasks.
+        """
         if not self.roots:
             raise ValueError("no outputs are designated")
         needed = self._needed()
-        readers, slots, kept, seen = self.readers(), [], [], {}
+        readers, live, slots, seen = self.readers(), self.live(), [], {}
+        kept: dict[int, DataFrame] = {}  # by the first slot of the node
+        most = 0
         for k, node in enumerate(self.nodes):
+            first = len(slots)
             if k not in needed:
                 slots += [None] * node.outputs
                 continue
             made = evaluate(node, slots, seen)
             made = made if isinstance(made, list) else [made]
-            if node.kind == "stage":
-                kept.append(made[0].df)
-            if persist and node.kind not in ("input", "stage") and sum(readers[len(slots) : len(slots) + len(made)]) > 1:
-                frame = getattr(made[0], "frame", made[0].df).persist(StorageLevel.MEMORY_AND_DISK)
-                kept.append(frame)
+            shared = node.kind != "input" and sum(readers[first : first + len(made)]) > 1
+            if node.kind == "stage" or (persist and shared) or release:
+                frame = getattr(made[0], "frame", made[0].df)
+                keys = [c for c in (by or {}).get(k, ()) if c in made[0].modes]
+                if node.kind == "stage" and (self.width or keys):
+                    frame = frame.repartition(*[x for x in (self.width,) if x], *keys)
+                frame = kept[first] = frame.persist(StorageLevel.MEMORY_AND_DISK)
                 made = [Tensor(frame, t.modes, t.value, t.extents, t.dense) for t in made]
                 for t in made:
                     t.frame = frame
+                if release:
+                    frame.foreachPartition(lambda rows: None)
+                    most = max(most, len(kept))
+                    for s in [s for s in kept if s < first and max(live[s + i][1] for i in range(self._outputs_at(s))) <= k]:
+                        kept.pop(s).unpersist()
             slots += made
-        return Run([slots[h.slot] for h in self.roots], kept)
+        return Run([slots[h.slot] for h in self.roots], list(kept.values()), most)
+
+    def _outputs_at(self, slot: int) -> int:
+        """Outputs of the node whose first slot this is."""
+        at = 0
+        for n in self.nodes:
+            if at == slot:
+                return n.outputs
+            at += n.outputs
+        raise ValueError(f"no node begins at slot {slot}")
 
     def _needed(self) -> set[int]:
         owner = [k for k, n in enumerate(self.nodes) for _ in range(n.outputs)]
@@ -254,7 +319,7 @@ class Dag:
         return out
 
     def estimate(self) -> dict[str, int]:
-        """Bytes of each slot by its extents (8 a value; unknown extents: 0), and of all places that pooling needs."""
+        """Bytes of all slots by their extents (8 a value; unknown extents: 0), of the places that pooling needs, of the inputs, and of inputs and places."""
         sizes = []
         for n in self.nodes:
             total = 8
@@ -264,19 +329,27 @@ class Dag:
         pools: dict[int, int] = {}
         for p, b in zip(self.pools(), sizes):
             pools[p] = max(pools.get(p, 0), b)
-        return {"slots": sum(sizes), "pools": sum(pools.values()), "num_pools": len(pools)}
+        inputs = {id(x): x for n in self.nodes for x in _leaves(n)}
+        operands = 0
+        for x in inputs.values():
+            total = 8
+            for e in x.extents.values():
+                total *= e or 0
+            operands += total
+        return {"slots": sum(sizes), "pools": sum(pools.values()), "num_pools": len(pools), "operands": operands, "all": operands + sum(pools.values())}
 
 
 class Run(list):
-    """Results of a graph; closing it releases what was kept in memory."""
+    """Results of a graph; closing it releases what was kept.  ``most_kept``: results that were kept at once, if they were made in order."""
 
-    def __init__(self, tensors: list[Tensor], kept: list):
+    def __init__(self, tensors: list[Tensor], kept: list, most_kept: int = 0):
         super().__init__(tensors)
-        self.kept = kept
+        self.kept, self.most_kept = kept, most_kept
 
     def close(self) -> None:
         for df in self.kept:
-            df.unpersist()
+            if df.sparkSession.sparkContext._jsc is not None:
+                df.unpersist()
         self.kept = []
 
     def __enter__(self) -> Run:
@@ -286,6 +359,17 @@ class Run(list):
         self.close()
 
 
+def kept(run: Run, read: Callable[[Run], DataFrame]) -> DataFrame:
+    """What ``read`` makes of a run; the run is closed once nothing holds that DataFrame any more."""
+    df = read(run)
+    weakref.finalize(df, run.close).atexit = False  # the session ends its caches itself
+    return df
+
+
+def _leaves(node: Node) -> list[Node]:
+    return [node] if node.kind == "input" else [x for o in node.operands for x in _leaves(o)]
+
+
 def _slots_of(node: Node) -> set[int]:
     out = {node.slot} if node.kind == "slot" else set()
     for x in node.operands:

@@ -1,7 +1,11 @@
 """Graphs in levels: members of a level are of one kind and read earlier levels only.
 
 A map of labels says which are cut into blocks (they make up the grid of work) and which
-stay whole.  Levels are validated whenever one is added.
+stay whole.  When a graph runs, staged inputs are dealt to tasks by the labels that are cut,
+to as many tasks as there are blocks at most; contractions that keep those labels then work
+within their tasks and shuffle nothing.  Combinations of several members join them, which Spark
+does without a shuffle if ``spark.sql.requireAllClusterKeysForCoPartition`` is false.  Levels
+are validated whenever one is added.
 """
 
 from __future__ import annotations
@@ -98,8 +102,26 @@ class LevelGraph:
     def outputs(self, *handles: Output) -> LevelGraph:
         return replace(self, dag=self.dag.outputs(*handles))
 
-    def execute(self, persist: bool = True) -> Run:
-        return self.dag.execute(persist)
+    def tasks(self, n: int) -> LevelGraph:
+        """How many tasks staged inputs are dealt to (default: blocks of the grid, the session's number of shuffle partitions at most)."""
+        return replace(self, dag=self.dag.tasks(n))
+
+    def execute(self, persist: bool = True, release: bool = False) -> Run:
+        """As :meth:`Dag.execute`, staged inputs dealt by the labels that are cut."""
+        dag, by = self.dag, {}
+        for k, n in enumerate(dag.nodes):
+            cut = [m for m in n.modes if n.kind == "stage" and isinstance(self.tiles.tiles.get(m), LabelTile)]
+            if cut:
+                by[k] = cut
+        if by and dag.width is None:
+            session = _session(dag.nodes[next(iter(by))])
+            dag = dag.tasks(max(1, min(self.work_items(), int(session.conf.get("spark.sql.shuffle.partitions")))))
+        return dag.execute(persist, release, by)
+
+
+def _session(node: Node):
+    """The session of a staged input."""
+    return node.operands[0].run().df.sparkSession if node.operands[0].kind == "input" else _session(node.operands[0])
 
 
 def _reads(node: Node) -> set[int]:

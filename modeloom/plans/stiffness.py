@@ -2,61 +2,98 @@
 
 Per element: gradients along each reference direction (contractions with the derivative
 matrix), one pointwise integrand for all components and directions, divergences
-(contractions with its weighted transpose), and a weighted sum.  All fields live in one
-wide table, so components share joins and aggregates.
+(contractions with its weighted transpose), and a weighted sum.  All of it is local to an
+element, so the table is dealt by element once, and tasks work on many whole elements at a
+time as dense arrays; nothing else is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modeloom.functions.elastic import integrand, weighted_sum
-from modeloom.operators.contract import sized
 from modeloom.tensor import Tensor
 
 
-def along(fields: DataFrame, labels: Sequence[str], label: str, names: Sequence[str], matrix: Tensor) -> DataFrame:
-    """Contracts columns ``names`` with ``matrix`` (new, old) along one label; the new label takes the old one's name."""
-    m = sized(matrix.df.select(F.col(matrix.modes[0]).alias("__new"), F.col(matrix.modes[1]).alias(label), F.col(matrix.value).alias("__h")), matrix.small)
-    others = [x for x in labels if x != label]
-    rows = fields.select(*labels, *names).join(m, label)
-    return rows.groupBy(*others, "__new").agg(*[F.sum(F.col(n) * F.col("__h")).alias(n) for n in names]).withColumnRenamed("__new", label).select(*labels, *names)
+def small_array(t: Tensor) -> np.ndarray:
+    """A tensor whose extents prove it small, as an array on the driver; coordinates without a row are zeros."""
+    if not t.small:
+        raise ValueError(f"the extents {t.extents} do not prove that the tensor is small")
+    out = np.zeros(tuple(t.extents.values()))
+    for row in t.df.collect():
+        out[tuple(row)[:-1]] = row[t.value]
+    return out
+
+
+def along(matrix: np.ndarray, x: np.ndarray, axis: int) -> np.ndarray:
+    """Contracts one axis of ``x`` with the second of the matrix; the first takes its place."""
+    return np.moveaxis(np.tensordot(x, matrix, (axis, 1)), -1, axis)
+
+
+def element_forces(u: np.ndarray, metric: np.ndarray, scalars: np.ndarray, derivative: np.ndarray, transposed: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """Forces by component; arrays have the component (and direction), then the element, then the points along each axis."""
+    n = len(u)
+    gradient = [[along(derivative, u[c], 1 + d) for d in range(n)] for c in range(n)]
+    made = integrand(gradient, [[metric[d * n + x] for x in range(n)] for d in range(n)], *scalars)
+    divergence = [[along(transposed, made[d * n + c], 1 + d) for c in range(n)] for d in range(n)]
+    shaped = [weights.reshape([-1 if k == d else 1 for k in range(n)]) for d in range(n)]
+    return [weighted_sum(shaped, [divergence[d][c] for d in range(n)]) for c in range(n)]
 
 
 def stiffness(fields: DataFrame, element: str, axes: Sequence[str], derivative: Tensor, transposed: Tensor, weights: Tensor) -> DataFrame:
-    """(element, axes..., f0, f1[, f2]).
+    """(element, axes..., f0, f1[, f2]) at all points of each element.
 
-    ``fields``: element, axes and columns u<c>, metric m<direction><dimension>, modulus, mu, jac.
+    ``fields``: element, axes and columns u<c>, metric m<direction><dimension>, modulus, mu, jac; a
+    point without a row is all zeros.
     ``derivative``: (point, summed point); ``transposed``: its weighted transpose; ``weights``: (point).
     ``axes``: reference directions, the first of the metric first.
     """
     n, labels = len(axes), [element, *axes]
-    us = [f"u{c}" for c in range(n)]
-    wide = fields
-    for d, axis in enumerate(axes):
-        grad = along(fields, labels, axis, us, derivative).select(*labels, *[F.col(u).alias(f"g{c}{d}") for c, u in enumerate(us)])
-        wide = wide.join(grad, labels)
-    g = [[F.col(f"g{c}{d}") for d in range(n)] for c in range(n)]
-    metric = [[F.col(f"m{d}{x}") for x in range(n)] for d in range(n)]
-    made = integrand(g, metric, F.col("modulus"), F.col("mu"), F.col("jac"))
-    names = [[f"F{d}{c}" for c in range(n)] for d in range(n)]
-    flux = wide.select(*labels, *[x.alias(k) for x, k in zip(made, [k for row in names for k in row])])
-    out: DataFrame | None = None
-    for d, axis in enumerate(axes):
-        part = along(flux, labels, axis, names[d], transposed)
-        out = part if out is None else out.join(part, labels)
-    for k, axis in enumerate(axes):
-        w = weights.df.select(F.col(weights.modes[0]).alias(axis), F.col(weights.value).alias(f"__w{k}"))
-        out = out.join(sized(w, weights.small), axis)
-    ws = [F.col(f"__w{k}") for k in range(n)]
-    return out.select(*labels, *[weighted_sum(ws, [F.col(names[d][c]) for d in range(n)]).alias(f"f{c}") for c in range(n)])
-
-
-def fixture_columns(axes: Sequence[str], element: str = "e") -> Mapping[str, str]:
-    """SQL expressions of smooth, unsymmetric test fields over element and axes."""
+    h, ht, w = small_array(derivative), small_array(transposed), small_array(weights)
+    points, box = len(w), len(w) ** n
+    us, metric = [f"u{c}" for c in range(n)], [f"m{d}{x}" for d in range(n) for x in range(n)]
+    values = [*us, *metric, "modulus", "mu", "jac"]
+    schema = T.StructType([*[T.StructField(x, T.LongType()) for x in labels], *[T.StructField(f"f{c}", T.DoubleType()) for c in range(n)]])
+    grid = np.stack(np.unravel_index(np.arange(box), (points,) * n))
+
+    def forces(t: pa.Table) -> pa.RecordBatch:
+        names, place = np.unique(t[element].to_numpy(), return_inverse=True)
+        at = np.zeros(t.num_rows, np.int64)
+        for a in axes:
+            at = at * points + t[a].to_numpy()
+        dense = np.zeros((len(values), len(names), box))
+        for k, v in enumerate(values):
+            dense[k, place, at] = t[v].to_numpy()
+        dense = dense.reshape(len(values), len(names), *(points,) * n)
+        out = element_forces(dense[:n], dense[n : n + n * n], dense[-3:], h, ht, w)
+        columns = [np.repeat(names, box), *[np.tile(g, len(names)) for g in grid], *[f.ravel() for f in out]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema.names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            ids = held[element].to_numpy()
+            whole = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0  # the last element may go on
+            if whole:
+                yield forces(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield forces(held)
+
+    rows = fields.select(*[F.col(x).cast("long").alias(x) for x in labels], *[F.col(v).cast("double").alias(v) for v in values])
+    return rows.repartition(element).sortWithinPartitions(element).mapInArrow(work, schema)
+
+
+def fixture_columns(axes: Sequence[str], element: str = "e", kind: str | None = None) -> Mapping[str, str]:
+    """SQL expressions of smooth, unsymmetric test fields over element and axes; ``kind``: a column that decides the material."""
     n = len(axes)
     step = " + ".join(f"{0.013 * (k + 1):.3f} * {a}" for k, a in enumerate(axes))
     out = {}
@@ -65,17 +102,17 @@ def fixture_columns(axes: Sequence[str], element: str = "e") -> Mapping[str, str
     for d in range(n):
         for x in range(n):
             out[f"m{d}{x}"] = f"{1.0 if d == x else 0.1 * (d + 1) + 0.05 * x:.2f} + 0.02 * (({element} + {axes[d]}) % 3)"
-    out["mu"] = f"1.0 + 0.05 * ({element} % 4)"
+    out["mu"] = f"1.0 + 0.05 * ({kind or element} % 4)"
     out["modulus"] = f"3.0 + 0.1 * (({element} + {axes[0]}) % 5)"
     out["jac"] = f"0.5 + 0.01 * ({axes[-1]} + {element} % 2)"
     return out
 
 
-def stiffness_sql(elements: int, points: int, axes: Sequence[str], element: str = "e") -> str:
-    """The same result in plain SQL, for comparison."""
+def stiffness_sql(elements: str, points: int, axes: Sequence[str], element: str = "e", kind: str | None = None) -> str:
+    """The same result in plain SQL, for comparison; ``elements``: a relation with the element and the kind."""
     n, lab = len(axes), ", ".join([element, *axes])
-    cols = ", ".join(f"CAST({x} AS DOUBLE) AS {k}" for k, x in fixture_columns(axes, element).items())
-    box = " CROSS JOIN ".join([f"range({elements}) AS r0({element})", *[f"range({points}) AS r{k + 1}({a})" for k, a in enumerate(axes)]])
+    cols = ", ".join(f"CAST({x} AS DOUBLE) AS {k}" for k, x in fixture_columns(axes, element, kind).items())
+    box = " CROSS JOIN ".join([f"({elements}) AS r0", *[f"range({points}) AS r{k + 1}({a})" for k, a in enumerate(axes)]])
     parts = [f"f AS (SELECT {lab}, {cols} FROM {box})", f"h AS (SELECT a, b, {derivative_expression('a', 'b')} AS h FROM range({points}) x(a) CROSS JOIN range({points}) y(b))"]
     for d, axis in enumerate(axes):
         out = ", ".join(f"h.a AS {x}" if x == axis else f"f.{x}" for x in [element, *axes])
@@ -102,21 +139,24 @@ def stiffness_sql(elements: int, points: int, axes: Sequence[str], element: str
 
 def weight_expression(label: str) -> str:
     """Quadrature weights of the fixture."""
-    return f"0.2 + 0.05 * {label}"
+    return f"0.4 - 0.03 * {label}"
 
 
 def derivative_expression(a: str, b: str) -> str:
     """Derivative matrix of the fixture."""
-    return f"0.3 * sin(1.3 * {a} + 0.7 * {b}) + CASE WHEN {a} = {b} THEN 0.1 ELSE 0.0 END"
+    return f"0.25 * cos(0.9 * {a} - 0.4 * {b}) + CASE WHEN {a} = {b} THEN 0.2 ELSE 0.0 END"
 
 
-def fixture(spark, elements: int, points: int, axes: Sequence[str], element: str = "e") -> tuple[DataFrame, Tensor, Tensor, Tensor]:
-    """Fields, derivative matrix, its weighted transpose, weights."""
+def fixture(elements: DataFrame, points: int, axes: Sequence[str], element: str = "e", kind: str | None = None) -> tuple[DataFrame, Tensor, Tensor, Tensor]:
+    """Fields at all points of the elements (rows with the element and the kind), derivative matrix, its weighted transpose, weights."""
     from modeloom.sources import from_function
-    from modeloom.tensor import coordinates
+    from modeloom.tensor import split_index
 
-    box = coordinates(spark, {element: elements, **dict.fromkeys(axes, points)})
-    fields = box.select(element, *axes, *[F.expr(f"CAST({x} AS DOUBLE)").alias(k) for k, x in fixture_columns(axes, element).items()])
+    spark = elements.sparkSession
+    keep = [element, *([kind] if kind else [])]
+    rows = elements.select(*keep, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points ** len(axes) - 1).cast("long"))).alias("__at"))
+    rows = rows.select(*keep, *split_index(F.col("__at"), dict.fromkeys(axes, points)))
+    fields = rows.select(element, *axes, *[F.expr(f"CAST({x} AS DOUBLE)").alias(k) for k, x in fixture_columns(axes, element, kind).items()])
     weigh: Column = F.expr(weight_expression("b"))
     square = {"a": points, "b": points}
     h = from_function(spark, square, lambda a, b: F.expr(derivative_expression("a", "b")))

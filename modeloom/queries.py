@@ -27,10 +27,11 @@ from modeloom.operators import (
     tile_view,
     untile,
 )
-from modeloom.plans import Dag, Graph, LabelTile, LabelTiles, LabelWhole, LevelGraph, combination, contraction, input_node, stage
+from modeloom.functions import dot
+from modeloom.plans import Dag, Graph, LabelTile, LabelTiles, LabelWhole, LevelGraph, combination, contraction, input_node, kept, stage
 from modeloom.plans.stiffness import fixture, stiffness, stiffness_sql
 from modeloom.sources import from_array_column, from_function, from_table
-from modeloom.streaming import contract_stream
+from modeloom.streaming import contract_stream, settled
 from modeloom.tensor import Tensor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,7 +385,7 @@ def dag_diamond(spark, sf):
     g, p = g.add(contraction(mn.read(), input_node(rg), ("m", "r")))
     g, w = g.add(contraction(mn.read(), input_node(rg, lambda n, r, v: (v * (n % 4)).cast("long")), ("m", "r")))
     g, out = g.add(combination([p.read(), w.read()], lambda m, r, a, b: 2 * a - 3 * b, join="outer"))
-    return g.outputs(out).execute()[0].to_df()
+    return kept(g.outputs(out).execute(), lambda run: run[0].to_df())
 
 
 @query(f"SELECT m, d, (x.v + y.v) * 2 + (x.v - y.v) AS v FROM {A} x JOIN {B} y USING (m, d)")
@@ -393,16 +394,15 @@ def dag_multi_output_two_consumers(spark, sf):
     g, plus, minus = Dag().add(combination([a, b], lambda m, d, x, y: [x + y, x - y], outputs=2))
     g, twice = g.add(combination([plus.read()], lambda m, d, v: 2 * v))
     g, out = g.add(combination([twice.read(), minus.read()], lambda m, d, x, y: x + y))
-    return g.outputs(out).execute()[0].to_df()
+    return kept(g.outputs(out).execute(), lambda run: run[0].to_df())
 
 
 @query(f"SELECT 'sb' AS root, CAST(s AS VARCHAR) AS a, b, {PRODUCT} FROM {Q} x JOIN {BR} y USING (p) GROUP BY ALL UNION ALL SELECT 'nb', CAST(n AS VARCHAR), b, v FROM ({CHAIN})")
 def dag_two_roots(spark, sf):
     g, sb = Dag().add(contraction(input_node(quantity(spark, sf)), input_node(brands(spark, sf)), ("s", "b")))
     g, nb = g.add(contraction(sb.read(), input_node(supplier_nations(spark, sf)), ("n", "b")))
-    one, two = g.outputs(sb, nb).execute()
     part = lambda t, name: t.df.select(F.lit(name).alias("root"), F.col(t.modes[0]).cast("string").alias("a"), "b", "v")
-    return part(one, "sb").unionByName(part(two.permute("n", "b"), "nb"))
+    return kept(g.outputs(sb, nb).execute(), lambda run: part(run[0], "sb").unionByName(part(run[1].permute("n", "b"), "nb")))
 
 
 H3 = "(SELECT q, a, 3 * q - 2 * a + q * a AS v FROM range(7) x(q) CROSS JOIN range(7) y(a))"
@@ -433,22 +433,21 @@ GC = f"(SELECT e, b, q AS c, CAST(SUM(u.v * h.v) AS BIGINT) AS v FROM {DENSE_CUB
 def level_combine(spark, sf):
     g, gb, gc = gradients(spark, sf)
     g, out = g.add(combination([gb.as_("e", "b", "c"), gc.as_("e", "b", "c")], lambda e, b, c, x, y: x + 10 * y))
-    return g.outputs(out).execute(persist=False)[0].to_df()
+    return kept(g.outputs(out).execute(), lambda run: run[0].to_df())
 
 
 @query(f"SELECT 'b' AS root, e, b, c, v FROM {GB} UNION ALL SELECT 'c', e, b, c, v FROM {GC}")
 def level_gradients(spark, sf):
     g, gb, gc = gradients(spark, sf)
-    one, two = g.outputs(gb, gc).execute(persist=False)
     part = lambda t, name: t.as_("e", "b", "c").df.select(F.lit(name).alias("root"), "e", "b", "c", "v")
-    return part(one, "b").unionByName(part(two, "c"))
+    return kept(g.outputs(gb, gc).execute(), lambda run: part(run[0], "b").unionByName(part(run[1], "c")))
 
 
 @query(f"SELECT e, b, c, 2 * x.v + e AS v0, 3 * y.v - c AS v1 FROM {GB} x JOIN {GC} y USING (e, b, c)")
 def level_multi_output(spark, sf):
     g, gb, gc = gradients(spark, sf)
     g, one, two = g.add(combination([gb.as_("e", "b", "c"), gc.as_("e", "b", "c")], lambda e, b, c, x, y: [2 * x + e, 3 * y - c], outputs=2))
-    return g.outputs(one, two).execute(persist=False)[0].frame
+    return kept(g.outputs(one, two).execute(), lambda run: run[0].frame)
 
 
 @query(f"SELECT c, e, b, v FROM {GB}")
@@ -457,23 +456,61 @@ def level_declared_order(spark, sf):
     g = LevelGraph(LabelTiles(LabelTile("e", 4), *[LabelWhole(x, 7) for x in "bcqa"]))
     g, u, hh = g.add(stage(cube(spark, sf)), stage(h))
     g, out = g.add(contraction(u.as_("e", "a", "c"), hh.read(), ("c", "e", "q")))
-    return g.outputs(out).execute(persist=False)[0].as_("c", "e", "b").to_df()
+    return kept(g.outputs(out).execute(), lambda run: run[0].as_("c", "e", "b").to_df())
+
+
+@query(f"SELECT e, b, c, v FROM {GB}")
+def flat_tiles(spark, sf):
+    """A tree run by blocks, with one map of block sizes for each of its contractions."""
+    h = from_function(spark, {"q": 7, "a": 7}, lambda q, a: 3 * q - 2 * a + q * a, "bigint")
+    u = cube(spark, sf).as_("e", "a", "c")
+    g, out = Graph().ops(contraction(input_node(u), input_node(h), ("e", "q", "c"), value="bigint"))
+    return g.execute_flat([{"e": 4, "a": 7, "c": 7, "q": 7}]).as_("e", "b", "c").to_df()
+
+
+NINE = "(SELECT CAST(month(l_shipdate) - 1 AS BIGINT) AS m, CAST(l_linenumber - 1 AS BIGINT) AS d, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem WHERE l_linenumber = {k} OR l_linenumber = 1 GROUP BY ALL)"
+
+
+@query("SELECT m, d, " + " + ".join(f"{k} * COALESCE(t{k}.v, 0)" for k in range(1, 10)) + f" AS v FROM {NINE.format(k=1)} t1 " + " ".join(f"FULL JOIN {NINE.format(k=k)} t{k} USING (m, d)" for k in range(2, 10)))
+def combine_nine(spark, sf):
+    """Nine operands that meet in one aggregate."""
+    def part(k):
+        rows = table(spark, sf, "lineitem").where((F.col("l_linenumber") == k) | (F.col("l_linenumber") == 1))
+        return from_table(rows, {"m": (F.month("l_shipdate") - 1).cast("long"), "d": (F.col("l_linenumber") - 1).cast("long")}, "l_quantity", kind="bigint")
+
+    return combine(("m", "d"), [part(k) for k in range(1, 10)], lambda m, d, a, b, c, e, f, g, h, i, j: a + 2 * b + 3 * c + 4 * e + 5 * f + 6 * g + 7 * h + 8 * i + 9 * j, join="outer").to_df()
+
+
+@query("SELECT x.vec_id AS k, ROUND(list_inner_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) AS v FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1")
+def array_dot(spark, sf):
+    """Inner products of neighbouring rows' arrays, as one expression."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+    return rows.join(other, "vec_id").select(F.col("vec_id").alias("k"), F.round(dot("x", "y"), 9).alias("v"))
 
 
 # -- elastic stiffness
 
 
-@query(stiffness_sql(400, 8, ["x", "z"]))
+MESH2 = "SELECT c_custkey AS e, c_nationkey AS kind FROM customer"
+MESH3 = "SELECT s_suppkey AS e, s_nationkey AS kind FROM supplier"
+
+
+def forces(elements, points, axes):
+    """Forces on a mesh with an element for each row; they are rounded for comparison."""
+    fields, *matrices = fixture(elements, points, axes, kind="kind")
+    out = stiffness(fields, "e", axes, *matrices)
+    return out.select("e", *axes, *[F.round(f"f{c}", 6).alias(f"f{c}") for c in range(len(axes))])
+
+
+@query(stiffness_sql(MESH2, 8, ["x", "z"], kind="kind"))
 def sem2d_force(spark, sf):
-    out = stiffness(fixture(spark, 400, 8, ["x", "z"])[0], "e", ["x", "z"], *fixture(spark, 400, 8, ["x", "z"])[1:])
-    return out.select("e", "x", "z", *[F.round(f"f{c}", 6).alias(f"f{c}") for c in range(2)])
+    return forces(table(spark, sf, "customer").selectExpr("cast(c_custkey as long) e", "c_nationkey kind"), 8, ["x", "z"])
 
 
-@query(stiffness_sql(60, 5, ["i", "j", "k"]))
+@query(stiffness_sql(MESH3, 5, ["i", "j", "k"], kind="kind"))
 def sem3d_force(spark, sf):
-    fields, *matrices = fixture(spark, 60, 5, ["i", "j", "k"])
-    out = stiffness(fields, "e", ["i", "j", "k"], *matrices)
-    return out.select("e", "i", "j", "k", *[F.round(f"f{c}", 6).alias(f"f{c}") for c in range(3)])
+    return forces(table(spark, sf, "supplier").selectExpr("cast(s_suppkey as long) e", "s_nationkey kind"), 5, ["i", "j", "k"])
 
 
 # -- blocks and order
@@ -530,17 +567,11 @@ def reduce_mode(spark, sf):
     return reduce_modes(flags(spark, sf), "rf").to_df()
 
 
-@query("SELECT user_id AS u, CAST(SUM(w) AS BIGINT) AS v FROM events JOIN (SELECT event_type, dense_rank() OVER (ORDER BY event_type) AS w FROM (SELECT DISTINCT event_type FROM events)) USING (event_type) GROUP BY ALL")
+@query("SELECT user_id AS u, CAST(SUM(w) AS BIGINT) AS v FROM events JOIN (SELECT event_type, length(event_type) AS w FROM (SELECT DISTINCT event_type FROM events)) USING (event_type) GROUP BY ALL")
 def stream_contract(spark, sf):
     """Events as a stream, contracted with a weight for each type; the result once all is read."""
-    import uuid
-
-    path = f"{sf}/events*.parquet"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    kinds = sorted(r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_type").distinct().collect())
-    weights = Tensor(spark.createDataFrame([(k, i + 1) for i, k in enumerate(kinds)], "t string, v long"), ("t",), extents={})
-    stream = spark.readStream.schema(schema).parquet(path).select(F.col("user_id").alias("u"), F.col("event_type").alias("t"), F.lit(1).cast("long").alias("v"))
-    name = f"stream_{uuid.uuid4().hex}"
-    running = contract_stream(stream, ("u", "t"), weights, ("u",)).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    kinds = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("t")).distinct()
+    weights = Tensor(kinds.select("t", F.length("t").cast("long").alias("v")), ("t",), extents={})
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").select(F.col("user_id").alias("u"), F.col("event_type").alias("t"), F.lit(1).cast("long").alias("v"))
+    return settled(contract_stream(stream, ("u", "t"), weights, ("u",)))

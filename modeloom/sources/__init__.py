@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,16 @@ def from_array_column(df: DataFrame, labels: Mapping[str, str], array: str, posi
     return Tensor(rows, (*labels, position), "v", {**(extents or {}), position: extent})
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A path that nothing uses yet, in the folder that all machines share: ``spark.checkpoint.dir``, or one of our own where all runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, path: str, modes: Sequence[str], value: str = "v", extents: Mapping[str, int] | None = None, dense: bool = False, format: str = "parquet", **options) -> Tensor:
     """A tensor from files of any format that Spark reads (parquet, orc, json, csv, jdbc ...)."""
     return Tensor(spark.read.format(format).options(**options).load(path), modes, value, extents, dense)

@@ -186,3 +186,57 @@ def test_empty_tensor(spark):
     assert to_numpy(e.densify()).tolist() == [[0, 0], [0, 0]]
     assert scalar(e, e).df.collect()[0]["v"] == 0
     assert e.df.select(F.sum("v")).collect()[0][0] is None
+
+
+def test_many_operands_meet_in_one_aggregate(spark):
+    xs = [np.arange(12.0).reshape(3, 4) * (k + 1) % 7 for k in range(9)]
+    ts = [from_numpy(spark, x, "ij") for x in xs]
+    got = combine("ij", ts, lambda i, j, a, b, c, d, e, f, g, h, k: a - b + c - d + e - f + g - h + k + i)
+    want = sum((-1) ** k * x for k, x in enumerate(xs)) + np.arange(3)[:, None]
+    np.testing.assert_allclose(to_numpy(got), want)
+    plan = got.df._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan.replace("Join=", "") and plan.count("Aggregate(") == 2  # before and after one shuffle
+    sparse = [Tensor(t.df.where(F.col("i") != k), "ij", t.value, t.extents) for k, t in enumerate(ts[:3])]
+    keep = lambda x, k: np.where(np.arange(3)[:, None] == k, 0, x)
+    add = lambda i, j, a, b, c: a + 10 * b + 100 * c
+    for how in ("outer", "dense"):
+        np.testing.assert_allclose(to_numpy(combine("ij", sparse, add, join=how)), keep(xs[0], 0) + 10 * keep(xs[1], 1) + 100 * keep(xs[2], 2))
+    assert combine("ij", sparse, add, join="inner").df.count() == 0
+    assert combine("ij", [ts[0], ts[1], sparse[1]], add, join="inner").df.count() == 8
+
+
+def test_a_broadcast_side_keeps_to_its_extents(spark):
+    wide = spark.range(100).select("id", F.lit(1.0).alias("v"))
+    big = Tensor(spark.range(50).select((F.col("id") % 10).alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v")), "ij")
+    assert contract(big, Tensor(wide.withColumnRenamed("id", "i").where("i < 10"), "i", extents={"i": 10}), "j").df.count() == 50
+    with pytest.raises(Exception, match="outside of the extents"):
+        contract(big, Tensor(wide.withColumnRenamed("id", "i"), "i", extents={"i": 10}), "j").df.count()
+    with pytest.raises(ValueError, match="prove it small"):
+        contract(big, Tensor(wide.withColumnRenamed("id", "k"), "k"))
+
+
+def test_strict_reshape():
+    from modeloom.operators.views import common_factors
+
+    assert common_factors([4, 6], [8, 3]) == [4, 2, 3]
+    assert common_factors([2, 3, 4], [24]) == [2, 3, 4]
+    for source, target, said in (([2, 3], [3, 2], "no common"), ([2, 3], [7], "asked"), ([2] * 20, [2] * 20, "the most")):
+        with pytest.raises(ValueError, match=said):
+            common_factors(source, target)
+
+
+def test_dot(spark):
+    from modeloom.functions import dot
+
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), ([], []), (None, [1.0]), ([1.0, None], [1.0, 1.0])], "x array<double>, y array<double>")
+    assert [r[0] for r in df.select(dot("x", "y")).collect()] == [11.0, 0.0, None, None]
+    with pytest.raises(Exception, match="different lengths"):
+        spark.createDataFrame([([1.0], [1.0, 2.0])], "x array<double>, y array<double>").select(dot("x", "y")).collect()
+
+
+def test_blocks_are_bounded(spark):
+    from modeloom.operators import Blocked
+
+    t = Tensor(spark.range(5).select(F.col("id").alias("i"), F.lit(1.0).alias("v")), "i", extents={"i": 1 << 22})
+    with pytest.raises(ValueError, match="are the most"):
+        Blocked.of(t, {})

@@ -52,10 +52,92 @@ def test_liveness():
         d, last = d.add(n(k, k))
     d = d.outputs(last)
     assert d.live() == [(0, 1), (1, 2), (2, 3), (3, 4)]
-    assert d.pools() == [0, 1, 0, 1] and d.estimate() == {"slots": 128, "pools": 64, "num_pools": 2}
+    assert d.pools() == [0, 1, 0, 1] and d.estimate() == {"slots": 128, "pools": 64, "num_pools": 2, "operands": 32, "all": 96}
     assert d.readers() == [1, 1, 1, 0]
 
 
+def test_a_shared_result_is_made_once(spark, tmp_path):
+    """Each table is read once, and what was kept is let go with the DataFrame that holds it."""
+    import gc
+
+    from modeloom import queries
+
+    cached = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    gc.collect()
+    before = cached()
+    df = queries.dag_diamond(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") == 2  # both readers find the shared result
+    df.collect()
+    assert cached() == before + 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() >= 1
+    del df
+    gc.collect()
+    assert cached() == before
+
+
+def test_results_are_released_after_their_last_reader(spark):
+    na, nb, ne, _ = nodes(spark)
+    d, last = Dag().add(contraction(na, nb, "il"))
+    want = a @ b
+    for k in range(5):
+        d, last = d.add(combination([last.read()], lambda i, l, v: v + 1))
+        want = want + 1
+    d, out = d.add(contraction(last.read(), ne, "im"))
+    d = d.outputs(out)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with d.execute(release=True) as run:
+        np.testing.assert_allclose(to_numpy(run[0]), want @ e)
+        assert run.most_kept == d.estimate()["num_pools"] == 2 and len(run.kept) == 1
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() == before + 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_tasks_of_a_run(spark):
+    na, nb, *_ = nodes(spark)
+    d, x = Dag().add(stage(na))
+    d, out = d.add(combination([x.read()], lambda i, k, v: 2 * v))
+    for n in (1, 3):
+        with d.outputs(out).tasks(n).execute() as run:
+            assert run[0].df.rdd.getNumPartitions() == n
+            np.testing.assert_allclose(to_numpy(run[0]), 2 * a)
+    with pytest.raises(ValueError, match="0 tasks"):
+        d.tasks(0)
+
+
+def test_levels_work_within_their_tasks(spark):
+    """Staged inputs are dealt by the label that is cut; nothing after that is shuffled."""
+    h = 0.1 + 0.3 * np.indices((5, 5))[0]
+    u = fill((6, 5, 5), 1, 2, 3, mod=7, scale=0.1)
+    g = LevelGraph(LabelTiles(LabelTile("e", 2), *[LabelWhole(x, 5) for x in "abq"]))
+    g, nu = g.add(stage(from_numpy(spark, u, "eab")))
+    g, ga, gb = g.add(contraction(nu.as_("e", "a", "b"), input_node(from_numpy(spark, h, "qa")), "eqb"), contraction(nu.as_("e", "b", "a"), input_node(from_numpy(spark, h, "qa")), "ebq"))
+    g, out = g.add(combination([ga.as_("e", "a", "b"), gb.as_("e", "a", "b")], lambda e, a, b, x, y: x + y))
+    with g.outputs(ga).execute() as run:
+        np.testing.assert_allclose(to_numpy(run[0]), np.einsum("qa,eab->eqb", h, u))
+        ran = run[0].df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
+        assert "ENSURE_REQUIREMENTS" not in ran and "REPARTITION_BY_NUM" in ran
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # joins, too
+    with g.outputs(out).execute() as run:
+        assert run.kept[0].rdd.getNumPartitions() == g.work_items() == 3
+        np.testing.assert_allclose(to_numpy(run[0]), np.einsum("qa,eab->eqb", h, u) + np.einsum("qa,eba->ebq", h, u))
+        ran = run[0].df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
+        assert "ENSURE_REQUIREMENTS" not in ran and "REPARTITION_BY_NUM" in ran
+    spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+
+
+def test_flat_blocks(spark):
+    na, nb, ne, _ = nodes(spark)
+    g, _ = Graph().ops(contraction(contraction(na, nb, "il"), ne.as_("l", "m"), "im", lambda i, m, v: v + i))
+    outer_, inner = {"i": 4, "l": 3, "m": 2}, {"i": 4, "k": 3, "l": 3}
+    np.testing.assert_allclose(to_numpy(g.execute_flat([outer_, inner])), a @ b @ e + np.arange(8)[:, None])
+    for bad, said in (([outer_], "more contractions"), ([outer_, inner, inner], "left over")):
+        with pytest.raises(ValueError, match=said):
+            g.execute_flat(bad)
+    with pytest.raises(ValueError, match="not combine"):
+        Graph().ops(combination([na], lambda i, k, v: v))[0].execute_flat([{}])
+
+
 def test_graph_guards(spark):
     na, *_ = nodes(spark)
     with pytest.raises(ValueError, match="before it is made"):
@@ -108,9 +190,12 @@ def test_level_guards(spark):
 @pytest.mark.parametrize("axes", [["x", "z"], ["i", "j", "k"]])
 def test_stiffness_against_numpy(spark, axes):
     n, points, elements = len(axes), 4, 3
-    got = stiffness(fixture(spark, elements, points, axes)[0], "e", axes, *fixture(spark, elements, points, axes)[1:]).toPandas()
+    fields, *matrices = fixture(spark.range(elements).withColumnRenamed("id", "e"), points, axes)
+    got = stiffness(fields, "e", axes, *matrices)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = got.toPandas()
     grid = dict(zip(["e", *axes], np.indices((elements, *[points] * n))))
-    calc = lambda text: np.array(eval(text.replace("CASE WHEN a = b THEN 0.1 ELSE 0.0 END", "0.1 * (a == b)"), {"sin": np.sin}, scope), float)
+    calc = lambda text: np.array(eval(text.replace("CASE WHEN a = b THEN 0.2 ELSE 0.0 END", "0.2 * (a == b)"), {"cos": np.cos}, scope), float)
     scope = dict(grid)
     v = {k: np.broadcast_to(calc(x), grid["e"].shape) for k, x in fixture_columns(axes).items()}
     scope = dict(zip("ab", np.indices((points, points))))
@@ -148,6 +233,10 @@ def test_stream(spark, tmp_path):
     w = Tensor(spark.createDataFrame([(0, 1), (1, 10), (2, 100)], "t long, v long"), ("t",), extents={"t": 3})
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     for kind, extra in (("plain", {}), ("windowed", {"event_time": "ts", "window": "30 minutes"})):
+        if kind == "plain":
+            from modeloom.streaming import settled
+
+            assert dict(settled(contract_stream(stream, ("u", "t"), w, ("u",))).collect()) == {u: sum(10 ** (k % 3) for k in range(60) if k % 5 == u) for u in range(5)}
         q = contract_stream(stream, ("u", "t"), w, ("u",), **extra).writeStream.format("memory").queryName(kind).outputMode("complete").trigger(availableNow=True).start()
         q.awaitTermination()
         got = dict(spark.table(kind).groupBy("u").agg(F.sum("v")).collect())
