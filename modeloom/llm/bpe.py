@@ -291,5 +291,6 @@ def decode_documents(encoded: DataFrame, vocab: str) -> DataFrame:
 
 
 def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents of the table and what they decode to; see :func:`encode_documents` for odd rows."""
     vocab = vocabulary("byte_bpe_multi_50k.tiktoken")
     return decode_documents(encode_documents(table(spark, sf_dir, "documents"), vocab), vocab)

@@ -201,6 +201,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations of the table and one of control strings, formatted and read back; see :func:`format_conversations` for odd rows."""
     own = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")

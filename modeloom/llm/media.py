@@ -183,4 +183,5 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of the table as images, and what the stored bytes say; see :func:`store` for odd rows."""
     return features(store(table(spark, sf_dir, "documents")))

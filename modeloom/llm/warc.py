@@ -298,4 +298,5 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages of the table, written and read back; see :func:`write_archives` for odd rows."""
     return read_archives(write_archives(table(spark, sf_dir, "pages"), new_folder(spark, "warc")))

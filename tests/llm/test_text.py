@@ -229,6 +229,15 @@ def test_op2_families(spark, monkeypatch, block):
     assert len(set(want.values())) < 0.9 * len(rows)
 
 
+def test_shingles_of_a_long_text():
+    long_ = " ".join(f"w{i % 1013}" for i in range(420_000))
+    assert len(long_) > 2_000_000
+    text, value, weight = minhash.shingles(["a b c d e f", long_, ""])
+    want = bag(long_)
+    assert np.bincount(text, minlength=3).tolist() == [2, len(want), 0]
+    assert sorted(weight[text == 1].tolist()) == sorted(want.values())
+
+
 def test_op2_odd(odd, nothing):
     got = minhash.near_duplicates(odd).collect()
     want = brute_classes([(r.doc_id, r.text) for r in odd.collect()])

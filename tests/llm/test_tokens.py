@@ -91,6 +91,15 @@ def test_long_texts_come_in_parts(documents, chars):
     assert [k for k, _ in pieces.text_parts(["ab", "c d e f", "", "x"], chars=3)][-1] == 2
 
 
+def test_a_text_above_two_million_characters(library, other):
+    long_ = "".join(f"word{i % 977} {'x' * (i % 13)},\n  " for i in range(160_000))
+    assert len(long_) > 2_100_000
+    for cache, encode in ((library_cache(BYTE), library), (bpe.TreeEncoder(bpe.TreeBPE.from_file(MULTI)), other)):
+        ids, at = cache.encode_texts(["before", long_, "", "behind"])
+        assert ids[at[1] : at[2]].tolist() == encode(long_)
+        assert [ids[at[k] : at[k + 1]].tolist() for k in (0, 2, 3)] == [encode(t) for t in ("before", "", "behind")]
+
+
 def test_a_small_cache_gives_the_same():
     cache = PieceCache(lambda pieces: [[len(p), ord(p[0])] for p in pieces], most=3)
     for texts in (["a bb ccc", "", "dddd"], ["ccc a"], ["x y z q"]):
