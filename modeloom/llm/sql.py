@@ -25,3 +25,35 @@ g AS (SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) ||
   FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string of ASCII signs, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: {bits}), 4294967295)"
+
+
+def _leaf(*columns: str) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in columns) + ")"
+
+
+_RISE = "SELECT level + 1, g, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM {0} WHERE n > 1 GROUP BY level, g, n, i // 2"
+_CLIMB = """SELECT w.doc_id, w.leaf, w.g, w.level + 1, w.i // 2, (w.n + 1) // 2, w.proof || COALESCE(s.digest, ''),
+  sha256(CASE WHEN w.i % 2 = 1 THEN s.digest || w.node ELSE w.node || COALESCE(s.digest, '') END)
+  FROM {0} w LEFT JOIN {1} s ON s.g = w.g AND s.level = w.level AND s.i = xor(w.i, 1) WHERE w.n > 1"""
+MERKLE = f"""
+WITH RECURSIVE
+l AS MATERIALIZED (SELECT doc_id, COALESCE('=' || lang, '') AS g, {_leaf('doc_id', 'source', 'lang', 'n_chars', 'text')} AS leaf,
+  CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('doc_id', 'source', 'lang', '(n_chars + 1)', 'text')} END AS other FROM documents),
+p AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, COUNT(*) OVER (PARTITION BY g) AS n FROM l),
+t AS (SELECT 0 AS level, g, i, n, leaf AS digest FROM p UNION ALL {_RISE.format('t')}),
+nodes AS MATERIALIZED (SELECT * FROM t),
+s AS MATERIALIZED (SELECT g AS label, digest, ROW_NUMBER() OVER (ORDER BY g) - 1 AS i, COUNT(*) OVER () AS n FROM nodes WHERE n = 1),
+u AS (SELECT 0 AS level, '' AS g, i, n, digest FROM s UNION ALL {_RISE.format('u')}),
+tops AS MATERIALIZED (SELECT * FROM u),
+w AS (SELECT doc_id, leaf, g, 0 AS level, i, n, '' AS proof, COALESCE(other, leaf) AS node FROM p UNION ALL {_CLIMB.format('w', 'nodes')}),
+half AS MATERIALIZED (SELECT w.*, s.i AS place, s.n AS many, s.digest AS subroot FROM w JOIN s ON s.label = w.g WHERE w.n = 1),
+v AS (SELECT doc_id, leaf || '/' || subroot AS leaf, '' AS g, 0 AS level, place AS i, many AS n, proof, node FROM half UNION ALL {_CLIMB.format('v', 'tops')})
+SELECT doc_id, leaf[:64] AS leaf, leaf[66:] AS subroot, r.digest AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.digest AS verified
+FROM v, (SELECT digest FROM tops WHERE n = 1) r WHERE v.n = 1
+"""

@@ -1,0 +1,107 @@
+"""The Merkle manifest against one built in a loop."""
+
+import hashlib
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from modeloom.llm import merkle, registry
+from modeloom.llm.common import table
+from modeloom.llm.merkle import document_leaves, manifest, op11_merkle
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def tree(leaves, fanout):
+    """The root of a list, and what stands left and right of each leaf's path, level by level."""
+    paths, place, level = [[] for _ in leaves], list(range(len(leaves))), list(leaves)
+    while len(level) > 1:
+        for i, p in enumerate(place):
+            run = p - p % fanout
+            paths[i].append((level[run:p], level[p + 1 : run + fanout]))
+            place[i] = p // fanout
+        level = [h(*level[i : i + fanout]) for i in range(0, len(level), fanout)]
+    return level[0], paths
+
+
+def leaf(doc_id, source, lang, n_chars, text):
+    return h(*["-" if x is None else f"{len(str(x).encode())}:{x}" for x in (doc_id, source, lang, n_chars, text)])
+
+
+def brute(rows, fanout=2, tampered=lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 0):
+    """Sorted rows of the manifest of (doc_id, source, lang, n_chars, text)."""
+    groups = defaultdict(list)
+    for r in rows:
+        other = r if r[3] is None or not tampered(r[0]) else (*r[:3], r[3] + 1, r[4])
+        groups[r[2]].append((r[0] is not None, r[0] or 0, leaf(*r), r[0], leaf(*other)))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    made = {g: tree([x[2] for x in sorted(groups[g])], fanout) for g in order}
+    root, tops = tree([made[g][0] for g in order], fanout)
+    out = []
+    for g, top in zip(order, tops):
+        for x, path in zip(sorted(groups[g]), made[g][1]):
+            steps, node = [*path, *top], x[4]
+            for left, right in steps:
+                node = h(*left, node, *right)
+            out.append((x[3], x[2], made[g][0], root, h(*[s for a, b in steps for s in (*a, *b)]), node, node == root))
+    return sorted(out, key=str)
+
+
+def collected(df):
+    return sorted([tuple(r) for r in df.collect()], key=str)
+
+
+def rows_of(docs):
+    return [tuple(r) for r in docs.select("doc_id", "source", "lang", "n_chars", "text").collect()]
+
+
+def test_query(spark, sf):
+    got = collected(op11_merkle(spark, sf).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"))
+    assert got == brute(rows_of(table(spark, sf, "documents")))
+    assert {r[-1] for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("fanout", [2, 3, 5])
+def test_odd_rows(spark, odd, nothing, fanout):
+    bad = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    assert collected(manifest(document_leaves(odd, bad), fanout)) == brute(rows_of(odd), fanout)
+    assert manifest(document_leaves(nothing, bad), fanout).collect() == []
+
+
+def test_blocks_copies_and_ties(spark, monkeypatch):
+    """Small blocks and digits: several rounds, ids far apart, repeated rows, and many texts under one id or none."""
+    monkeypatch.setattr(merkle, "BLOCK", 4)
+    monkeypatch.setattr(merkle, "BITS", 3)
+    monkeypatch.setattr(merkle, "COPIES", 3)
+    ids = [0, 1, 5, 70, 71, 900, -3, 2**62, -(2**63), 2**63 - 1]
+    rows = [(i, "s", "en", 4, f"t{i}") for i in ids] + [(None, "s", "en", None, f"n{i}") for i in range(9)] + [(7, "s", "en", 2**63 - 1, f"x{i}") for i in range(9)]
+    rows += [(9, None, "en", 3, "same")] * 11 + [(i, "s", None, 1, "") for i in range(6)] + [(3, "s", f"lang{i % 23}", 1, "é") for i in range(40)] + [(1, "", "", 0, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    for fanout in (3,):
+        got = collected(manifest(document_leaves(docs, F.col("doc_id") == 9), fanout))
+        assert got == brute(rows, fanout, lambda i: i == 9)
+
+
+def test_a_changed_row_changes_the_root_only_where_it_should(spark, sf):
+    docs = table(spark, sf, "documents")
+    one = manifest(document_leaves(docs))
+    assert one.where(~F.col("verified")).count() == 0
+    two = manifest(document_leaves(docs.withColumn("text", F.when(F.col("doc_id") == 5, F.lit("changed")).otherwise(F.col("text")))))
+    kept = one.join(two, "subroot", "left_semi").count()
+    assert 0 < kept < one.count()
+
+
+def test_sql(spark, sf):
+    import duckdb
+
+    if "op11_merkle" not in registry.ORACLE_SQL:
+        pytest.skip("no SQL")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.execute(registry.ORACLE_SQL["op11_merkle"]).fetchall()
+    names = [d[0] for d in con.description]
+    assert sorted(want, key=str) == collected(op11_merkle(spark, sf).select(*names))
