@@ -13,7 +13,8 @@ from modeloom.llm.minhash import op2_minhash
 from modeloom.llm.packing import op8_packing
 from modeloom.llm.substrings import op9_substrings
 from modeloom.llm.token_files import op3_token_files
+from modeloom.llm.trie import op12_trie
 from modeloom.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_minhash, op3_token_files, op4_warc, op5_tree_bpe, op6_media, op7_language, op8_packing, op9_substrings, op10_chat, op11_merkle)}
-ORACLE_SQL: dict[str, str] = {"op4_warc": sql.WARC, "op10_chat": sql.CHAT, "op11_merkle": sql.MERKLE}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_minhash, op3_token_files, op4_warc, op5_tree_bpe, op6_media, op7_language, op8_packing, op9_substrings, op10_chat, op11_merkle, op12_trie)}
+ORACLE_SQL: dict[str, str] = {"op4_warc": sql.WARC, "op10_chat": sql.CHAT, "op11_merkle": sql.MERKLE, "op12_trie": sql.TRIE}

@@ -57,3 +57,29 @@ v AS (SELECT doc_id, leaf || '/' || subroot AS leaf, '' AS g, 0 AS level, place
 SELECT doc_id, leaf[:64] AS leaf, leaf[66:] AS subroot, r.digest AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.digest AS verified
 FROM v, (SELECT digest FROM tops WHERE n = 1) r WHERE v.n = 1
 """
+
+
+TRIE = f"""
+WITH c AS MATERIALIZED (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+    ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS rn FROM conversations WHERE conv_id IS NOT NULL),
+k AS MATERIALIZED (SELECT conv_id, rn, sha256(strlen(role) || ':' || role || text) AS key, strlen(text) AS size FROM c),
+h AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM k)),
+r AS (SELECT h.conv_id, 0 AS half, k.rn, key, size FROM h JOIN k ON k.conv_id = h.base AND k.rn <= h.h
+  UNION ALL SELECT h.conv_id, 1, k.rn, key, size FROM h JOIN k ON k.conv_id = h.conv_id AND k.rn > h.h),
+q AS (SELECT conv_id, size, ROW_NUMBER() OVER o AS depth, string_agg(key, '') OVER o AS whole FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY half, rn ROWS UNBOUNDED PRECEDING)),
+m AS MATERIALIZED (SELECT conv_id, depth, sha256(whole) AS node, sha256(whole[:-65]) AS parent, size FROM q UNION ALL SELECT conv_id, 0, sha256(''), NULL, 0 FROM h),
+e AS (SELECT *, depth = MAX(depth) OVER (PARTITION BY conv_id) AS ends FROM m),
+n AS MATERIALIZED (SELECT MIN(conv_id) AS conv_id, depth, node, parent, COUNT(*) AS n_convs, (COUNT(*) - 1) * MAX(size) AS gain,
+  sha256(COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM e GROUP BY depth, node, parent),
+b AS MATERIALIZED (SELECT n.*, COALESCE(x.kids, 0) AS kids FROM n LEFT JOIN (SELECT parent AS node, COUNT(*) AS kids FROM n GROUP BY parent) x USING (node)),
+u AS (SELECT m.node, CAST(COUNT(*) FILTER (WHERE b.kids = 0) AS BIGINT) AS n_leaves, CAST(SUM(b.gain) AS BIGINT) AS saved_tokens FROM b JOIN m ON m.conv_id = b.conv_id AND m.depth <= b.depth GROUP BY m.node)
+SELECT b.conv_id, CAST(b.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, b.n_convs, b.kids AS n_children, n_leaves, saved_tokens, b.ends_sha256
+FROM b JOIN u USING (node) LEFT JOIN n p ON p.node = b.parent
+"""
+VECTORS = """
+WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
