@@ -1,0 +1,102 @@
+"""Largest inner products by ball trees against all products."""
+
+import math
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from modeloom.llm import balltree, registry
+from modeloom.llm.balltree import LOWEST, BallTree, op13_exact_topk, top_products, tree_order, whole_numbers
+from modeloom.llm.common import table
+
+
+def brute(rows, chosen, k):
+    """Rows of the search over (vec_id, whole numbers)."""
+    out = []
+    for q, x in rows:
+        if chosen(q):
+            s = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)[:k]
+            out += [(q, r, i, -v) for r, (v, i) in enumerate(s, 1)]
+    return sorted(out)
+
+
+def collected(df):
+    return sorted(tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect())
+
+
+def test_query(spark, sf):
+    rows = [(r["vec_id"], [math.floor(256 * x) for x in r["embedding"]]) for r in table(spark, sf, "embeddings").collect()]
+    assert collected(op13_exact_topk(spark, sf)) == brute(rows, lambda i: i % 50 == 0, 5)
+
+
+def vectors(kind, n, d, rng):
+    if kind == "clustered":
+        return rng.integers(-4, 5, (n, d)) + 40 * rng.integers(-3, 4, (12, d))[rng.integers(0, 12, n)]
+    if kind == "lengths":
+        return (rng.normal(size=(n, d)) * np.exp(2 * rng.normal(size=(n, 1)))).astype(np.int64) * 3
+    if kind == "equal":
+        return np.where(rng.random((n, 1)) < 0.4, 7, rng.integers(-2, 3, (n, d)))
+    return rng.integers(-100, 100, (n, d))
+
+
+@pytest.mark.parametrize("kind", ["clustered", "lengths", "equal", "random"])
+def test_many_shards(spark, monkeypatch, kind):
+    """Small shards, so that several waves pass kth scores on, and few queries a task."""
+    monkeypatch.setattr(balltree, "SHARD_BYTES", 8 * 6 * 100)
+    monkeypatch.setattr(balltree, "ASKED", 5)
+    monkeypatch.setattr(balltree, "DIRECTORY_BYTES", 8 * 9 * 7)
+    x = vectors(kind, 1500, 6, np.random.default_rng(3))
+    rows = [(i * 3 - 600, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<long>")
+    assert collected(top_products(df, F.col("vec_id") % 50 == 0, 4)) == brute(rows, lambda i: i % 50 == 0, 4)
+
+
+def test_branch_and_bound_leaves_nodes_out():
+    """On clustered vectors most leaves are never opened, and a kth score from elsewhere spares more."""
+    rng = np.random.default_rng(5)
+    x = (1000 * rng.normal(size=(40, 16)))[rng.integers(0, 40, 8192)] + 20 * rng.normal(size=(8192, 16))
+    x = np.floor(x)
+    x = x[tree_order(x)]
+    tree = BallTree(x, [np.array([i]) for i in range(len(x))])
+    q = x[::200]
+    at, ids, scores = tree.search(q, np.full(len(q), LOWEST), 6)
+    want = np.sort(q @ x.T, axis=1)[:, ::-1][:, :6]
+    assert np.array_equal(scores.reshape(-1, 6), want) and len(at) == 6 * len(q)
+    alone = tree.opened
+    assert alone < 0.1 * len(q) * 128
+    tree.search(q, want[:, 5].astype(np.int64), 6)
+    assert tree.opened <= alone
+    assert len(tree.search(q, want[:, 0].astype(np.int64) + 1, 6)[0]) == 0
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [0.5, 1.0]), (50, [0.5, 1.0]), (50, [0.5, 1.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (None, [9.0, 9.0]), (100, []), (6, [0.25]), (7, [-1.0, 2.0, 3.0]), (-50, [-0.001, 0.001])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("vec", "ids", "q", "shard", "score", "part", "kth")})
+    kept = [(0, [128, 256, 0]), (50, [128, 256, 0]), (1, [0, 0, 0]), (100, [0, 0, 0]), (6, [64, 0, 0]), (7, [-256, 512, 768]), (-50, [-1, 0, 0])]
+    assert collected(top_products(whole_numbers(df), F.col("vec_id") % 50 == 0, 3)) == brute(kept, lambda i: i % 50 == 0, 3)
+    assert collected(top_products(whole_numbers(df.limit(0)), F.col("vec_id") % 50 == 0, 3)) == []
+    assert collected(top_products(whole_numbers(df.where("vec_id = 0")), F.col("vec_id") % 50 == 0, 3)) == []
+    assert collected(top_products(whole_numbers(df), F.col("vec_id") == 12345, 3)) == []
+
+
+def test_large_numbers_are_exact_or_refused(spark):
+    big = 2**27 + 1
+    rows = [(i, [big + i, big - i]) for i in range(9)]
+    assert collected(top_products(spark.createDataFrame(rows, "vec_id long, vec array<long>"), F.lit(True), 3)) == brute(rows, lambda i: True, 3)
+    with pytest.raises(Exception, match="64 bits"):
+        huge = [(i, [2**50, 2**50]) for i in range(3)]
+        top_products(spark.createDataFrame(huge, "vec_id long, vec array<long>"), F.lit(True), 3).collect()
+    with pytest.raises(Exception, match="53 bits"):
+        whole_numbers(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    con.execute(registry.ORACLE_SQL["op13_exact_topk"])
+    names = [d[0] for d in con.description]
+    assert names == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(con.fetchall()) == collected(op13_exact_topk(spark, sf))
