@@ -6,11 +6,12 @@ turn.  A prefix whose output does not begin with the output before shows a templ
 rewrites history.  Within a span, a second rendering with a marker for the text shows
 where the text stands, which gives the loss mask.
 
-A template may declare, as its attribute ``context``, how many turns before a turn decide what
-that turn adds.  It is then rendered after so many turns instead of whole prefixes, in
-conversations of any length; what it declares is tested on every turn and on the whole
-output, and whole prefixes are rendered where it fails.  A template that declares nothing is
-always rendered for each prefix, whole.
+The query's template is rendered for each prefix, whole, in conversations of any length.  A template
+may declare, as its attribute ``context``, how many turns before a turn decide what
+that turn adds.  It is then rendered after so many turns instead of whole prefixes;
+what it declares is tested on every turn and on the whole
+output, and whole prefixes are rendered where it fails.  Such a declaration is taken at its word for prefixes
+that are not rendered: a rewriting that the whole output no longer shows is not found.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,17 +44,18 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text)
 
 
+@lru_cache(maxsize=2048)
+def _turn(role: str, text: str) -> str:
+    if role == "user":
+        return f"[INST] {escape(text)} [/INST]"
+    if role == "assistant":
+        return f"[OUT] {escape(text)} </s>"
+    return f"[ROLE] {escape(role)} [NAME] {escape(text)} [/ROLE]"
+
+
 def instruction_template(turns: list[Turn]) -> str:
-    """The default template; a blank stands on either side of each text."""
-    out = ["<s>"]
-    for role, text in turns:
-        if role == "user":
-            out.append(f"[INST] {escape(text)} [/INST]")
-        elif role == "assistant":
-            out.append(f"[OUT] {escape(text)} </s>")
-        else:
-            out.append(f"[ROLE] {escape(role)} [NAME] {escape(text)} [/ROLE]")
-    return "".join(out)
+    """The default template; a blank stands on either side of each text.  Turns that were written lately are not escaped again."""
+    return "<s>" + "".join([_turn(role, text) for role, text in turns])
 
 
 def parse(formatted: str) -> list[Turn]:
@@ -78,9 +81,6 @@ class Located:
         self.formatted, self.spans, self.texts, self.rewritten_at = formatted, spans, texts, rewritten_at
 
 
-instruction_template.context = 0
-
-
 def _added(old: str, new: str) -> str | None:
     return new[len(old) :] if new.startswith(old) else None
 
@@ -142,7 +142,7 @@ def format_conversations(conversations: DataFrame, render: Callable[[list[Turn]]
     conversation that its template rewrites has ``rewritten_at`` set to that turn and spans
     for the turns before only.  Tasks stream over sorted rows and hold one conversation, which is
     one row of output, so memory is that of the longest conversation.  A template that declares
-    no ``context`` costs time that grows with the square of a conversation's length.
+    no ``context`` is rendered for each prefix: time grows with the square of a conversation's length.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

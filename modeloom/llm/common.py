@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,5 +107,30 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | di
     return df.mapInArrow(run, schema)
 
 
+def fitted(t: pa.Table, schema: T.StructType) -> pa.Table:
+    """The table with the Arrow types by which Spark names the schema, whatever the session's time zone: instants stay, only their zone's name changes."""
+    want = to_arrow_schema(schema)
+    return t if t.schema.types == want.types else pa.table([c if c.type == f.type else zoned(c, f.type) for c, f in zip(t.columns, want)], schema.names)
+
+
+def zoned(c: pa.ChunkedArray, kind: pa.DataType) -> pa.ChunkedArray:
+    """A column cast to a type that differs from its own in names of time zones and of inner fields at most."""
+    return pa.chunked_array([_zoned(x, kind) for x in c.chunks], kind)
+
+
+def _zoned(a: pa.Array, kind: pa.DataType) -> pa.Array:
+    if a.type == kind:
+        return a
+    if pa.types.is_map(kind):
+        edges = a.offsets
+        made = pa.MapArray.from_arrays(edges, _zoned(a.keys, kind.key_type), _zoned(a.items, kind.item_type), type=kind)
+        return pc.if_else(a.is_valid(), made, pa.scalar(None, kind)) if a.null_count else made
+    if pa.types.is_list(kind):
+        return pa.ListArray.from_arrays(a.offsets, _zoned(a.values, kind.value_type), type=kind, mask=a.is_null() if a.null_count and not a.offset else None)
+    if pa.types.is_struct(kind):
+        return pa.StructArray.from_arrays([_zoned(a.field(i), f.type) for i, f in enumerate(kind)], fields=list(kind), mask=a.is_null())
+    return a.cast(kind)
+
+
 def as_array(x) -> pa.Array:
     return x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x)

@@ -232,6 +232,33 @@ def test_a_template_that_declares_its_context_is_rendered_by_window():
     assert vars(got) == vars(chat.locate(chat.instruction_template, turns))
 
 
+def test_the_template_of_the_query_is_rendered_for_each_prefix():
+    """Whole prefixes of 0, 1, 2, ... turns, each compared with the one before."""
+    assert getattr(chat.instruction_template, "context", None) is None
+    calls = []
+
+    def render(turns):
+        calls.append(tuple(t for _, t in turns))
+        return chat.instruction_template(turns)
+
+    turns = [("user" if k % 2 else "assistant", f"text {k}") for k in range(120)]
+    got = chat.locate(render, turns, getattr(chat.instruction_template, "context", None))
+    said = tuple(t for _, t in turns)
+    assert {c for c in calls if chat.MARK not in c} == {said[:k] for k in range(121)}
+    assert len(calls) == 1 + 2 * len(turns) and got.rewritten_at is None
+
+
+def test_rewriting_is_found_on_the_path_of_the_query(spark):
+    """A template that rewrites the first turn in one prefix only, in conversations of a table."""
+
+    def once(turns):
+        return "".join(f"<{'*' * len(t) if k == 0 and len(turns) == 71 else t}>" for k, (_, t) in enumerate(turns))
+
+    rows = [(c, k, "user", f"text {k}") for c, n in ((1, 100), (2, 71), (3, 70), (4, 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.rewritten_at for r in chat.format_conversations(df, once).collect()} == {1: 70, 2: 70, 3: None, 4: None}
+
+
 def test_templates_that_look_far_back_or_rewrite():
     numbered = lambda turns: "".join(f"<{k}:{r}>{t}" for k, (r, t) in enumerate(turns))
     turns = [("user", f"t{k}") for k in range(30)]

@@ -370,11 +370,7 @@ def test_op9_equal_hashes_decide_nothing(spark, monkeypatch):
     key, text = zip(*sorted(rows))
     data, ends = text_bytes(pa.array(text))
     known = np.zeros(1, substrings.SHARED)
-    s, begin, route, h = substrings.asked_strings(np.array(key), data, ends, known)
-    first = substrings.folded(s, data, begin, np.append(True, s["size"][1:] != s["size"][:-1]))
-    for k in np.flatnonzero(~first):
-        head = max(i for i in range(k) if first[i] and (i == 0 or s["size"][i] != s["size"][i - 1]))
-        assert bytes(data[begin[k] : begin[k] + s["size"][k]]) == bytes(data[begin[head] : begin[head] + s["size"][head]])
+    s, begin, route = substrings.asked_strings(np.array(key), data, ends, known)
     out, again, start = substrings.build_shard(s, data, begin, np.zeros(len(s), np.int64))
     windows = set(zip(again.tolist(), start.tolist()))
     seen = set()
@@ -385,6 +381,47 @@ def test_op9_equal_hashes_decide_nothing(spark, monkeypatch):
             seen.add(b[i : i + 100])
 
 
+@pytest.mark.parametrize("some", [1, 7, 1 << 16])
+def test_op9_equal_segments_are_intervals_of_sorted_strings(some):
+    """Strings come by bucket, bytes, key and start; an interval begins wherever bucket or bytes change."""
+    rng = random.Random(some)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    data, ends = text_bytes(pa.array(texts))
+    s = np.zeros(len(texts), substrings.SEGMENT)
+    s["key"], s["size"] = rng.sample(range(1000), len(texts)), np.diff(ends)
+    bucket = np.array([rng.randint(0, 3) for _ in texts])
+    order, new = substrings.sorted_strings(bucket, s, data, ends[:-1], some)
+    rows = [(bucket[i], texts[i], s["key"][i]) for i in order]
+    assert rows == sorted((b, t, k) for b, t, k in zip(bucket, texts, s["key"]))
+    assert new.tolist() == [k == 0 or rows[k][:2] != rows[k - 1][:2] for k in range(len(rows))]
+
+
+def test_op9_anchors_do_not_depend_on_the_slice(monkeypatch):
+    """Where the leading bits of hashes tie, the leftmost gram is the anchor, in slices of all lengths."""
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 100, 6000).astype(np.uint8)
+    tied = rng.integers(0, 1 << 21, 1 << 16).astype(np.uint64)
+    monkeypatch.setattr(substrings, "gram_hashes", lambda own: tied[own])
+
+    def anchors(a, b):
+        _, begin, end, f = substrings.all_segments(data[a:b], np.array([0, b - a]))
+        return {x + a: (e + a, h) for x, e, h in zip(begin, end, f)}
+
+    whole = anchors(0, 6000)
+    for a, b in ((0, 200), (0, 1500), (0, 5900)):
+        part = sorted(anchors(a, b).items())[:-1]  # the last segment is cut by the end of the slice
+        assert part and all(whole[x] == v for x, v in part)
+
+
+@pytest.mark.parametrize("run, slice_", [(60_000, 3_000), (200_000, 40_000)])
+def test_op9_many_runs_of_the_table(spark, documents, monkeypatch, run, slice_):
+    monkeypatch.setattr(substrings, "SLICE", slice_)
+    texts = spark.createDataFrame(list(documents.items()), "key long, text string").repartition(4)
+    got = {r.key: r.repeats for r in substrings.repeats_of(texts, run=run, shard=20_000).collect()}
+    for doc, b, mask in brute_repeats(documents.items()):
+        assert substrings.kept_bytes(b, [tuple(r) for r in got.get(doc, [])])[0] == bytes(np.frombuffer(b, np.uint8)[~mask])
+
+
 def test_op9(spark, sf, documents):
     got = {r.doc_id: tuple(r)[1:] for r in substrings.op9_substrings(spark, sf).collect()}
     assert len(got) == len(documents)
@@ -575,3 +612,26 @@ def test_pipeline_odd(spark, odd, nothing):
     again = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, clash.repartition(7), "").collect()
     assert sorted(map(str, again)) == sorted(map(str, left))
     assert all(r["dotted.name"] == "h" and r["__key"] == 7 for r in left)
+
+
+@pytest.mark.parametrize("zone", ["Etc/UTC", "America/New_York"])
+def test_pipeline_keeps_columns_of_all_types(spark, zone):
+    """Every stage but the last gives back columns of any type, also where an id occurs twice."""
+    import corpus_pipeline
+
+    made = {"ts": "timestamp'2020-01-02 03:04:05.678901'", "ntz": "timestamp_ntz'2020-01-02 03:04:05'", "day": "date'2021-01-01'", "map": "map('a', timestamp'2020-01-02 03:04:05', 'b', null)", "arr": "array(timestamp'2020-01-02 03:04:05', null)", "str": "named_struct('x', timestamp'2020-01-02 03:04:05', 'y', map(1, array(2)))", "dec": "cast(1.5 as decimal(20,3))", "bin": "cast('xy' as binary)", "bool": "true", "real": "cast(1.5 as float)", "tiny": "cast(3 as tinyint)", "span": "interval '1' day", "none": "cast(null as map<string,timestamp>)"}
+    made |= {f"some_{k}": f"if(doc_id = 3, null, {made[k]})" for k in ("ts", "map", "arr", "str")}
+    text = " ".join(f"word{i % 50} thing{i % 7}" for i in range(60))
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "b", 6), (2, None, "en", None, None), (None, "no id here at all", "en", "c", 3), (3, "it is " + text, "en", "z", 1), (4, "another text of other words", "en", "q", 9)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+        docs = docs.select("*", *[F.expr(v).alias(k) for k, v in made.items()])
+        want = {str(r) for r in docs.select(*made).collect()}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            got = [str(r) for r in out.select(*made).collect()]
+            assert got and set(got) <= want and out.schema.simpleString() == docs.schema.simpleString(), name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
