@@ -49,7 +49,7 @@ def near_duplicate_classes(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if not ids.limit(1).count():
         return left
     columns = [col(c) for c in docs.columns]
-    one = left.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(name))
+    one = left.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(F.struct(*columns).cast("string"))).alias(name))
     return left.where("doc_id is null").unionByName(one.select(*[col(name).getField(c).alias(c) for c in docs.columns]))
 
 
