@@ -575,3 +575,6 @@ def stream_contract(spark, sf):
     weights = Tensor(kinds.select("t", F.length("t").cast("long").alias("v")), ("t",), extents={})
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").select(F.col("user_id").alias("u"), F.col("event_type").alias("t"), F.lit(1).cast("long").alias("v"))
     return settled(contract_stream(stream, ("u", "t"), weights, ("u",)))
+
+
+import modeloom.queries_joins  # noqa: E402, F401  (registers its queries)
