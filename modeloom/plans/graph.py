@@ -34,6 +34,9 @@ class Node:
     outputs: int = 1
     slot: int | None = None
     finish: Callable | None = None
+    fn: Callable | None = None
+    weights: tuple = ()
+    source: Tensor | None = None
 
     def as_(self, *labels: str) -> Node:
         """The node under other labels, by position."""
@@ -47,7 +50,7 @@ def input_node(tensor: Tensor, hook: Hook | None = None) -> Node:
     """A leaf; the hook is applied to each element that is read."""
     if hook is not None:
         arity(hook, tensor.rank + 1, "hook")
-    return Node("input", tensor.modes, tensor.extents, (), lambda: apply_hook(tensor, hook))
+    return Node("input", tensor.modes, tensor.extents, (), lambda: apply_hook(tensor, hook), fn=hook, source=tensor)
 
 
 def stage(tensor: Tensor | Node) -> Node:
@@ -72,7 +75,7 @@ def contraction(a: Node, b: Node, out: Sequence[str] | None = None, hook: Hook |
     def finish(t: Tensor) -> Tensor:
         return apply_hook(t.cast(value) if value else t, hook)
 
-    return Node("contraction", plan.out, {m: extents[m] for m in plan.out}, (a, b), lambda x, y: finish(contract(x, y, plan.out)), finish=finish)
+    return Node("contraction", plan.out, {m: extents[m] for m in plan.out}, (a, b), lambda x, y: finish(contract(x, y, plan.out)), finish=finish, fn=hook)
 
 
 def combination(operands: Sequence[Node], fn: Callable, out: Sequence[str] | None = None, outputs: int = 1, join: str | None = None, weights: Sequence[Tensor] = (), value: str | None = None) -> Node:
@@ -95,7 +98,7 @@ def combination(operands: Sequence[Node], fn: Callable, out: Sequence[str] | Non
             made = [t.cast(value) for t in made]
         return made if outputs > 1 else made[0].named("v")
 
-    return Node("combine", out, {m: extents[m] for m in out}, operands, run, outputs)
+    return Node("combine", out, {m: extents[m] for m in out}, operands, run, outputs, fn=fn, weights=tuple(weights))
 
 
 def evaluate(node: Node, slots: Sequence[Tensor] = (), seen: dict | None = None):
@@ -292,7 +295,7 @@ class Dag:
                 for t in made:
                     t.frame = frame
                 if release:
-                    frame.foreachPartition(lambda rows: None)
+                    frame.write.format("noop").mode("overwrite").save()
                     most = max(most, len(kept))
                     for s in [s for s in kept if s < first and max(live[s + i][1] for i in range(self._outputs_at(s))) <= k]:
                         kept.pop(s).unpersist()

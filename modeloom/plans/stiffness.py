@@ -1,95 +1,78 @@
-"""Elastic stiffness on spectral elements, in two or three dimensions.
+"""Elastic stiffness on spectral elements, in two or three dimensions, as a graph in levels.
 
-Per element: gradients along each reference direction (contractions with the derivative
-matrix), one pointwise integrand for all components and directions, divergences
-(contractions with its weighted transpose), and a weighted sum.  All of it is local to an
-element, so the table is dealt by element once, and tasks work on many whole elements at a
-time as dense arrays; nothing else is shuffled.
+Per element: gradients of each component along each reference direction (contractions with the derivative
+matrix), one pointwise integrand with an output for each direction and component, divergences
+(contractions with its weighted transpose), and a weighted sum for each component.  All of it is local to an
+element, so the graph runs on whole elements after one shuffle by element.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from modeloom.functions.elastic import integrand, weighted_sum
-from modeloom.tensor import Tensor
+from modeloom.plans.graph import combination, contraction, input_node, stage
+from modeloom.plans.levels import LabelTile, LabelTiles, LabelWhole, LevelGraph
+from modeloom.plans.local import columns_of
+from modeloom.tensor import Tensor, split_index
 
 
-def small_array(t: Tensor) -> np.ndarray:
-    """A tensor whose extents prove it small, as an array on the driver; coordinates without a row are zeros."""
-    if not t.small:
-        raise ValueError(f"the extents {t.extents} do not prove that the tensor is small")
-    out = np.zeros(tuple(t.extents.values()))
-    for row in t.df.collect():
-        out[tuple(row)[:-1]] = row[t.value]
-    return out
+def stiffness_graph(fields: DataFrame, element: str, axes: Sequence[str], derivative: Tensor, transposed: Tensor, weights: Tensor, elements: int | None = None) -> LevelGraph:
+    """The levels: inputs, gradients, integrand, divergences, forces; the forces are its outputs.  ``elements``: their number, which only a run by rows needs."""
+    n, labels, points = len(axes), [element, *axes], weights.size
+    us, metric = [f"u{c}" for c in range(n)], [f"m{d}{x}" for d in range(n) for x in range(n)]
+    inputs = columns_of(fields, labels, [*us, *metric, "modulus", "mu", "jac"], {element: elements, **dict.fromkeys(axes, points)})
+    matrices = [t.as_("__q", "__a") for t in (derivative, transposed)]
+    at = lambda d, name: [name if k == d + 1 else m for k, m in enumerate(labels)]
+    g = LevelGraph(LabelTiles(LabelTile(element, 64), *[LabelWhole(m, points) for m in (*axes, "__q", "__a")]))
+    g, *made = g.add(*[stage(input_node(t)) for t in [*inputs, *matrices]])
+    u, rest, (h, ht) = made[:n], made[n:-2], made[-2:]
+    g, *gradients = g.add(*[contraction(u[c].as_(*at(d, "__a")), h.read(), at(d, "__q")) for c in range(n) for d in range(n)])
 
+    def flux(*values):
+        own = values[len(labels) :]
+        gradient, rest = own[: n * n], own[n * n :]
+        square = lambda v: [list(v[k * n : (k + 1) * n]) for k in range(n)]
+        return integrand(square(gradient), square(rest[: n * n]), *rest[n * n :])
 
-def along(matrix: np.ndarray, x: np.ndarray, axis: int) -> np.ndarray:
-    """Contracts one axis of ``x`` with the second of the matrix; the first takes its place."""
-    return np.moveaxis(np.tensordot(x, matrix, (axis, 1)), -1, axis)
+    g, *fluxes = g.add(combination([*[x.as_(*labels) for x in gradients], *[x.read() for x in rest]], flux, outputs=n * n))
+    g, *divergences = g.add(*[contraction(fluxes[d * n + c].as_(*at(d, "__a")), ht.read(), at(d, "__q")) for c in range(n) for d in range(n)])
 
+    def force(*values):
+        own = values[len(labels) :]
+        return weighted_sum(own[n:], own[:n])
 
-def element_forces(u: np.ndarray, metric: np.ndarray, scalars: np.ndarray, derivative: np.ndarray, transposed: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
-    """Forces by component; arrays have the component (and direction), then the element, then the points along each axis."""
-    n = len(u)
-    gradient = [[along(derivative, u[c], 1 + d) for d in range(n)] for c in range(n)]
-    made = integrand(gradient, [[metric[d * n + x] for x in range(n)] for d in range(n)], *scalars)
-    divergence = [[along(transposed, made[d * n + c], 1 + d) for c in range(n)] for d in range(n)]
-    shaped = [weights.reshape([-1 if k == d else 1 for k in range(n)]) for d in range(n)]
-    return [weighted_sum(shaped, [divergence[d][c] for d in range(n)]) for c in range(n)]
+    shaped = [weights.as_(m) for m in axes]
+    g, *forces = g.add(*[combination([x.as_(*labels) for x in divergences[c * n : (c + 1) * n]], force, weights=shaped) for c in range(n)])
+    return g.outputs(*forces)
 
 
 def stiffness(fields: DataFrame, element: str, axes: Sequence[str], derivative: Tensor, transposed: Tensor, weights: Tensor) -> DataFrame:
     """(element, axes..., f0, f1[, f2]) at all points of each element.
 
     ``fields``: element, axes and columns u<c>, metric m<direction><dimension>, modulus, mu, jac; a
-    point without a row is all zeros.
+    point without a row is all zeros, one outside of the element or given twice is an error.
     ``derivative``: (point, summed point); ``transposed``: its weighted transpose; ``weights``: (point).
     ``axes``: reference directions, the first of the metric first.
     """
-    n, labels = len(axes), [element, *axes]
-    h, ht, w = small_array(derivative), small_array(transposed), small_array(weights)
-    points, box = len(w), len(w) ** n
-    us, metric = [f"u{c}" for c in range(n)], [f"m{d}{x}" for d in range(n) for x in range(n)]
-    values = [*us, *metric, "modulus", "mu", "jac"]
-    schema = T.StructType([*[T.StructField(x, T.LongType()) for x in labels], *[T.StructField(f"f{c}", T.DoubleType()) for c in range(n)]])
-    grid = np.stack(np.unravel_index(np.arange(box), (points,) * n))
-
-    def forces(t: pa.Table) -> pa.RecordBatch:
-        names, place = np.unique(t[element].to_numpy(), return_inverse=True)
-        at = np.zeros(t.num_rows, np.int64)
-        for a in axes:
-            at = at * points + t[a].to_numpy()
-        dense = np.zeros((len(values), len(names), box))
-        for k, v in enumerate(values):
-            dense[k, place, at] = t[v].to_numpy()
-        dense = dense.reshape(len(values), len(names), *(points,) * n)
-        out = element_forces(dense[:n], dense[n : n + n * n], dense[-3:], h, ht, w)
-        columns = [np.repeat(names, box), *[np.tile(g, len(names)) for g in grid], *[f.ravel() for f in out]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema.names)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            ids = held[element].to_numpy()
-            whole = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0  # the last element may go on
-            if whole:
-                yield forces(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield forces(held)
-
-    rows = fields.select(*[F.col(x).cast("long").alias(x) for x in labels], *[F.col(v).cast("double").alias(v) for v in values])
-    return rows.repartition(element).sortWithinPartitions(element).mapInArrow(work, schema)
+    graph = stiffness_graph(fields, element, axes, derivative, transposed, weights)
+    return graph.execute_local([f"f{c}" for c in range(len(axes))])
+
+
+def quadrature(points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gauss-Lobatto points on [-1, 1], their weights, and the derivatives of the Lagrange polynomials through them, (at, polynomial)."""
+    legendre = np.polynomial.legendre.Legendre.basis(points - 1)
+    x = np.concatenate([[-1.0], np.sort(legendre.deriv().roots().real), [1.0]])
+    w = 2 / (points * (points - 1) * legendre(x) ** 2)
+    apart = x[:, None] - x[None, :] + np.eye(points)
+    scale = apart.prod(axis=1)
+    h = scale[:, None] / scale[None, :] / apart
+    np.fill_diagonal(h, (1 / apart).sum(axis=1) - 1)
+    return x, w, h
 
 
 def fixture_columns(axes: Sequence[str], element: str = "e", kind: str | None = None) -> Mapping[str, str]:
@@ -111,9 +94,11 @@ def fixture_columns(axes: Sequence[str], element: str = "e", kind: str | None =
 def stiffness_sql(elements: str, points: int, axes: Sequence[str], element: str = "e", kind: str | None = None) -> str:
     """The same result in plain SQL, for comparison; ``elements``: a relation with the element and the kind."""
     n, lab = len(axes), ", ".join([element, *axes])
+    _, w, derivative = quadrature(points)
+    weight = lambda label: f"([{', '.join(repr(float(x)) for x in w)}]::DOUBLE[])[{label} + 1]"
     cols = ", ".join(f"CAST({x} AS DOUBLE) AS {k}" for k, x in fixture_columns(axes, element, kind).items())
     box = " CROSS JOIN ".join([f"({elements}) AS r0", *[f"range({points}) AS r{k + 1}({a})" for k, a in enumerate(axes)]])
-    parts = [f"f AS (SELECT {lab}, {cols} FROM {box})", f"h AS (SELECT a, b, {derivative_expression('a', 'b')} AS h FROM range({points}) x(a) CROSS JOIN range({points}) y(b))"]
+    parts = [f"f AS (SELECT {lab}, {cols} FROM {box})", "h(a, b, h) AS (VALUES " + ", ".join(f"({a}::BIGINT, {b}::BIGINT, {float(x)!r}::DOUBLE)" for (a, b), x in np.ndenumerate(derivative)) + ")"]
     for d, axis in enumerate(axes):
         out = ", ".join(f"h.a AS {x}" if x == axis else f"f.{x}" for x in [element, *axes])
         keys = ", ".join("h.a" if x == axis else f"f.{x}" for x in [element, *axes])
@@ -131,34 +116,24 @@ def stiffness_sql(elements: str, points: int, axes: Sequence[str], element: str
     for d, axis in enumerate(axes):
         out = ", ".join(f"h.b AS {x}" if x == axis else f"q.{x}" for x in [element, *axes])
         keys = ", ".join("h.b" if x == axis else f"q.{x}" for x in [element, *axes])
-        parts.append(f"t{d} AS (SELECT {out}, " + ", ".join(f"SUM(q.F{d}{c} * h.h * ({weight_expression('h.a')})) AS F{d}{c}" for c in range(n)) + f" FROM q JOIN h ON q.{axis} = h.a GROUP BY {keys})")
+        parts.append(f"t{d} AS (SELECT {out}, " + ", ".join(f"SUM(q.F{d}{c} * h.h * {weight('h.a')}) AS F{d}{c}" for c in range(n)) + f" FROM q JOIN h ON q.{axis} = h.a GROUP BY {keys})")
     using = "t0 " + " ".join(f"JOIN t{d} USING ({lab})" for d in range(1, n))
-    final = ", ".join("ROUND(" + " + ".join(" * ".join([f"({weight_expression(axes[k])})" for k in range(n) if k != d] + [f"F{d}{c}"]) for d in range(n)) + f", 6) AS f{c}" for c in range(n))
+    final = ", ".join("ROUND(" + " + ".join(" * ".join([weight(axes[k]) for k in range(n) if k != d] + [f"F{d}{c}"]) for d in range(n)) + f", 6) AS f{c}" for c in range(n))
     return f"WITH {', '.join(parts)} SELECT {lab}, {final} FROM {using}"
 
 
-def weight_expression(label: str) -> str:
-    """Quadrature weights of the fixture."""
-    return f"0.4 - 0.03 * {label}"
-
-
-def derivative_expression(a: str, b: str) -> str:
-    """Derivative matrix of the fixture."""
-    return f"0.25 * cos(0.9 * {a} - 0.4 * {b}) + CASE WHEN {a} = {b} THEN 0.2 ELSE 0.0 END"
+def constant(spark: SparkSession, array: np.ndarray, *labels: str) -> Tensor:
+    """A small array as a dense tensor."""
+    schema = ", ".join([*[f"{m} long" for m in labels], "v double"])
+    return Tensor(spark.createDataFrame([(*map(int, at), float(x)) for at, x in np.ndenumerate(array)], schema), labels, "v", dict(zip(labels, array.shape)), dense=True)
 
 
 def fixture(elements: DataFrame, points: int, axes: Sequence[str], element: str = "e", kind: str | None = None) -> tuple[DataFrame, Tensor, Tensor, Tensor]:
     """Fields at all points of the elements (rows with the element and the kind), derivative matrix, its weighted transpose, weights."""
-    from modeloom.sources import from_function
-    from modeloom.tensor import split_index
-
     spark = elements.sparkSession
     keep = [element, *([kind] if kind else [])]
     rows = elements.select(*keep, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points ** len(axes) - 1).cast("long"))).alias("__at"))
     rows = rows.select(*keep, *split_index(F.col("__at"), dict.fromkeys(axes, points)))
     fields = rows.select(element, *axes, *[F.expr(f"CAST({x} AS DOUBLE)").alias(k) for k, x in fixture_columns(axes, element, kind).items()])
-    weigh: Column = F.expr(weight_expression("b"))
-    square = {"a": points, "b": points}
-    h = from_function(spark, square, lambda a, b: F.expr(derivative_expression("a", "b")))
-    ht = from_function(spark, square, lambda a, b: F.expr(derivative_expression("b", "a")) * weigh)
-    return fields, h, ht, from_function(spark, {"a": points}, lambda a: F.expr(weight_expression("a")))
+    _, w, h = quadrature(points)
+    return fields, constant(spark, h, "a", "b"), constant(spark, (h * w[:, None]).T, "a", "b"), constant(spark, w, "a")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dense import fill, from_numpy, to_numpy
 from modeloom.plans import Dag, Graph, LabelTile, LabelTiles, LabelWhole, LevelGraph, Timings, combination, contraction, input_node, slot, stage
-from modeloom.plans.stiffness import derivative_expression, fixture, fixture_columns, stiffness, weight_expression
+from modeloom.plans.stiffness import fixture, fixture_columns, quadrature, stiffness, stiffness_graph
 
 a, b, e, f = (0.1 * fill(s, 7, 3, mod=11) for s in ((8, 4), (4, 6), (6, 6), (6, 6)))
 f = f + np.arange(36).reshape(6, 6)
@@ -195,13 +195,9 @@ def test_stiffness_against_numpy(spark, axes):
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     got = got.toPandas()
     grid = dict(zip(["e", *axes], np.indices((elements, *[points] * n))))
-    calc = lambda text: np.array(eval(text.replace("CASE WHEN a = b THEN 0.2 ELSE 0.0 END", "0.2 * (a == b)"), {"cos": np.cos}, scope), float)
-    scope = dict(grid)
+    calc = lambda text: np.array(eval(text, {}, grid), float)
     v = {k: np.broadcast_to(calc(x), grid["e"].shape) for k, x in fixture_columns(axes).items()}
-    scope = dict(zip("ab", np.indices((points, points))))
-    h = calc(derivative_expression("a", "b"))
-    scope = {"q": np.arange(points)}
-    w = calc(weight_expression("q"))
+    _, w, h = quadrature(points)
     move = lambda m, x, d: np.moveaxis(np.tensordot(m, x, (1, d + 1)), 0, d + 1)
     grad = np.array([[move(h, v[f"u{c}"], d) for d in range(n)] for c in range(n)])
     metric = np.array([[v[f"m{d}{x}"] for x in range(n)] for d in range(n)])
@@ -224,6 +220,76 @@ def test_stiffness_against_numpy(spark, axes):
         np.testing.assert_allclose(got[f"f{c}"], want[at], rtol=1e-9)
 
 
+@pytest.mark.parametrize("points", [2, 3, 5, 8])
+def test_quadrature(points):
+    """Weights integrate, and the matrix differentiates, polynomials exactly."""
+    x, w, h = quadrature(points)
+    for k in range(points):
+        np.testing.assert_allclose(h @ x**k, k * x ** max(k - 1, 0), atol=1e-9)
+    for k in range(2 * points - 2):
+        np.testing.assert_allclose(w @ x**k, (1 + (-1) ** k) / (k + 1), atol=1e-9)
+
+
+def test_the_stiffness_graph_gives_the_same_by_rows_and_by_elements(spark):
+    axes = ["x", "z"]
+    fields, *matrices = fixture(spark.range(3).withColumnRenamed("id", "e"), 3, axes)
+    graph = stiffness_graph(fields, "e", axes, *matrices, elements=3)
+    assert [len(x) for x in graph.levels] == [2 + 4 + 3 + 2, 4, 1, 4, 2]
+    local = {tuple(r[:3]): r[3:] for r in map(tuple, graph.execute_local(["f0", "f1"]).collect())}
+    with graph.execute() as run:
+        for c, t in enumerate(run):
+            rows = {tuple(r[m] for m in ("e", *axes)): r[t.value] for r in t.df.collect()}
+            assert rows.keys() == local.keys()
+            for at, v in rows.items():
+                np.testing.assert_allclose(v, local[at][c], rtol=1e-9, atol=1e-12)
+
+
+def test_stiffness_refuses_wrong_coordinates(spark):
+    axes = ["x", "z"]
+    fields, *matrices = fixture(spark.range(3).withColumnRenamed("id", "e"), 4, axes)
+    moved = fields.withColumn("z", F.when((F.col("e") == 1) & (F.col("x") == 0), F.col("z") + 1).otherwise(F.col("z")))
+    with pytest.raises(Exception, match="outside of 4 points"):
+        stiffness(moved, "e", axes, *matrices).collect()
+    with pytest.raises(Exception, match="occurs twice"):
+        stiffness(fields.unionByName(fields.where("e = 2 and x = 1 and z = 1")), "e", axes, *matrices).collect()
+    some = stiffness(fields.where("not (e = 1 and x = 2)"), "e", axes, *matrices)
+    assert some.count() == 3 * 16 and stiffness(fields.limit(0), "e", axes, *matrices).count() == 0
+
+
+def test_local_graphs(spark):
+    """Hooks, coordinates, shared results, label orders and captured weights, on arrays as on rows."""
+    from modeloom.plans.local import columns_of
+    from modeloom.tensor import Tensor
+
+    rng = np.random.default_rng(1)
+    x, y, m, w = rng.normal(size=(7, 3, 4)), rng.normal(size=(7, 3, 4)), rng.normal(size=(5, 4)), rng.normal(size=3)
+    rows = [(int(e) * 10 - 20, int(i), int(k), float(x[e, i, k]), float(y[e, i, k])) for e, i, k in np.ndindex(7, 3, 4)]
+    df = spark.createDataFrame(rows, "e long, i long, k long, x double, y double").repartition(3)
+    tx, ty = columns_of(df, ["e", "i", "k"], ["x", "y"], {"i": 3, "k": 4})
+    g = LevelGraph(LabelTiles(LabelTile("e", 2), LabelWhole("i", 3), LabelWhole("k", 4), LabelWhole("j", 5)))
+    g, a, b, c = g.add(stage(input_node(tx, lambda e, i, k, v: v + e * i - k)), stage(ty), stage(from_numpy(spark, m, "jk")))
+    g, p, q = g.add(contraction(a.read(), c.read(), ("e", "j", "i"), lambda e, j, i, v: v * (j + 1) + e), contraction(c.read(), b.read(), ("e", "j", "i")))
+    g, r, s = g.add(combination([p.read(), q.read()], lambda e, j, i, u, v, t: [u * t + v, u - i * v], outputs=2, weights=[from_numpy(spark, w, "i")]))
+    g, out = g.add(combination([r.as_("e", "j", "i"), s.read(), p.read()], lambda e, i, j, u, v, t: u * v - t + j, out=("e", "i", "j")))
+    got = {tuple(v[:3]): v[3] for v in map(tuple, g.outputs(out).execute_local(["v"]).collect())}
+    e, i, k = np.arange(7) * 10 - 20, np.arange(3), np.arange(4)
+    pa_ = np.einsum("eik,jk->eji", x + e[:, None, None] * i[:, None] - k, m) * (np.arange(5) + 1)[:, None] + e[:, None, None]
+    qa = np.einsum("eik,jk->eji", y, m)
+    want = ((pa_ * w + qa) * (pa_ - i * qa) - pa_ + np.arange(5)[:, None]).swapaxes(1, 2)
+    assert len(got) == want.size
+    for at in np.ndindex(want.shape):
+        np.testing.assert_allclose(got[at[0] * 10 - 20, at[1], at[2]], want[at], rtol=1e-9)
+    with pytest.raises(ValueError, match="one table"):
+        other = Tensor(df.select("e", "i", "k", F.col("y").alias("v")), ("e", "i", "k"), "v", {"i": 3, "k": 4})
+        h, a, b = LevelGraph(g.tiles).add(stage(tx), stage(other))
+        h, out = h.add(combination([a.read(), b.read()], lambda e, i, k, u, v: u + v))
+        h.outputs(out).execute_local(["v"])
+    with pytest.raises(ValueError, match="sums the label"):
+        h, a, b = LevelGraph(g.tiles).add(stage(tx), stage(ty))
+        h, out = h.add(contraction(a.read(), b.as_("e", "j", "k"), ("i", "j")))
+        h.outputs(out).execute_local(["v"])
+
+
 def test_stream(spark, tmp_path):
     from modeloom.streaming import contract_stream
     from modeloom.tensor import Tensor
