@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from modeloom.llm.common import map_batches, table, texts_of
-from modeloom.llm.pieces import PieceCache, code_points, piece_starts, ragged, spelled, text_slices
+from modeloom.llm.pieces import CACHE_BYTES, PieceCache, code_points, piece_starts, ragged, spelled, text_slices
 from modeloom.llm.tokens import vocabulary
 
 TEXT_LEAF = 512
+#: Bytes after which a worker forgets the joins it has made.
+JOINED_BYTES = 32 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -171,10 +173,11 @@ class TreeBPE:
 class TreeEncoder(PieceCache):
     """Encodes texts by the tree of their halves; equal pieces, and equal joins inside pieces, are made once per worker."""
 
-    def __init__(self, bpe: TreeBPE, most: int = 600_000):
+    def __init__(self, bpe: TreeBPE, most: int = CACHE_BYTES):
         super().__init__(lambda pieces: [bpe.encode_piece(p.encode("utf-8", "surrogatepass")) for p in pieces], most)
         self.bpe = bpe
         self.joined: dict[tuple[str, ...], list[int]] = {}
+        self.joined_chars = 0
 
     def join_parts(self, parts: list[str], heights: list[int]) -> list[int]:
         """The encoding of a piece from its parts between seams, joined in the order of the seams' heights in the tree."""
@@ -187,9 +190,11 @@ class TreeEncoder(PieceCache):
                 values[k : k + 2] = [self.bpe.join(values[k], values[k + 1])]
                 del heights[k]
             found = self.bpe.as_piece("".join(parts).encode("utf-8", "surrogatepass"), values[0])
-            if len(self.joined) > 50_000:
+            if 20 * self.joined_chars + 300 * len(self.joined) > JOINED_BYTES:
                 self.joined.clear()
+                self.joined_chars = 0
             self.joined[key] = found
+            self.joined_chars += sum(map(len, parts))
         return found
 
     def encode_part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

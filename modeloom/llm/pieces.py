@@ -25,6 +25,8 @@ LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _K1, _K2, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0xD6E8FEB86659FD93
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes after which a worker forgets the pieces it has encoded, and characters of texts that are split at a time.
+CACHE_BYTES, PART_CHARS = 64 << 20, 500_000
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -157,10 +159,11 @@ def blank_joined(starts: np.ndarray, blank: np.ndarray, at: np.ndarray) -> np.nd
 class PieceCache:
     """Encoded pieces of this worker: a pool of ids, a pool of code points, and the place of each piece in both.
 
+    All is forgotten once it takes more than ``most`` bytes, so a cache never has more than that and what one part of texts adds.
     ``whole``: a pattern; texts in which it is found are encoded each as a whole.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 2_000_000, whole: re.Pattern | None = None, encode_whole: Callable[[str], list[int]] | None = None):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = CACHE_BYTES, whole: re.Pattern | None = None, encode_whole: Callable[[str], list[int]] | None = None):
         self.encode, self.most, self.whole, self.encode_whole = encode, most, whole, encode_whole
         self.clear()
 
@@ -171,6 +174,10 @@ class PieceCache:
         self.pools, self.used = {"ids": np.zeros(1 << 16, np.uint32), "text": np.zeros(1 << 16, np.uint32)}, {"ids": 0, "text": 0}
         self.others: dict[str, int] = {}  # pieces whose hash another piece has
 
+    def size(self) -> int:
+        """Bytes of pools and places."""
+        return 48 * len(self.where) + sum(p.nbytes for p in self.pools.values()) + 8 * sum(map(len, self.others))
+
     def put(self, name: str, values: np.ndarray) -> None:
         used = self.used[name]
         while used + len(values) > len(self.pools[name]):
@@ -195,7 +202,7 @@ class PieceCache:
         ends = np.append(starts[1:], len(cp))
         size = ends - starts
         code, unique = pd.factorize(tile_hashes(cp, starts, ends))
-        if len(self.keys) + len(self.others) + len(unique) > self.most:
+        if self.size() > self.most:
             self.clear()
         place = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
@@ -260,7 +267,7 @@ def spelled(cp: np.ndarray) -> str:
     return cp.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def text_parts(texts: list[str], whole: re.Pattern | None = None, chars: int = 2_000_000) -> Iterator[tuple[int, list[str] | None]]:
+def text_parts(texts: list[str], whole: re.Pattern | None = None, chars: int = PART_CHARS) -> Iterator[tuple[int, list[str] | None]]:
     """(number of the first text, texts) in runs of about so many characters, in order.
 
     A longer text comes in parts that are pieces in a row, each as a run of its own (as long as
@@ -290,7 +297,7 @@ def text_parts(texts: list[str], whole: re.Pattern | None = None, chars: int = 2
         yield begin, texts[begin:]
 
 
-def text_slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def text_slices(texts: list[str], chars: int = PART_CHARS) -> Iterator[tuple[int, int]]:
     """Runs of texts of about so many characters, so that arrays stay small; a text is never cut."""
     begin = size = 0
     for i, t in enumerate(texts):

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import os
+import random
 import zlib
 
 import numpy as np
@@ -335,3 +336,22 @@ def test_fill_does_not_depend_on_partitions(spark, sf, documents, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     few, many = (check_pack(packing.pack(docs.repartition(n), BYTE).collect(), documents, library) for n in (1, 200))
     assert few == many
+
+
+def test_caches_are_bounded_by_bytes(other):
+    """Long pieces without blanks, all different: a cache has no more than its bound and what one part of texts adds."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(4000)) for _ in range(300)]
+    cache = PieceCache(lambda pieces: [[len(p), ord(p[0])] for p in pieces], most=1 << 20)
+    most = 0
+    for k in range(0, 300, 10):
+        ids, at = cache.encode_texts(texts[k : k + 10])
+        assert ids.tolist() == [x for t in texts[k : k + 10] for x in (len(t), ord(t[0]))]
+        most = max(most, cache.size())
+    assert most <= (1 << 20) + 2 * (4 * 40_000 + (1 << 18)) + (1 << 20) < 4 * sum(map(len, texts))
+    encoder = bpe.TreeEncoder(bpe.TreeBPE.from_file(MULTI), most=1 << 18)
+    whole = other
+    for t in texts[:12]:
+        ids, _ = encoder.encode_texts([t, t[:900]])
+        assert ids.tolist() == whole(t) + whole(t[:900])
+        assert encoder.size() <= (1 << 18) + (1 << 20) and 20 * encoder.joined_chars <= bpe.JOINED_BYTES + 20 * 4000
