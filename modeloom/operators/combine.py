@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modeloom.labels import merge_extents
-from modeloom.operators.contract import outputs, sized
+from modeloom.operators.contract import in_range, outputs
 from modeloom.operators.hooks import arity
 from modeloom.tensor import Tensor, coordinates
 
@@ -51,16 +51,19 @@ def _joined(out: Sequence[str], operands: Sequence[Tensor], join: str | None, we
     for k, w in enumerate(weights):
         if not set(w.modes) <= set(out):
             raise ValueError(f"captured tensor has labels {w.modes}, the output {tuple(out)}")
-        df = df.join(sized(w.columns(f"__w{k}"), w.small), list(w.modes))
+        captured = w.columns(f"__w{k}")
+        df = df.join(F.broadcast(in_range(captured, w)) if w.small else captured, list(w.modes))
         names.append(f"__w{k}")
     return df, names, {m: extents[m] for m in out}, dense
 
 
 def _met(out: Sequence[str], parts: Sequence[DataFrame], everywhere: bool) -> DataFrame:
-    """Many tables with unique coordinates side by side, by one aggregate over all of them instead of a join for each."""
+    """Many tables with unique coordinates side by side, by one aggregate over all of them instead of a join for each; a repeated coordinate is an error."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("__has", F.lit(1 << k).cast("long")) for k, p in enumerate(parts)])
     values = [c for p in parts for c in p.columns if c not in out]
-    met = rows.groupBy(*out).agg(*[F.max(c).alias(c) for c in values], F.bit_or("__has").alias("__has"))
+    met = rows.groupBy(*out).agg(*[F.max(c).alias(c) for c in values], F.bit_or("__has").alias("__has"), F.count("*").alias("__rows"))
+    once = F.when(F.col("__rows") == F.bit_count("__has"), F.lit(True)).otherwise(F.raise_error(F.lit("a coordinate occurs twice in an operand of a combine")).cast("boolean"))
+    met = met.where(once).drop("__rows")
     return (met.where(F.col("__has") == (1 << len(parts)) - 1) if everywhere else met).drop("__has")
 
 
@@ -71,6 +74,7 @@ def combine_multi(out: Sequence[str], operands: Sequence[Tensor], fn: Callable[.
     wherever any operand has a row; ``dense``: a zero at every coordinate of the box (default
     unless all operands are dense, since ``fn`` of zeros may be other than zero).
     ``weights``: captured tensors over some of the labels; their values follow the operands'.
+    Coordinates of an operand are unique: from three operands on a repeated one is an error, with two it gives a row for each.
     """
     out = tuple(out)
     df, names, extents, dense = _joined(out, operands, join, weights)

@@ -1,12 +1,15 @@
-"""Registered queries of joins beyond the plain contraction: cycles, frequent labels, intervals, latest before."""
+"""Registered queries beyond the plain contraction: cycles, frequent labels, intervals, bands, marginals, masks, diagonals, states."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.operators import as_of, contract_skewed, contract_within, einsum, einsum_shares
-from modeloom.queries import BR, S, brands, query, supplier_nations, table
+from modeloom.operators import LOG_SUM_EXP, VARIANCE, apply_hook, as_of, contract_masked, contract_skewed, contract_within, diagonal, einsum, einsum_shares, moving, reduce_with, stencil, trace
+from modeloom.plans import kept, marginals
+from modeloom.queries import BR, S, brands, quantity, query, sizes, supplier_nations, table
 from modeloom.sources import from_table
 from modeloom.tensor import Tensor
 
@@ -110,3 +113,90 @@ def as_of_latest(spark, sf):
     left = events.where("event_type <> 'click'").select("event_id", "user_id", "ts")
     right = events.where("event_type = 'click'").select("user_id", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
     return as_of(left, right, "ts", ["user_id"], ["cents"]).select("event_id", "user_id", F.coalesce("cents", F.lit(-1).cast("long")).alias("cents"))
+
+
+# -- along an ordered label
+
+
+DAYS = "(SELECT CAST(l_shipdate AS DATE) - DATE '1990-01-01' AS d, l_returnflag AS f, CAST(SUM(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY ALL)"
+
+
+def shipped_by_day(spark, sf) -> Tensor:
+    day = F.date_diff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long")
+    return from_table(table(spark, sf, "lineitem"), {"d": day, "f": "l_returnflag"}, "l_quantity", kind="bigint")
+
+
+@query("SELECT d, f, CAST(" + " + ".join(f"{w} * COALESCE(SUM(v) OVER (PARTITION BY f ORDER BY d RANGE BETWEEN {abs(o)} {k} AND {abs(o)} {k}), 0)" for o, w, k in ((-2, 1, "PRECEDING"), (-1, -4, "PRECEDING"), (0, 6, "FOLLOWING"), (1, -4, "FOLLOWING"), (2, 1, "FOLLOWING"))) + f" AS BIGINT) AS v FROM {DAYS}")
+def sliding_stencil(spark, sf):
+    """Fourth differences of quantities by day, for each return flag."""
+    return stencil(shipped_by_day(spark, sf), "d", {-2: 1, -1: -4, 0: 6, 1: -4, 2: 1}, block=256).to_df()
+
+
+@query(f"SELECT d, f, CAST(SUM(v) OVER (PARTITION BY f ORDER BY d RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS v FROM {DAYS}")
+def sliding_sum(spark, sf):
+    """Quantities of the last thirty days at each day with any, for each return flag."""
+    return moving(shipped_by_day(spark, sf), "d", -29, 0, block=256).to_df()
+
+
+# -- marginals, masks, diagonals, states
+
+
+@query(
+    """SELECT CAST(GROUPING(rf, ls, m, k) AS INTEGER) AS g, COALESCE(rf, '*') AS rf, COALESCE(ls, '*') AS ls, COALESCE(CAST(m AS VARCHAR), '*') AS m, COALESCE(CAST(k AS VARCHAR), '*') AS k, CAST(SUM(l_quantity) AS BIGINT) AS v
+    FROM (SELECT l_returnflag AS rf, l_linestatus AS ls, month(l_shipdate) AS m, p_size % 7 AS k, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY CUBE (rf, ls, m, k)"""
+)
+def marginals_cube(spark, sf):
+    """All sixteen marginals of a join by four labels."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    labels = {"rf": "l_returnflag", "ls": "l_linestatus", "m": F.month("l_shipdate"), "k": F.col("p_size") % 7}
+    t = from_table(rows, labels, "l_quantity", kind="bigint")
+
+    def union(run):
+        parts = []
+        for x in run:
+            lacks = sum((m not in x.modes) << (3 - k) for k, m in enumerate(labels))
+            parts.append(x.df.select(F.lit(lacks).alias("g"), *[F.col(m).cast("string").alias(m) if m in x.modes else F.lit("*").alias(m) for m in labels], "v"))
+        return reduce(DataFrame.unionByName, parts)
+
+    return kept(marginals(t), union)
+
+
+@query(
+    """WITH q AS (SELECT l_suppkey AS s, l_partkey AS p, CAST(SUM(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY ALL), z AS (SELECT p_partkey AS p, p_size AS z, COUNT(*) AS v FROM part GROUP BY ALL),
+    m AS (SELECT DISTINCT l_suppkey AS s, p_size AS z FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 97 = 0)
+    SELECT s, z, CAST(SUM(q.v * z.v) AS BIGINT) AS v FROM q JOIN z USING (p) JOIN m USING (s, z) GROUP BY ALL"""
+)
+def contract_on_mask(spark, sf):
+    """Suppliers by part size, at the coordinates of one order in 97."""
+    lines = table(spark, sf, "lineitem").where("l_orderkey % 97 = 0").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    mask = from_table(lines, {"s": "l_suppkey", "z": "p_size"}, agg="one")
+    return contract_masked(quantity(spark, sf), sizes(spark, sf), mask).to_df()
+
+
+@query("SELECT n, b, CAST(SUM(v) AS BIGINT) AS v FROM (SELECT s_nationkey AS n, c_nationkey AS n2, p_brand AS b, COUNT(*) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL) WHERE n = n2 GROUP BY ALL")
+def diagonal_nations(spark, sf):
+    """Lines whose customer and supplier are of one nation, by nation and brand: the diagonal of a tensor with the nation twice."""
+    rows = ordered(spark, sf).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return diagonal(from_table(rows, {"n": "s_nationkey", "n2": "c_nationkey", "b": "p_brand"}), "n", "n", "b").to_df()
+
+
+@query("SELECT CAST(COUNT(*) AS BIGINT) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = c_nationkey")
+def trace_nations(spark, sf):
+    """How many lines stay within a nation: a trace."""
+    rows = ordered(spark, sf).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return trace(from_table(rows, {"n": "s_nationkey", "n2": "c_nationkey"}), "n", "n").to_df()
+
+
+@query("SELECT l_returnflag AS rf, l_linenumber AS k, ROUND(VAR_POP(l_extendedprice) / 1e6, 4) AS v FROM lineitem GROUP BY ALL")
+def reduce_variance(spark, sf):
+    """Variance of prices (in millions) from counts, means and squared deviations that are merged."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("rf"), F.col("l_linenumber").alias("k"), F.col("l_extendedprice").alias("v"))
+    return apply_hook(reduce_with(Tensor(rows, ("rf", "k")), ("rf", "k"), VARIANCE), lambda rf, k, v: F.round(v / 1e6, 4)).to_df()
+
+
+@query("SELECT l_suppkey AS s, ROUND(LN(SUM(EXP(l_quantity / 10))), 6) AS v FROM lineitem GROUP BY ALL")
+def reduce_log_sum_exp(spark, sf):
+    """log(sum(exp(quantity / 10))) by supplier."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), (F.col("l_quantity") / 10).alias("v"))
+    return apply_hook(reduce_with(Tensor(rows, ("s",)), ("s",), LOG_SUM_EXP), lambda s, v: F.round(v, 6)).to_df()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modeloom.labels import plan_contraction
-from modeloom.operators.contract import sized
+from modeloom.operators.contract import in_range
 from modeloom.sources import scratch
 from modeloom.tensor import Tensor
 
@@ -42,6 +42,7 @@ def contract_stream(stream: DataFrame, modes: Sequence[str], static: Tensor, out
     """
     plan = plan_contraction(modes, static.modes, out)
     rows = stream.withWatermark(event_time, lateness) if event_time else stream
-    joined = rows.withColumnRenamed(value, "__x").join(sized(static.columns("__y"), static.small), list(plan.contracted))
+    known = static.columns("__y")
+    joined = rows.withColumnRenamed(value, "__x").join(F.broadcast(in_range(known, static)) if static.small else known, list(plan.contracted))
     keys = [F.window(event_time, window).alias("window")] if event_time and window else []
     return joined.groupBy(*keys, *plan.out).agg(F.sum(F.col("__x") * F.col("__y")).alias("v"))

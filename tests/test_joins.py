@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modeloom.operators import as_of, contract, contract_skewed, contract_within, einsum, einsum_shares
+from modeloom.operators import LOG_SUM_EXP, VARIANCE, as_of, combine, contract, contract_masked, contract_skewed, contract_within, diagonal, einsum, einsum_shares, moving, reduce_with, stencil, trace
 from modeloom.operators.ranges import cover
 from modeloom.operators.shares import LocalJoin, choose_shares, loads, replicated
 from modeloom.operators.skew import Summary, grid
+from modeloom.operators.sliding import dealt_along
+from modeloom.plans import marginals
 from modeloom.tensor import Tensor
 
 
@@ -237,3 +239,177 @@ def test_latest_before_without_keys(spark):
     for tasks in (1, 6):
         got = {r.id: r.w for r in as_of(a, b, "t", [], ["w"], tasks).collect()}
         assert got == {k: None if k < 5 else 50 if k < 6 else 60 if k < 30 else 300 for k in range(40)}
+
+
+# -- along an ordered label
+
+
+def series(spark, seed=3, n=900, kind=None):
+    rng = random.Random(seed)
+    d = {(rng.randrange(3), rng.randrange(-300, 700)): rng.randint(-5, 9) for _ in range(n)}
+    df = spark.createDataFrame([(g, x, v) for (g, x), v in d.items()], "g long, x long, v long")
+    if kind == "dates":
+        df = df.withColumn("x", F.expr("date_from_unix_date(cast(x as int))"))
+    return d, Tensor(df, ("g", "x"))
+
+
+def place(x, kind):
+    import datetime
+
+    return (x - datetime.date(1970, 1, 1)).days if kind == "dates" else x
+
+
+@pytest.mark.parametrize("block", [1, 2, 64, 4096])
+@pytest.mark.parametrize("kind", [None, "dates"])
+def test_stencils_and_moving_sums(spark, block, kind):
+    d, t = series(spark, kind=kind)
+    weights = {-2: 1, -1: -4, 0: 6, 1: -4, 2: 1}
+    got = {(r.g, place(r.x, kind)): r.v for r in stencil(t, "x", weights, block).df.collect()}
+    assert got == {(g, x): sum(w * d.get((g, x + o), 0) for o, w in weights.items()) for g, x in d}
+    for low, high, add, fn in ((-6, 0, F.sum, sum), (0, 9, F.max, max), (-5, -5, F.sum, sum), (3, 150, F.sum, sum)):
+        got = {(r.g, place(r.x, kind)): r.v for r in moving(t, "x", low, high, add, block).df.collect()}
+        near = {(g, x): [d[g, y] for y in range(x + low, x + high + 1) if (g, y) in d] for g, x in d}
+        assert got == {k: fn(v) if v else None for k, v in near.items()}
+
+
+def test_only_the_rims_of_blocks_are_sent_again(spark):
+    """A row goes to a second block only within the band's width of a border; blocks are bounded."""
+    t = Tensor(spark.range(0, 10_000).select(F.lit(1).alias("g"), F.col("id").alias("x"), F.lit(1).cast("long").alias("v")), ("g", "x"))
+    rows = dealt_along(t, "x", -2, 2, 512)
+    again = rows.where(~F.col("__own"))
+    borders = 10_000 // 512
+    assert rows.where("__own").count() == 10_000 and again.count() <= 4 * borders + 4
+    assert max(r["count"] for r in rows.groupBy("__block").count().collect()) == 512 + 4
+    plan = plan_of(stencil(t, "x", {-2: 1, 2: 1}, 512).df)
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    with pytest.raises(ValueError):
+        stencil(t, "x", {0: 1}, 100)
+    with pytest.raises(ValueError):
+        stencil(t, "y", {0: 1})
+    assert stencil(Tensor(t.df.limit(0), t.modes), "x", {0: 1}).df.collect() == []
+
+
+# -- marginals
+
+
+def test_marginals(spark):
+    rng = random.Random(1)
+    d = Counter()
+    for _ in range(4000):
+        d[rng.randrange(2), rng.choice([None, *range(300)]), rng.randrange(5), rng.randrange(40)] += rng.randint(1, 9)
+    t = Tensor(spark.createDataFrame([(*k, v) for k, v in d.items()], "a long, b long, c long, d long, v long"), tuple("abcd"))
+    with marginals(t) as run:
+        assert len(run) == 16 and [x.modes for x in run[:2]] == [tuple("abcd"), tuple("abc")]
+        for x in run:
+            want = Counter()
+            for k, v in d.items():
+                want[tuple(k["abcd".index(m)] for m in x.modes)] += v
+            assert {tuple(r)[:-1]: r.v for r in x.df.collect()} == dict(want)
+        # a set without the widest label is never made from one with it, if a smaller one is there
+        above = {"".join(sorted(s)): "".join(sorted(p)) for s, p in run.above.items()}
+        assert above["ac"] == "acd" and above["cd"] == "acd" and above["a"] == "ac" and above[""] in ("a", "c")
+        assert len(run.kept) < 9
+    with marginals(t, [("d", "a"), ()], "max") as run:
+        assert [x.modes for x in run] == [("d", "a"), ()] and run[1].df.collect()[0].v == max(d.values())
+    assert run.kept == []
+    with marginals(Tensor(t.df.limit(0), t.modes), [("a",), ()]) as run:
+        assert run[0].df.collect() == [] and run[1].df.collect()[0].v is None
+    with pytest.raises(ValueError):
+        marginals(t, [("a", "a")])
+
+
+# -- masks and diagonals
+
+
+def test_only_masked_elements_are_summed(spark):
+    x, tx = relation(spark, 1, 3000, (80, 60), "ik")
+    y, ty = relation(spark, 2, 3000, (60, 90), "kj")
+    mask = sorted({(random.Random(k).randrange(80), random.Random(k + 999).randrange(95)) for k in range(70)})
+    tm = Tensor(spark.createDataFrame([(i, j, 0) for i, j in mask] * 2, "i long, j long, v long"), ("i", "j"))
+    want = {(i, j): sum(x[i, k] * y[k, j] for k in range(60) if (i, k) in x and (k, j) in y) for i, j in mask}
+    products = sum((i, k) in x and (k, j) in y for i, j in mask for k in range(60))
+    made = contract_masked(tx, ty, tm)
+    assert {(r.i, r.j): r.v for r in made.df.collect()} == {k: v for k, v in want.items() if v}
+    every = contract(tx, ty, ("i", "j")).df.count()
+    assert made.joined.count() == products < 0.03 * sum((i, k) in x and (k, j) in y for i in range(80) for k in range(60) for j in range(90)) and every > 50 * len(mask)
+    turned = contract_masked(tx, ty, tm.permute("j", "i"))
+    assert turned.modes == ("j", "i") and {(r.i, r.j): r.v for r in turned.df.collect()} == {k: v for k, v in want.items() if v}
+    assert contract_masked(tx, ty, Tensor(tm.df.limit(0), tm.modes)).df.collect() == []
+    with pytest.raises(ValueError):
+        contract_masked(tx, ty, tm.as_("i", "q"))
+
+
+def test_diagonals(spark, tmp_path):
+    rng = random.Random(2)
+    d = {(rng.randrange(9), rng.randrange(9), rng.randrange(4)): rng.randint(1, 9) for _ in range(200)}
+    spark.createDataFrame([(*k, v) for k, v in d.items()], "a long, b long, c long, v long").write.parquet(str(tmp_path / "t"))
+    t = Tensor(spark.read.parquet(str(tmp_path / "t")), tuple("abc"), "v", {"a": 9, "b": 12, "c": 4})
+    made = diagonal(t, "i", "i", "k")
+    assert {(r.i, r.k): r.v for r in made.df.collect()} == {(a, c): v for (a, b, c), v in d.items() if a == b} and made.extents == {"i": 9, "k": 4}
+    scan = next(line for line in made.df._jdf.queryExecution().executedPlan().toString().splitlines() if "Scan parquet" in line)
+    assert "(a#" in scan.split("DataFilters:")[1] and "= b#" in scan.split("DataFilters:")[1]
+    assert {tuple(r) for r in diagonal(t, "i", "i", "i").df.collect()} == {(a, v) for (a, b, c), v in d.items() if a == b == c}
+    assert {tuple(r) for r in diagonal(t, "x", "y", "z").df.collect()} == {(*k, v) for k, v in d.items()}
+    assert trace(t, "i", "i", "k").df.collect()[0].v == sum(v for (a, b, _), v in d.items() if a == b)
+    assert {r.k: r.v for r in trace(t, "i", "i", "k", out=["k"]).df.collect()} == Counter({c: sum(v for (a, b, q), v in d.items() if a == b and q == c) for c in range(4)})
+    assert trace(Tensor(t.df.limit(0), t.modes), "i", "i", "k").df.collect()[0].v == 0
+    for bad in (("i", "i"), ("v", "v", "k")):
+        with pytest.raises(ValueError):
+            diagonal(t, *bad)
+
+
+# -- states
+
+
+def test_reductions_with_states(spark):
+    rng = np.random.default_rng(4)
+    values = 1e9 + rng.normal(size=5000)
+    keys = rng.integers(0, 40, 5000)
+    rows = [(f"k{k}" if k else None, int(k) % 3, float(v)) for k, v in zip(keys, values)] + [("none", 0, None)]
+    t = Tensor(spark.createDataFrame(rows, "a string, b long, v double").repartition(5), ("a", "b"))
+    got = {r.a: r.v for r in reduce_with(t, ["a"], VARIANCE).df.collect()}
+    assert set(got) == {f"k{k}" if k else None for k in set(keys)}
+    for k in set(keys.tolist()):
+        np.testing.assert_allclose(got[f"k{k}" if k else None], values[keys == k].var(), rtol=1e-6)
+    whole = reduce_with(t, [], VARIANCE).df.collect()
+    np.testing.assert_allclose(whole[0].v, values.var(), rtol=1e-6)
+    far = Tensor(spark.createDataFrame([(k % 2, float(x)) for k, x in enumerate([1000, -1000, 1001, -1001, 999, -5000])], "a long, v double"), ("a",))
+    got = {r.a: r.v for r in reduce_with(far, ["a"], LOG_SUM_EXP).df.collect()}
+    np.testing.assert_allclose([got[0], got[1]], [1001 + np.log(1 + np.exp(-1) + np.exp(-2)), -1000 + np.log(1 + np.exp(-1))])
+    plan = plan_of(reduce_with(t, ["a"], VARIANCE).df)
+    assert plan.count("MapInArrow") == 2 and plan.count("Exchange") <= 2
+    assert plan.index("MapInArrow") < plan.index("Exchange") < plan.rindex("MapInArrow")
+    assert reduce_with(Tensor(t.df.limit(0), t.modes), ["a"], VARIANCE).df.collect() == []
+    with pytest.raises(ValueError):
+        reduce_with(t, ["q"], VARIANCE)
+
+
+def test_variance_is_stable_over_a_million_rows(spark):
+    """Values of 1e9 with deviations of a few units: sums of squares would lose them all."""
+    rows = spark.range(1_000_000).select((F.col("id") % 4).alias("a"), (F.lit(1e9) + (F.col("id") * 7919 % 101) / 10).alias("v"))
+    t = Tensor(rows, ("a",))
+    i = np.arange(1_000_000)
+    for r in reduce_with(t, ["a"], VARIANCE).df.collect():
+        np.testing.assert_allclose(r.v, ((i[i % 4 == r.a] * 7919 % 101) / 10).var(), rtol=1e-6)
+
+
+def test_states_are_sent_on_before_they_fill_a_task(spark, monkeypatch):
+    from modeloom.operators import reductions
+
+    monkeypatch.setattr(reductions, "HELD", 50)
+    t = Tensor(spark.range(3000).select((F.col("id") % 700).alias("a"), F.col("id").cast("double").alias("v")), ("a",))
+    got = {r.a: r.v for r in reduce_with(t, ["a"], VARIANCE).df.collect()}
+    assert len(got) == 700
+    for a in (0, 5, 699):
+        np.testing.assert_allclose(got[a], np.arange(a, 3000, 700).var())
+
+
+def test_combine_refuses_repeated_coordinates_and_weights_out_of_range(spark):
+    a, b, c = (Tensor(spark.createDataFrame([(0, k)], "i long, v long"), ("i",)) for k in (1, 2, 3))
+    twice = Tensor(spark.createDataFrame([(0, 1), (0, 5)], "i long, v long"), ("i",))
+    assert [tuple(r) for r in combine(("i",), [a, b, c], lambda i, x, y, z: x + 10 * y + 100 * z, "outer").df.collect()] == [(0, 321)]
+    with pytest.raises(Exception, match="occurs twice"):
+        combine(("i",), [a, twice, c], lambda i, x, y, z: x + y + z, "outer").df.collect()
+    wide = Tensor(spark.range(5).selectExpr("id as i", "id as v"), ("i",), extents={"i": 3})
+    with pytest.raises(Exception, match="outside of the extents"):
+        combine(("i",), [a], lambda i, v, w: v * w, "outer", weights=[wide]).df.collect()
