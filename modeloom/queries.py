@@ -405,6 +405,15 @@ def dag_two_roots(spark, sf):
     return kept(g.outputs(sb, nb).execute(), lambda run: part(run[0], "sb").unionByName(part(run[1].permute("n", "b"), "nb")))
 
 
+@query(f"SELECT r, b, CAST(SUM(x.v * y.v) AS BIGINT) AS v FROM ({CHAIN}) x JOIN {RG} y USING (n) GROUP BY ALL")
+def dag_released(spark, sf):
+    """A chain of three contractions whose results are made in order and let go after their last reader."""
+    g, sb = Dag().add(contraction(input_node(quantity(spark, sf)), input_node(brands(spark, sf)), ("s", "b")))
+    g, nb = g.add(contraction(sb.read(), input_node(supplier_nations(spark, sf)), ("n", "b")))
+    g, rb = g.add(contraction(nb.read(), input_node(regions(spark, sf)), ("r", "b")))
+    return kept(g.outputs(rb).execute(release=True), lambda run: run[0].to_df())
+
+
 H3 = "(SELECT q, a, 3 * q - 2 * a + q * a AS v FROM range(7) x(q) CROSS JOIN range(7) y(a))"
 CUBE = "(SELECT CAST(month(l_shipdate) - 1 AS BIGINT) AS e, CAST(l_linenumber - 1 AS BIGINT) AS b, CAST(CAST(l_quantity AS BIGINT) % 7 AS BIGINT) AS c, COUNT(*) AS v FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY ALL)"
 DENSE_CUBE = f"(SELECT e, b, c, COALESCE(v, 0) AS v FROM (SELECT e, b, c FROM range(12) x(e) CROSS JOIN range(7) y(b) CROSS JOIN range(7) z(c)) LEFT JOIN {CUBE} USING (e, b, c))"

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.operators import LOG_SUM_EXP, VARIANCE, apply_hook, as_of, contract_masked, contract_skewed, contract_within, diagonal, einsum, einsum_shares, moving, reduce_with, stencil, trace
+from modeloom.operators import LOG_SUM_EXP, VARIANCE, apply_hook, as_of, contract_best, contract_masked, contract_skewed, contract_within, diagonal, einsum, einsum_shares, moving, reduce_with, stencil, trace
 from modeloom.plans import kept, marginals
 from modeloom.queries import BR, S, brands, quantity, query, sizes, supplier_nations, table
 from modeloom.sources import from_table
@@ -200,3 +200,28 @@ def reduce_log_sum_exp(spark, sf):
     """log(sum(exp(quantity / 10))) by supplier."""
     rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), (F.col("l_quantity") / 10).alias("v"))
     return apply_hook(reduce_with(Tensor(rows, ("s",)), ("s",), LOG_SUM_EXP), lambda s, v: F.round(v, 6)).to_df()
+
+
+# -- the best of each key
+
+
+@query(
+    """WITH q AS (SELECT l_suppkey AS s, l_partkey AS p, CAST(SUM(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY ALL)
+    SELECT s, p, v FROM (SELECT s, p, v * CAST(ROUND(p_retailprice * 100) AS BIGINT) AS v, ROW_NUMBER() OVER (PARTITION BY s ORDER BY v * CAST(ROUND(p_retailprice * 100) AS BIGINT) DESC, p) AS n FROM q JOIN part ON p = p_partkey) WHERE n <= 10"""
+)
+def best_parts(spark, sf):
+    """The ten parts of each supplier with the greatest quantity times price."""
+    price = from_table(table(spark, sf, "part"), {"p": "p_partkey"}, F.round(F.col("p_retailprice") * 100).cast("long"), "max")
+    return contract_best(quantity(spark, sf), price, ["s"], 10).to_df()
+
+
+@query(
+    """SELECT n, p, b, v FROM (SELECT n, p, b, x.v * y.v AS v, ROW_NUMBER() OVER (PARTITION BY n ORDER BY x.v * y.v DESC, n, p, b) AS k
+    FROM (SELECT s_nationkey AS n, l_partkey AS p, CAST(SUM(l_quantity) AS BIGINT) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) x
+    JOIN (SELECT l_partkey AS p, l_returnflag AS b, COUNT(*) AS v FROM lineitem GROUP BY ALL) y USING (p)) WHERE k <= 5"""
+)
+def best_pairs(spark, sf):
+    """For each nation the five pairs of part and return flag with the greatest product of quantity there and count anywhere."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    a = from_table(lines, {"n": "s_nationkey", "p": "l_partkey"}, "l_quantity", kind="bigint")
+    return contract_best(a, from_table(table(spark, sf, "lineitem"), {"p": "l_partkey", "b": "l_returnflag"}), ["n"], 5).to_df()

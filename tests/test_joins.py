@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modeloom.operators import LOG_SUM_EXP, VARIANCE, as_of, combine, contract, contract_masked, contract_skewed, contract_within, diagonal, einsum, einsum_shares, moving, reduce_with, stencil, trace
+from modeloom.operators import LOG_SUM_EXP, VARIANCE, as_of, combine, contract, contract_best, contract_masked, contract_skewed, contract_within, diagonal, einsum, einsum_shares, moving, reduce_with, stencil, trace
 from modeloom.operators.ranges import cover
 from modeloom.operators.shares import LocalJoin, choose_shares, loads, replicated
 from modeloom.operators.skew import Summary, grid
@@ -413,3 +413,61 @@ def test_combine_refuses_repeated_coordinates_and_weights_out_of_range(spark):
     wide = Tensor(spark.range(5).selectExpr("id as i", "id as v"), ("i",), extents={"i": 3})
     with pytest.raises(Exception, match="outside of the extents"):
         combine(("i",), [a], lambda i, v, w: v * w, "outer", weights=[wide]).df.collect()
+
+
+# -- the best of each key, and stored blocks
+
+
+@pytest.mark.parametrize("held", [40, 200_000])
+def test_best_products(spark, monkeypatch, held):
+    from modeloom.operators import best
+
+    monkeypatch.setattr(best, "HELD", held)
+    rng = random.Random(7)
+    x = {(rng.choice([None, *range(30)]), rng.randrange(200)): rng.randint(-9, 9) for _ in range(3000)}
+    y = {(rng.randrange(220), rng.choice("abc")): rng.randint(-5, 20) for _ in range(400)}
+    tx = Tensor(spark.createDataFrame([(*k, v) for k, v in x.items()] + [(1, 500, None)], "s long, p long, v long"), ("s", "p"))
+    ty = Tensor(spark.createDataFrame([(*k, v) for k, v in y.items()], "p long, c string, w long"), ("p", "c"), "w")
+    made = contract_best(tx, ty, ["s"], 4)
+    every = [(s, p, c, v * y[p, c]) for (s, p), v in x.items() for c in "abc" if (p, c) in y]
+    want = []
+    for key in {r[0] for r in every}:
+        want += sorted([r for r in every if r[0] == key], key=lambda r: (-r[3], r[1], r[2]))[:4]
+    assert sorted(map(tuple, made.df.collect()), key=str) == sorted(want, key=str)
+    plan = plan_of(made.df)
+    assert "Window" not in plan and "TakeOrdered" not in plan
+    assert made.joined.count() < 0.5 * len(every)
+    assert sorted(map(tuple, contract_best(tx, ty, [], 3).df.collect()), key=str) == sorted(sorted(every, key=lambda r: (-r[3], r[0] is not None, r[0] or 0, r[1], r[2]))[:3], key=str)
+    assert contract_best(Tensor(tx.df.limit(0), tx.modes), ty, ["s"], 4).df.collect() == []
+    with pytest.raises(ValueError):
+        contract_best(tx, ty, ["c"], 4)
+    with pytest.raises(ValueError):
+        contract_best(tx, ty, ["s"], 0)
+
+
+def test_stored_tensors_meet_without_a_shuffle(spark):
+    from modeloom.sources.blocks import contract_stored, store_blocks, stored
+
+    x, tx = relation(spark, 1, 3000, (80, 60), "ik")
+    y, ty = relation(spark, 2, 3000, (60, 90), "kj")
+    for name in ("left_blocks", "right_blocks"):
+        spark.sql(f"drop table if exists {name}")
+    try:
+        store_blocks(tx, "left_blocks", ["k"], 4, {"i": 16})
+        store_blocks(ty, "right_blocks", ["k"], 4)
+        a, b = stored(spark, "left_blocks", "ik"), stored(spark, "right_blocks", "kj")
+        made = contract_stored(a, b, ("i", "j"))
+        plan = plan_of(made.df)
+        assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan  # the one of the sums
+        assert {tuple(r) for r in made.df.collect()} == {tuple(r) for r in contract(tx, ty, ("i", "j")).df.collect()}
+        some = stored(spark, "left_blocks", "ik", {"i": [2]})
+        assert {tuple(r) for r in some.df.collect()} == {(i, k, v) for (i, k), v in x.items() if i // 16 == 2}
+        files = some.df.inputFiles()
+        assert files and all("i_block=2" in f for f in files) and len(files) < len(a.df.inputFiles())
+        with pytest.raises(ValueError):
+            stored(spark, "right_blocks", "kj", {"k": [0]})
+        with pytest.raises(ValueError):
+            store_blocks(tx, "other_blocks", ["q"], 4)
+    finally:
+        for name in ("left_blocks", "right_blocks"):
+            spark.sql(f"drop table if exists {name}")
