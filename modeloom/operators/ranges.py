@@ -33,7 +33,8 @@ def ticks(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp"))
+        # without a detour through the session's time zone, whose days may have 23 hours
+        return ((c - F.expr("timestamp_ntz'1970-01-01 00:00:00'")).cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("long")
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("long")
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):

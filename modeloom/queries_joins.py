@@ -11,6 +11,7 @@ from modeloom.operators import LOG_SUM_EXP, VARIANCE, apply_hook, as_of, contrac
 from modeloom.plans import kept, marginals
 from modeloom.queries import BR, S, brands, quantity, query, sizes, supplier_nations, table
 from modeloom.sources import from_table
+from modeloom.streaming.pairs import added_up, contract_streams
 from modeloom.tensor import Tensor
 
 
@@ -225,3 +226,16 @@ def best_pairs(spark, sf):
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     a = from_table(lines, {"n": "s_nationkey", "p": "l_partkey"}, "l_quantity", kind="bigint")
     return contract_best(a, from_table(table(spark, sf, "lineitem"), {"p": "l_partkey", "b": "l_returnflag"}), ["n"], 5).to_df()
+
+
+# -- two streams
+
+
+@query("SELECT x.event_id % 3 AS i, y.event_id % 4 AS j, CAST(SUM(CAST(ROUND(x.value * 100) AS BIGINT)) AS BIGINT) AS v FROM events x JOIN events y ON x.user_id = y.user_id AND y.ts BETWEEN x.ts - INTERVAL 3 HOURS AND x.ts + INTERVAL 3 HOURS WHERE x.event_type = 'click' AND y.event_type = 'purchase' GROUP BY ALL")
+def stream_pairs(spark, sf):
+    """Clicks and purchases as two streams: pairs of one user at most three hours apart, added up once all is read."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    clicks = events.where("event_type = 'click'").select(F.col("user_id").alias("u"), (F.col("event_id") % 3).alias("i"), "ts", F.round(F.col("value") * 100).cast("long").alias("v"))
+    bought = events.where("event_type = 'purchase'").select(F.col("user_id").alias("u"), (F.col("event_id") % 4).alias("j"), "ts", F.lit(1).cast("long").alias("v"))
+    return added_up(contract_streams(clicks, ["u", "i"], bought, ["u", "j"], "ts", "3 hours", "40 days"), out=["i", "j"])[0]

@@ -191,12 +191,12 @@ def test_covers_are_disjoint_and_whole(spark):
         assert sorted(points) == list(range(b, e)) and len(cells) <= 14 * 4
 
 
-@pytest.mark.parametrize("kind", ["whole", "times", "dates"])
+@pytest.mark.parametrize("kind", ["whole", "times", "local times", "dates"])
 def test_points_in_intervals(spark, kind):
     rng = random.Random(2)
     points = {(rng.randrange(5), rng.randrange(-1000, 9000)): rng.randint(1, 9) for _ in range(500)}
     spans = [(rng.randrange(5), i % 7, lo := rng.randrange(-2000, 9000), lo + rng.choice([0, 1, 5, 70, 3000, 20000, -5]), rng.randint(1, 4)) for i in range(400)]
-    as_time = {"whole": "{}", "times": "timestamp_seconds({})", "dates": "date_from_unix_date(cast({} as int))"}[kind]
+    as_time = {"whole": "{}", "times": "timestamp_seconds({})", "local times": "cast(timestamp_seconds({}) as timestamp_ntz)", "dates": "date_from_unix_date(cast({} as int))"}[kind]
     p = spark.createDataFrame([(u, t, v) for (u, t), v in points.items()], "u long, t long, v long").withColumn("t", F.expr(as_time.format("t")))
     i = spark.createDataFrame(spans, "u long, g long, b long, e long, w long")
     i = i.unionByName(spark.createDataFrame([(1, 1, None, 5, 1), (1, 1, 5, None, 1)], i.schema)).withColumns({c: F.expr(as_time.format(c)) for c in "be"})
@@ -234,6 +234,20 @@ def test_latest_before(spark, tasks):
     assert as_of(a.limit(0), b, "t", ["k"], ["w"], tasks).count() == 0
 
 
+def test_local_times_have_no_zone(spark):
+    """Hours of a day on which clocks change are as long as others."""
+    from modeloom.operators.ranges import ticks
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("select timestamp_ntz'2024-03-10 01:30:00' a, timestamp_ntz'2024-03-10 03:30:00.000001' b, timestamp_ntz'1969-12-31 23:59:59' c")
+        a, b, c = df.select(*[ticks(F.col(x), df.schema[x].dataType) for x in "abc"]).first()
+        assert b - a == 7_200_000_001 and c == -1_000_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_latest_before_without_keys(spark):
     a, b = spark.createDataFrame([(k, k) for k in range(40)], "t long, id long"), spark.createDataFrame([(t, 10 * t) for t in (5, 6, 30)], "t long, w long")
     for tasks in (1, 6):
