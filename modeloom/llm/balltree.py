@@ -354,6 +354,7 @@ def top_products(rows: DataFrame, queries: Column, k: int) -> DataFrame:
         last, best = best, written(every.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1).drop("rn"), "best")
         discard(pairs, *[last] if last is not None else [])
         low, high = high, 4 * high + 1
+    discard(rows, classes, shards, balls)
     if best is None:
         return spark.createDataFrame([], out)
     sorted_ = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("z"))

@@ -59,15 +59,16 @@ def label(group: Column) -> Column:
 # -- ranks
 
 
-def radix_starts(rows: DataFrame, group: Sequence[str], digits: Sequence[str]) -> DataFrame:
+def radix_starts(rows: DataFrame, group: Sequence[str], digits: Sequence[str], spent: list[DataFrame]) -> DataFrame:
     """``rows`` with how many rows of their group stand before them (``start``) and how many it has (``total``).
 
     ``rows`` has each (group, digits) once, with its number of rows ``n``.  Windows go over the cells below
-    one cell only.  Digits are not null.
+    one cell only.  Digits are not null.  ``spent`` gets the written tables that the result reads.
     """
     levels = [rows.select(*group, *digits, "n")]
     for d in range(len(digits) - 1, 0, -1):
         levels.append(written(levels[-1].groupBy(*group, *digits[:d]).agg(F.sum("n").alias("n")), "histogram"))
+        spent.append(levels[-1])
     out: DataFrame | None = None
     for d, t in enumerate(reversed(levels), 1):
         cell = [*group, *digits[: d - 1]]
@@ -91,23 +92,24 @@ def id_digits(low: int | None, high: int | None, name: str = "id") -> dict[str,
     return {f"d{i}": digit(count - 1 - i) for i in range(count)}
 
 
-def placed(leaves: DataFrame) -> DataFrame:
+def placed(leaves: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """(g, pos, n, id, leaf, other): each leaf with its rank in its group of n, by id (null first) and digest.
 
-    ``leaves``: g, id, leaf, other; repeated rows take places one after the other.
+    ``leaves``: g, id, leaf, other; repeated rows take places one after the other.  ``spent`` gets the written tables that the result reads.
     """
-    kinds = written(leaves.groupBy("g", "id", "leaf").agg(F.min("other").alias("other"), F.count("*").alias("n")), "leaves")
-    low, high, most = kinds.agg(F.min("id"), F.max("id"), F.max("n")).first()
+    found = written(leaves.groupBy("g", "id", "leaf").agg(F.min("other").alias("other"), F.count("*").alias("n")), "leaves")
+    low, high, most = found.agg(F.min("id"), F.max("id"), F.max("n")).first()
     digits = id_digits(low, high)
-    kinds = kinds.withColumns(digits)
+    kinds = found.withColumns(digits)
     ids = written(kinds.groupBy("g", *digits).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")), "ids")
-    found = radix_starts(ids, ["g"], list(digits)).select("g", *digits, "start", "total")
-    out = kinds.join(found, ["g", *digits])
+    spent += [found, ids]
+    ranks = radix_starts(ids, ["g"], list(digits), spent).select("g", *digits, "start", "total")
+    out = kinds.join(ranks, ["g", *digits])
     tied = ids.where("kinds > 1")
     if tied.limit(1).count():
         same = kinds.join(tied.select("g", *digits), ["g", *digits], "left_semi")
         further = {f"l{i}": F.substring("leaf", 1 + 3 * i, 3) for i in range(3)}
-        within = radix_starts(same.withColumns(further), ["g", *digits], [*further, "leaf"])
+        within = radix_starts(same.withColumns(further), ["g", *digits], [*further, "leaf"], spent)
         within = within.select("g", *digits, "leaf", F.col("start").alias("within"))
         out = out.join(within, ["g", *digits, "leaf"], "left").withColumn("start", F.col("start") + F.coalesce("within", F.lit(0)))
     out = out.select("g", F.col("start").alias("pos"), F.col("total").alias("n"), "id", "leaf", "other", F.col("n").alias("copies"))
@@ -118,13 +120,13 @@ def placed(leaves: DataFrame) -> DataFrame:
     return out.drop("copies")
 
 
-def name_ranks(names: DataFrame) -> DataFrame:
+def name_ranks(names: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """(id, digest, pos, n): the place of each different string ``id`` in order of its bytes, by up to eight digits of its hexadecimal form."""
     longest = names.agg(F.max(F.octet_length("id"))).first()[0] or 1
     wide = 2 * max(2, -(-longest // 8))
     digits = {f"d{i}": F.substring(F.hex(F.col("id").cast("binary")), 1 + wide * i, wide) for i in range(-(-2 * longest // wide))}
     rows = names.withColumns(digits).withColumn("n", F.lit(1).cast("long"))
-    found = radix_starts(rows, [], list(digits)).select(*digits, F.col("start").alias("pos"), "total")
+    found = radix_starts(rows, [], list(digits), spent).select(*digits, F.col("start").alias("pos"), "total")
     return rows.drop("n").join(found, list(digits)).select("id", "digest", "pos", F.col("total").alias("n"))
 
 
@@ -232,13 +234,15 @@ def manifest(leaves: DataFrame, fanout: int = 2) -> DataFrame:
     """
     if fanout < 2:
         raise ValueError("the fanout must be 2 at least")
-    rows = written(placed(leaves), "placed")
+    spent: list[DataFrame] = []
+    rows = written(placed(leaves, spent), "placed")
     largest = rows.agg(F.max("n")).first()[0]
     result = "id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     if not largest:
         return leaves.sparkSession.createDataFrame([], result)
     trees = climbed(rows.withColumnRenamed("leaf", "digest"), fanout, largest)
-    tops = written(name_ranks(trees[-1].select(F.col("g").alias("id"), "digest")).withColumn("g", F.lit("")), "subroots")
+    tops = written(name_ranks(trees[-1].select(F.col("g").alias("id"), "digest"), spent).withColumn("g", F.lit("")), "subroots")
+    discard(*spent)
     crowns = climbed(tops, fanout, tops.count())
     above = crowns[-1].select("g", "pos", F.lit("").alias("above"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
     for nodes in crowns[-2:0:-1]:
