@@ -62,9 +62,10 @@ def _met(out: Sequence[str], parts: Sequence[DataFrame], everywhere: bool) -> Da
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("__has", F.lit(1 << k).cast("long")) for k, p in enumerate(parts)])
     values = [c for p in parts for c in p.columns if c not in out]
     met = rows.groupBy(*out).agg(*[F.max(c).alias(c) for c in values], F.bit_or("__has").alias("__has"), F.count("*").alias("__rows"))
-    once = F.when(F.col("__rows") == F.bit_count("__has"), F.lit(True)).otherwise(F.raise_error(F.lit("a coordinate occurs twice in an operand of a combine")).cast("boolean"))
-    met = met.where(once).drop("__rows")
-    return (met.where(F.col("__has") == (1 << len(parts)) - 1) if everywhere else met).drop("__has")
+    # one expression, as the optimiser would put what the one condition says of __has into the other
+    wanted = F.col("__has") == (1 << len(parts)) - 1 if everywhere else F.lit(True)
+    fine = F.when(F.col("__rows") == F.bit_count("__has"), wanted).otherwise(F.raise_error(F.lit("a coordinate occurs twice in an operand of a combine")).cast("boolean"))
+    return met.where(fine).drop("__has", "__rows")
 
 
 def combine_multi(out: Sequence[str], operands: Sequence[Tensor], fn: Callable[..., Sequence[Column]], join: str | None = None, weights: Sequence[Tensor] = ()) -> list[Tensor]:
