@@ -114,20 +114,27 @@ def hooked(a: np.ndarray, modes: Sequence[str], hook: Callable | None, first: np
 def localised(dag: Dag, by: str) -> tuple[Local, list[Tensor]]:
     """The graph for tasks, and the inputs that have the label ``by``; raises where a node is not local to it."""
     inputs: list[Tensor] = []
+    arrays: dict[int, np.ndarray] = {}
+
+    def once(t: Tensor) -> np.ndarray:
+        """A small tensor that several nodes read is collected once."""
+        if id(t) not in arrays:
+            arrays[id(t)] = small_array(t)
+        return arrays[id(t)]
 
     def lower(node: Node) -> tuple:
         operands = tuple(lower(x) for x in node.operands)
         if node.kind == "input":
             t = node.source
             if by not in t.modes:
-                return "small", t.modes, (), small_array(t), node.fn
+                return "small", t.modes, (), once(t), node.fn
             inputs.append(t)
             return "field", t.modes, (), t.value, node.fn
         if node.kind == "slot":
             return "slot", node.modes, (), node.slot, None
         if node.kind == "contraction" and all(by in x.modes for x in node.operands):
             raise ValueError(f"a contraction sums the label {by!r}")
-        weights = tuple((small_array(w), w.modes) for w in node.weights)
+        weights = tuple((once(w), w.modes) for w in node.weights)
         return node.kind, node.modes, operands, weights, node.fn
 
     nodes = [lower(n) for n in dag.nodes]
