@@ -1,9 +1,11 @@
 """Contractions along an ordered label: points against intervals, and against the latest point before.
 
-Intervals.  A label's range is cut into cells of sizes 1, B, B^2 and so on, and every interval is the
-union of few disjoint cells, large ones inside and small ones at its rims.  A point lies in one cell of
-each size, so point and interval meet in one cell exactly if the one lies in the other: a
-join of intervals is an equi-join without a residual condition, whatever the intervals' lengths.
+Intervals.  A label's range is cut into grains, about as long as the mean interval, and every interval into its parts
+in the grains that it touches; points and parts meet by grain and are compared there.  A grain with more than ``FULL`` points is cut
+into cells of sizes 1, B, B^2 and so on instead, and so is the inside of intervals of many grains: of these, an interval is the
+union of few disjoint ones, large ones inside and small ones at its rims.  A point lies in one cell of each size, so point and cell
+meet by an equi-join without a residual condition, and both sides are added up by cell and labels before.  So a part
+meets ``FULL`` points at most, and nothing else is made for each pair.
 
 Latest before.  Both sides are one table, range-partitioned by key and time (so a key with very many rows is
 in many partitions); each partition carries the latest row forward, and what a partition
@@ -13,6 +15,7 @@ begins with comes from the ends of those before it, one row of each.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from modeloom.tensor import Tensor
 
 #: Cells of a size that make one of the next; sizes at most.
 BASE_BITS, MOST_LEVELS = 3, 21
+#: Points of a grain with which a part of an interval is compared; full grains whose list is broadcast.
+FULL, LISTED = 64, 1 << 16
 
 
 def ticks(c: Column, kind: T.DataType) -> Column:
@@ -44,18 +49,19 @@ def ticks(c: Column, kind: T.DataType) -> Column:
 
 def cover(lo: Column, hi: Column, levels: int) -> Column:
     """The cells (level, cell) whose disjoint union is [lo, hi), for non-negative numbers below 8 ** ``levels``; 14 of a level at most."""
-    parts, base = [], 1 << BASE_BITS
-    for k in range(levels):
+    base, shift = 1 << BASE_BITS, lambda x, n: F.call_function("shiftright", x, n)
+
+    def of_level(k: Column) -> Column:
         # cells of this size that lie inside, less those that make up cells of the next
-        first = F.shiftright(lo + ((1 << BASE_BITS * k) - 1), BASE_BITS * k)
-        end = F.shiftright(hi, BASE_BITS * k)
+        bits = k * BASE_BITS
+        first, end = shift(lo + (F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1), bits), shift(hi, bits)
         inner, outer = F.shiftright(first + (base - 1), BASE_BITS) * base, F.shiftright(end, BASE_BITS) * base
-        last = k == levels - 1
-        left_end = end if last else F.least(inner, end)
-        right_begin = end if last else F.greatest(outer, left_end)
-        run = lambda a, b, k=k: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda c: F.struct(F.lit(k).alias("level"), c.alias("cell")))).otherwise(F.array().cast("array<struct<level: int, cell: bigint>>"))
-        parts += [run(first, left_end), run(right_begin, end)]
-    return F.concat(*parts)
+        left_end = F.when(k == levels - 1, end).otherwise(F.least(inner, end))
+        right_begin = F.when(k == levels - 1, end).otherwise(F.greatest(outer, left_end))
+        run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(F.concat(run(first, left_end), run(right_begin, end)), lambda c: F.struct(k.alias("level"), c.alias("cell")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), of_level))
 
 
 def contract_within(points: Tensor, at: str, intervals: DataFrame, begin: str, end: str, value: str, by: Sequence[str] = (), out: Sequence[str] | None = None, semiring: str = "sum_product") -> Tensor:
@@ -76,24 +82,62 @@ def contract_within(points: Tensor, at: str, intervals: DataFrame, begin: str, e
     if lost := [m for m in out if m not in every]:
         raise ValueError(f"output labels {lost} are in no operand")
     time = lambda df, c: ticks(F.col(c), df.schema[c].dataType)
-    span = intervals.select(time(intervals, begin).alias("b"), time(intervals, end).alias("e")).where("b < e").agg(F.min("b"), F.max("e")).first()
-    low, high = span
+    span = intervals.select(time(intervals, begin).alias("b"), time(intervals, end).alias("e")).where("b < e").agg(F.min("b"), F.max("e"), F.avg(F.col("e").cast("double") - F.col("b")), F.max(F.col("e") - F.col("b"))).first()
+    low, high, mean, longest = span
     if low is None:
-        low = high = 0
+        low = high = mean = longest = 0
     if high - low >= 2**62:
         raise ValueError("the intervals span more than 62 bits")
-    levels = max(1, -(-(high - low).bit_length() // BASE_BITS))
-    rows = intervals.select(*labels, F.col(value).alias("__y"), (time(intervals, begin) - low).alias("__b"), (time(intervals, end) - low).alias("__e"))
-    rows = rows.where("__b < __e").withColumn("__c", F.explode(cover(F.col("__b"), F.col("__e"), levels))).select(*labels, "__y", "__c.level", "__c.cell")
-    own = points.columns("__x").withColumn("__t", time(points.df, at)).where(F.col("__t").between(low, high - 1)).withColumn("__t", F.col("__t") - low)
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("__t", BASE_BITS * k).alias("cell")) for k in range(levels)]))
-    own = own.withColumn("__c", cells).select(*points.modes, "__x", "__c.level", "__c.cell")
+    grain = -(-max(0, int(mean) - 1).bit_length() // BASE_BITS)
+    levels = max(0, longest.bit_length() - 1) // BASE_BITS - grain  # above the grain
     add, times = SEMIRINGS[semiring]
-    met = own.join(rows, [*by, "level", "cell"])
-    total = add(times(F.col("__x"), F.col("__y"))).alias("v")
-    df = met.groupBy(*out).agg(total) if out else met.agg(F.coalesce(total, F.lit(0)).alias("v"))
+    lift = (lambda c: (c != 0).cast("long")) if semiring == "or_and" else lambda c: c
+    theirs = [*by, *[m for m in labels if m in out and m not in by]]
+    ours = [*by, *[m for m in free if m in out], *([at] if at in out else [])]
+    rows = intervals.select(*theirs, lift(F.col(value)).alias("__y"), (time(intervals, begin) - low).alias("__b"), (time(intervals, end) - low).alias("__e")).where("__b < __e")
+    own = points.columns("__x").withColumn("__t", time(points.df, at)).where(F.col("__t").between(low, high - 1))
+    own = own.select(*ours, lift(F.col("__x")).alias("__x"), (F.col("__t") - low).alias("__t"))
+    in_grain = lambda c: F.shiftright(c, BASE_BITS * grain)
+    wide = F.lit(1 << BASE_BITS * grain)
+
+    def cells_of(df: DataFrame, cells: Column, names: Sequence[str], v: str) -> DataFrame:
+        """Sums by cell and labels."""
+        return df.withColumn("__c", F.explode(cells)).select(*names, v, F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell")).groupBy(*names, "__level", "__cell").agg(add(v).alias(v))
+
+    def on_levels(begin: int, end: int) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("__t", BASE_BITS * k).alias("cell")) for k in range(begin, end)])
+
+    # parts: of all grains of an interval, or of those that do not make up larger cells
+    first, end = in_grain(F.col("__b")), in_grain(F.col("__e") - 1) + 1
+    grains = F.sequence(first, end - 1)
+    pairs = []
+    if levels > 0:
+        base, whole = 1 << BASE_BITS, in_grain(F.col("__e"))
+        inner = F.shiftright(in_grain(F.col("__b") + (wide - 1)) + (base - 1), BASE_BITS)
+        outer = F.shiftright(whole, BASE_BITS)
+        grains = F.when(inner < outer, F.concat(F.when(first < inner * base, F.sequence(first, inner * base - 1)).otherwise(F.array().cast("array<bigint>")), F.when(outer * base < end, F.sequence(outer * base, end - 1)).otherwise(F.array().cast("array<bigint>")))).otherwise(grains)
+        above = F.transform(cover(inner, outer, levels), lambda x: F.struct((x["level"] + (grain + 1)).alias("level"), x["cell"].alias("cell")))
+        pairs.append((cells_of(own, on_levels(grain + 1, grain + levels + 1), ours, "__x"), cells_of(rows.where(inner < outer), above, theirs, "__y"), ["__level", "__cell"], F.lit(True)))
+    parts = rows.withColumn("__cell", F.explode(grains))
+    parts = parts.withColumn("__b", F.greatest(F.col("__b"), F.col("__cell") * wide)).withColumn("__e", F.least(F.col("__e"), (F.col("__cell") + 1) * wide))
+    dots = own.withColumn("__cell", in_grain(F.col("__t")))
+    within = (F.col("__t") >= F.col("__b")) & (F.col("__t") < F.col("__e"))
+    full = dots.groupBy(*by, "__cell").count().where(F.col("count") > FULL).select(*by, "__cell", F.lit(True).alias("__full"))
+    n = full.count()
+    if n:
+        listed = F.broadcast(full) if n <= LISTED else full
+        dots, parts = (x.join(listed, [*by, "__cell"], "left") for x in (dots, parts))
+        fuller = F.col("__full").isNotNull()
+        pairs.append((cells_of(dots.where(fuller), on_levels(0, grain + 1), ours, "__x"), cells_of(parts.where(fuller), cover(F.col("__b"), F.col("__e"), grain + 1), theirs, "__y"), ["__level", "__cell"], F.lit(True)))
+        dots, parts = (x.where(~fuller).drop("__full") for x in (dots, parts))
+    pairs.append((dots, parts, ["__cell"], within))
+    met = [a.join(b, [*by, *on]).where(within).select(*out, times(F.col("__x"), F.col("__y")).alias("v")) for a, b, on, within in pairs]
+    union, total = reduce(DataFrame.unionByName, met), add("v").alias("v")
+    df = union.groupBy(*out).agg(total) if out else union.agg(F.coalesce(total, F.lit(0)).alias("v"))
     extents = merge_extents(points.extents, dict.fromkeys(labels))
-    return Tensor(df, out, "v", {m: extents[m] for m in out})
+    made = Tensor(df, out, "v", {m: extents[m] for m in out})
+    made.met = union
+    return made
 
 
 def as_of(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], columns: Sequence[str], tasks: int | None = None) -> DataFrame:

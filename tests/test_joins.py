@@ -214,6 +214,42 @@ def test_points_in_intervals(spark, kind):
         contract_within(Tensor(p, ("u", "t")), "t", i, "b", "e", "w", ["q"])
 
 
+def test_nothing_is_made_for_each_pair_of_point_and_interval(spark):
+    """Times and intervals of one key, all close together: rows of the joins grow with the rows, not with the pairs that meet."""
+    n = 1000
+    points = Tensor(spark.range(n).selectExpr("1L u", "id * 10 t", "id % 3 p", "1L v"), ("u", "t", "p"))
+    spans = spark.range(n).selectExpr("1L u", "id % 2 g", "id * 10 b", "id * 10 + 5000 e", "2L w")
+    made = contract_within(points, "t", spans, "b", "e", "w", ["u"], ("p", "g"))
+    want = Counter()
+    for i in range(n):
+        for j in range(i, min(n, i + 500)):
+            want[j % 3, i % 2] += 2
+    assert {(r.p, r.g): r.v for r in made.df.collect()} == dict(want) and sum(want.values()) > 2 * 370 * n
+    assert made.met.count() < 40 * n
+
+
+@pytest.mark.parametrize("listed", [0, 1 << 16])
+@pytest.mark.parametrize("semiring", ["sum_product", "max_plus", "min_plus", "max_min", "or_and"])
+def test_points_in_intervals_of_mixed_lengths(spark, monkeypatch, semiring, listed):
+    """Full grains and others, long intervals and short ones, free labels and the time itself in the result."""
+    monkeypatch.setattr("modeloom.operators.ranges.LISTED", listed)
+    rng = random.Random(7)
+    points = [(rng.randrange(3), rng.choice([rng.randrange(40_000), rng.randrange(100)]), rng.randrange(2), rng.randint(-3, 5)) for _ in range(500)]
+    spans = [(rng.randrange(3), rng.randrange(2), lo := rng.choice([rng.randrange(40_000), rng.randrange(90)]), lo + rng.choice([1, 3, 60, 64, 512, 30_000]), rng.randint(-3, 3)) for _ in range(200)]
+    p, i = spark.createDataFrame(points, "u long, t long, p long, v long"), spark.createDataFrame(spans, "u long, g long, b long, e long, w long")
+    times = {"sum_product": lambda x, y: x * y, "max_plus": lambda x, y: x + y, "min_plus": lambda x, y: x + y, "max_min": min, "or_and": lambda x, y: int(x != 0 and y != 0)}[semiring]
+    add = {"sum_product": lambda x, y: x + y, "min_plus": min}.get(semiring, max)
+    for out in (("p", "g"), ("u", "g"), ("t", "p"), ()):
+        want = {}
+        for u, t, q, v in points:
+            for uu, g, lo, hi, w in spans:
+                if u == uu and lo <= t < hi:
+                    k = tuple({"u": u, "t": t, "p": q, "g": g}[m] for m in out)
+                    want[k] = add(want[k], times(v, w)) if k in want else times(v, w)
+        made = contract_within(Tensor(p, ("u", "t", "p")), "t", i, "b", "e", "w", ["u"], out, semiring)
+        assert {tuple(r)[:-1]: r.v for r in made.df.collect()} == want
+
+
 @pytest.mark.parametrize("tasks", [1, 4, 17])
 def test_latest_before(spark, tasks):
     """A key with most rows lies in several partitions; keys and times may be null, and times tie."""
