@@ -179,6 +179,25 @@ def test_skewed_results_do_not_depend_on_what_is_found(spark, counters):
         contract_skewed(a, b.as_("q", "j"))
 
 
+@pytest.mark.parametrize("semiring", ["sum_product", "max_plus", "min_plus"])
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_few_frequent_values_make_whole_sums_in_blocks(spark, semiring, kind):
+    """No product is shuffled; rows that occur twice, nulls, and coordinates without a product are as in a plain join."""
+    rng = random.Random(9)
+    rows = lambda n, free: [(rng.choice([None, 0, 0, 1, 2, 5]), rng.choice([None, *range(free)]), rng.choice([None, *range(-4, 5)])) for _ in range(n)]
+    a, b = spark.createDataFrame(rows(300, 60) + [(7, 99, 1)], "k long, i long, v long"), spark.createDataFrame(rows(200, 40), "k long, j long, v long").withColumn("j", F.col("j").cast("string"))
+    a, b = (Tensor(x.withColumn("v", F.col("v").cast(kind)), x.columns[:2]) for x in (a, b))
+    made = contract_skewed(a, b, ("j", "i"), part=20, semiring=semiring)
+    plain = contract(a, b, ("j", "i"), semiring=semiring)
+    assert made.df.schema["v"].dataType == plain.df.schema["v"].dataType
+    assert sorted(map(tuple, made.df.collect()), key=str) == sorted(map(tuple, plain.df.collect()), key=str)
+    plan = plan_of(made.df).split("Initial Plan")[0]
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    with pytest.raises(Exception, match="64 bits"):
+        big = Tensor(spark.createDataFrame([(1, i, 2**40) for i in range(30)], "k long, i long, v long"), ("k", "i"))
+        contract_skewed(big, big.as_("k", "j"), ("i", "j"), part=5).df.collect()
+
+
 # -- intervals and the latest before
 
 
