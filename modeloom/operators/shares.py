@@ -9,7 +9,8 @@ the sorted others.  So no intermediate is larger than the largest possible resul
 
 Shares are chosen from counts: the rows of each operand and of its most frequent values,
 so that no cell is expected to get more than ``CELL_ROWS``, where a frequent value is spread along
-the other labels.
+the other labels.  Where the copies are more than ``COPIED`` rows, none is made: each row is stored once, in the block that the hashes of its
+own labels name, and a cell reads one block of each operand, so what is stored grows with the rows only.
 """
 
 from __future__ import annotations
@@ -21,13 +22,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from modeloom.labels import distinct, merge_extents
+from modeloom.operators.skew import Summary
+from modeloom.sources import scratch
 from modeloom.tensor import Tensor
 
+#: Copies of rows up to which they are sent to cells.
+COPIED = 20_000_000
 #: Rows that a cell is to get at most; partial results that a cell extends at a time; cells are 2 to this power at most.
 CELL_ROWS, CHUNK, MOST = 1_000_000, 1 << 18, 30
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -54,20 +62,39 @@ class Load:
 
 
 def loads(tensors: Sequence[Tensor]) -> list[Load]:
-    """Counts of the operands, by one aggregate over the labels' hashes of all of them."""
-    parts = []
-    for k, t in enumerate(tensors):
-        each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.xxhash64(F.col(m)).alias("h")) for m in t.modes]))
-        parts.append(t.df.select(F.lit(k).alias("k"), each.alias("x")).select("k", "x.m", "x.h"))
-    counts = reduce(DataFrame.unionByName, parts).groupBy("k", "m", "h").count().groupBy("k", "m").agg(F.max("count").alias("hot"), F.sum("count").alias("rows"))
-    found = {(r["k"], r["m"]): r for r in counts.collect()}  # a row for each label of each operand
+    """Counts of the operands, and of the most frequent value of each label by mergeable summaries; no row is shuffled."""
     out = []
-    for k, t in enumerate(tensors):
-        own = {m: found[k, m] for m in t.modes if (k, m) in found}
-        out.append(Load(t.modes, max([r["rows"] for r in own.values()], default=0), {m: r["hot"] for m, r in own.items()}))
+    for t in tensors:
+        found = most_frequent(t.df, t.modes)
+        out.append(Load(t.modes, max([n for n, _ in found.values()], default=0), {m: hot for m, (_, hot) in found.items()}))
     return out
 
 
+def most_frequent(df: DataFrame, labels: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """For each label the number of rows and the most that any value has, as summaries of ``COUNTERS`` values tell (exact if there are no more)."""
+    labels = list(labels)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = [Summary() for _ in labels], 0
+        for batch in batches:
+            n += batch.num_rows
+            for k, summary in enumerate(own):
+                summary.add(batch.column(k).to_numpy())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(labels), pa.array([n] * len(own)), pa.array([s.values for s in own]), pa.array([s.counts for s in own]), pa.array([s.lost for s in own])], ["m", "n", "h", "c", "lost"])
+
+    def merged(t: pa.Table) -> pa.Table:
+        whole, n = Summary(), 0
+        for rows, h, c, lost in zip(*(t[x].to_pylist() for x in ("n", "h", "c", "lost"))):
+            whole.add(np.array(h, np.int64), np.array(c, np.int64))
+            whole.lost += lost
+            n += rows
+        return pa.table({"m": t["m"].slice(0, 1), "n": [n], "hot": [int(whole.counts.max(initial=0)) + whole.lost]})
+
+    made = df.select(*[F.xxhash64(F.col(m)).alias(f"h{k}") for k, m in enumerate(labels)]).mapInArrow(work, "m string, n long, h array<long>, c array<long>, lost long")
+    return {r["m"]: (r["n"], r["hot"]) for r in made.groupBy("m").applyInArrow(merged, "m string, n long, hot long").collect()}  # a row for each label
+
+
 def choose_shares(known: Sequence[Load], least: int = 1, cell_rows: int | None = None) -> dict[str, int]:
     """The share of each label: powers of two with the least expected load for their product, which grows from ``least`` until the load fits."""
     labels = list(dict.fromkeys(m for x in known for m in x.labels))
@@ -111,6 +138,37 @@ def replicated(tensors: Sequence[Tensor], shares: dict[str, int], value: str) ->
     return reduce(DataFrame.unionByName, parts)
 
 
+def once(t: Tensor, shares: dict[str, int], value: str, kinds: dict[str, T.DataType]) -> tuple[str, list[tuple[int, int]]]:
+    """Stores the rows of an operand by blocks of its labels' hashes; the path, and (stride in cells, share) of each axis of its blocks."""
+    axes, block, stride, size = [], F.lit(0).cast("long"), 1, 1
+    for m, s in shares.items():
+        if m in t.modes:
+            block = block + F.pmod(F.xxhash64(F.col(m).cast(kinds[m])), F.lit(s)) * size
+            axes.append((stride, s))
+            size *= s
+        stride *= s
+    path = scratch(t.df.sparkSession, "shares")
+    rows = t.df.where(" and ".join(f"`{m}` is not null" for m in t.modes)).select(block.alias("__block"), *[F.col(m).cast(kinds[m]).alias(m) for m in t.modes], F.col(t.value).cast(value).alias("v"))
+    rows.repartition(size, "__block").write.partitionBy("__block").parquet(path)
+    return path, axes
+
+
+def read_cell(cell: int, stored: Sequence[tuple[str, list[tuple[int, int]]]], schema: pa.Schema) -> pa.Table:
+    """The blocks of a cell, one of each operand."""
+    parts = []
+    for k, (path, axes) in enumerate(stored):
+        block, size = 0, 1
+        for stride, s in axes:
+            block, size = block + cell // stride % s * size, size * s
+        files, folder = fs.FileSystem.from_uri(f"{path}/__block={block}")
+        found = [f.path for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.path.endswith(".parquet")]
+        for f in found:
+            t = pq.ParquetFile(files.open_input_file(f)).read()
+            columns = [pa.array(np.full(t.num_rows, k, np.int32)) if x.name == "which" else t[x.name].cast(x.type) if x.name in t.column_names else pa.nulls(t.num_rows, x.type) for x in schema]
+            parts.append(pa.table(columns, schema=schema))
+    return pa.concat_tables(parts) if parts else schema.empty_table()
+
+
 class Trie:
     """An operand sorted by its labels in one order for all: on each level, the children of a node are neighbours."""
 
@@ -266,6 +324,19 @@ def einsum_shares(tensors: Sequence[Tensor], out: Sequence[str], cell_rows: int
 
     rows = replicated(tensors, shares, value)
     schema = T.StructType([*[T.StructField(m, rows.schema[m].dataType) for m in out], T.StructField("v", T.LongType() if value == "bigint" else T.DoubleType())])
-    met = rows.groupBy("cell").applyInArrow(local, schema)
+    if sum(x.rows * x.copies(shares) for x in known) <= COPIED:
+        met = rows.groupBy("cell").applyInArrow(local, schema)
+    else:
+        kinds = {m: rows.schema[m].dataType for m in shares}
+        stored = [once(t, shares, value, kinds) for t in tensors]
+        held = to_arrow_schema(rows.drop("cell").schema)
+        cells = int(np.prod(list(shares.values())))
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for cell in batch.column(0).to_pylist():
+                    yield from local(read_cell(cell, stored, held)).cast(to_arrow_schema(schema)).combine_chunks().to_batches()
+
+        met = df.sparkSession.range(0, cells, 1, cells).mapInArrow(joined, schema)
     df = met.groupBy(*out).agg(F.sum("v").alias("v")) if out else met.agg(F.coalesce(F.sum("v"), F.lit(0).cast(value)).alias("v"))
     return Tensor(df, out, "v", {m: extents[m] for m in out})

@@ -90,6 +90,26 @@ def test_one_shuffle_of_rows_with_the_copies_that_shares_say(triangle):
     assert plan.count("Exchange hashpartitioning(cell") == 1 and "Join" not in plan and plan.count("Exchange") == 2
 
 
+def test_stored_blocks_give_the_same_as_copies(spark, triangle, monkeypatch):
+    """Where rows would be sent often, each is stored once, in the block of its own labels, and cells read blocks."""
+    import pathlib
+
+    monkeypatch.setattr("modeloom.operators.shares.COPIED", 0)
+    (x, tx), (y, ty), (z, tz) = triangle
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.glob("shares-*"))
+    made = einsum_shares([tx, ty, tz], ("a",), 400)
+    assert {r.a: r.v for r in made.df.collect()} == dict(triangle_sums(x, y, z))
+    tables = set(folder.glob("shares-*")) - before
+    assert sum(spark.read.parquet(str(t)).count() for t in tables) == len(x) + len(y) + len(z)
+    plan = plan_of(made.df)
+    assert "hashpartitioning(cell" not in plan and "Join" not in plan
+    odd = Tensor(spark.createDataFrame([("u", None, 2), (None, 1, 9), ("w", 1, 4)], "a string, b int, v long"), ("a", "b"))
+    other = Tensor(spark.createDataFrame([(1, 10), (1, 5), (2, 7)], "b long, v long"), ("b",))
+    assert {r.a: r.v for r in einsum_shares([odd, other], ("a",)).df.collect()} == {"w": 60}
+    assert einsum_shares([odd, Tensor(other.df.limit(0), ("b",))], ()).df.collect()[0].v == 0
+
+
 def test_a_frequent_value_is_spread_along_the_other_label():
     from modeloom.operators.shares import Load
 
