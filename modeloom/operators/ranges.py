@@ -69,6 +69,7 @@ def contract_within(points: Tensor, at: str, intervals: DataFrame, begin: str, e
 
     ``intervals``: one row each, with the columns ``begin``, ``end``, ``value`` and labels; those in ``by`` must be equal, all others
     are free.  ``out``: which labels stay (default: all but ``at`` and ``by``).  Empty intervals, and rows with a null bound or time, meet nothing.
+    Values are added up by cell before they are multiplied, so a null one counts for nothing beside others.
     """
     labels = [c for c in intervals.columns if c not in (begin, end, value)]
     by = distinct(by, "equal labels")

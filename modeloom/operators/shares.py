@@ -296,7 +296,7 @@ def einsum_shares(tensors: Sequence[Tensor], out: Sequence[str], cell_rows: int
 
     For operands whose labels form cycles; where they form a tree, ``einsum`` sends less.  Rows with a null label
     are left out, rows with equal coordinates are added up; whole numbers are summed as 64-bit integers
-    (an overflow is an error), all others as doubles.
+    (an overflow is an error), all others as doubles.  Blocks, where rows are stored in them, stay in the shared folder as long as the result is read.
     """
     out = distinct(out, "output")
     extents = merge_extents(*[t.extents for t in tensors])
