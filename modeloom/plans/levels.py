@@ -120,14 +120,14 @@ class LevelGraph:
             dag = dag.tasks(max(1, min(self.work_items(), int(session.conf.get("spark.sql.shuffle.partitions")))))
         return dag.execute(persist, release, by)
 
-    def execute_local(self, names: Sequence[str]) -> DataFrame:
+    def execute_local(self, names: Sequence[str], dealt: bool = False) -> DataFrame:
         """The roots as one DataFrame with a column for each, from one shuffle by the one label that is cut; see :func:`modeloom.plans.local.execute_local`."""
         from modeloom.plans.local import execute_local
 
         cut = [m for m, t in self.tiles.tiles.items() if isinstance(t, LabelTile)]
         if len(cut) != 1:
             raise ValueError("a graph is local to one label that is cut")
-        return execute_local(self.dag, cut[0], names)
+        return execute_local(self.dag, cut[0], names, dealt)
 
 
 def _session(node: Node):

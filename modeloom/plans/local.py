@@ -143,9 +143,17 @@ def localised(dag: Dag, by: str) -> tuple[Local, list[Tensor]]:
     return Local(nodes, [h.slot for h in dag.roots]), inputs
 
 
-def execute_local(dag: Dag, by: str, names: Sequence[str]) -> DataFrame:
+def deal(df: DataFrame, by: str) -> DataFrame:
+    """Rows dealt to as many tasks as the session has shuffle partitions by the label ``by``, whole numbers, and in its order there."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).sortWithinPartitions(by)
+
+
+def execute_local(dag: Dag, by: str, names: Sequence[str], dealt: bool = False) -> DataFrame:
     """The roots of a graph as one DataFrame, its labels and a column for each root, from one shuffle by the label ``by``.
 
+    ``dealt``: the table was made row by row of what :func:`deal` returned, so it is not shuffled again; where each value of the
+    label becomes many rows, these are then made in as many tasks as read them and never sent.  Rows out of order are an error.
+
     All inputs with that label are columns of one table over the same labels; their other labels have known extents, and a
     coordinate without a row is a zero.  Roots have the same labels.  Functions of nodes are called with arrays, so they are made of
     operators that columns and arrays share.  A coordinate outside of the extents, or one that occurs twice, is an error.
@@ -182,6 +190,8 @@ def execute_local(dag: Dag, by: str, names: Sequence[str]) -> DataFrame:
             ids = batch.column(0).to_numpy()
             if not len(ids):
                 continue
+            if (np.diff(ids) < 0).any() or (held and held[-1].column(0)[-1].as_py() > ids[0]):
+                raise ValueError(f"rows are not in the order of {by!r}")
             whole = int(np.searchsorted(ids, ids[-1]))  # the last value may go on
             if whole or (held and held[-1].column(0)[-1].as_py() != ids[0]):
                 made = pa.Table.from_batches([*held, batch.slice(0, whole)])
@@ -193,4 +203,4 @@ def execute_local(dag: Dag, by: str, names: Sequence[str]) -> DataFrame:
             yield block(pa.Table.from_batches(held))
 
     rows = frame.select(F.col(by).cast("long").alias(by), *[F.col(m).cast("long").alias(m) for m in inner], *[F.col(v).cast("double").alias(v) for v in values])
-    return rows.repartition(by).sortWithinPartitions(by).mapInArrow(work, schema)
+    return (rows if dealt else rows.repartition(by).sortWithinPartitions(by)).mapInArrow(work, schema)

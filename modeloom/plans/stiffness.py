@@ -8,6 +8,7 @@ element, so the graph runs on whole elements after one shuffle by element.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -51,16 +52,16 @@ def stiffness_graph(fields: DataFrame, element: str, axes: Sequence[str], deriva
     return g.outputs(*forces)
 
 
-def stiffness(fields: DataFrame, element: str, axes: Sequence[str], derivative: Tensor, transposed: Tensor, weights: Tensor) -> DataFrame:
+def stiffness(fields: DataFrame, element: str, axes: Sequence[str], derivative: Tensor, transposed: Tensor, weights: Tensor, dealt: bool = False) -> DataFrame:
     """(element, axes..., f0, f1[, f2]) at all points of each element.
 
     ``fields``: element, axes and columns u<c>, metric m<direction><dimension>, modulus, mu, jac; a
     point without a row is all zeros, one outside of the element or given twice is an error.
     ``derivative``: (point, summed point); ``transposed``: its weighted transpose; ``weights``: (point).
-    ``axes``: reference directions, the first of the metric first.
+    ``axes``: reference directions, the first of the metric first.  ``dealt``: see :func:`modeloom.plans.local.execute_local`.
     """
     graph = stiffness_graph(fields, element, axes, derivative, transposed, weights)
-    return graph.execute_local([f"f{c}" for c in range(len(axes))])
+    return graph.execute_local([f"f{c}" for c in range(len(axes))], dealt)
 
 
 def quadrature(points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +77,7 @@ def quadrature(points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fixture_columns(axes: Sequence[str], element: str = "e", kind: str | None = None) -> Mapping[str, str]:
-    """SQL expressions of smooth, unsymmetric test fields over element and axes; ``kind``: a column that decides the material."""
+    """SQL expressions of smooth, unsymmetric test fields over element and axes; ``kind``: a column that decides the material.  Each term has one decimal factor, of three digits at most."""
     n = len(axes)
     step = " + ".join(f"{0.013 * (k + 1):.3f} * {a}" for k, a in enumerate(axes))
     out = {}
@@ -91,6 +92,11 @@ def fixture_columns(axes: Sequence[str], element: str = "e", kind: str | None =
     return out
 
 
+def in_thousandths(text: str) -> str:
+    """A column of :func:`fixture_columns` as a double: whole thousandths, which Spark adds up much faster than decimals, divided once, so that the value is the same to the last bit."""
+    return f"({re.sub(r'[0-9]+[.][0-9]+', lambda m: str(round(1000 * float(m[0]))), text)}) / 1000D"
+
+
 def stiffness_sql(elements: str, points: int, axes: Sequence[str], element: str = "e", kind: str | None = None) -> str:
     """The same result in plain SQL, for comparison; ``elements``: a relation with the element and the kind."""
     n, lab = len(axes), ", ".join([element, *axes])
@@ -134,6 +140,6 @@ def fixture(elements: DataFrame, points: int, axes: Sequence[str], element: str
     keep = [element, *([kind] if kind else [])]
     rows = elements.select(*keep, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points ** len(axes) - 1).cast("long"))).alias("__at"))
     rows = rows.select(*keep, *split_index(F.col("__at"), dict.fromkeys(axes, points)))
-    fields = rows.select(element, *axes, *[F.expr(f"CAST({x} AS DOUBLE)").alias(k) for k, x in fixture_columns(axes, element, kind).items()])
+    fields = rows.select(element, *axes, *[F.expr(in_thousandths(x)).alias(k) for k, x in fixture_columns(axes, element, kind).items()])
     _, w, h = quadrature(points)
     return fields, constant(spark, h, "a", "b"), constant(spark, (h * w[:, None]).T, "a", "b"), constant(spark, w, "a")

@@ -256,6 +256,44 @@ def test_stiffness_refuses_wrong_coordinates(spark):
     assert some.count() == 3 * 16 and stiffness(fields.limit(0), "e", axes, *matrices).count() == 0
 
 
+@pytest.mark.parametrize("name", ["sem2d_force", "sem3d_force"])
+def test_elements_are_dealt_before_their_points_are_made(spark, name):
+    from modeloom import queries
+
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Sort [") == 1 and 0 < plan.index("Generate") < plan.index("Sort [") < plan.index("Exchange")
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_dealt_elements(spark):
+    """The same forces, to the last bit, as from points that are shuffled; order and repeats are tested."""
+    from modeloom.plans.local import deal
+
+    axes = ["x", "z"]
+    elements = spark.range(0, 4000, 7).select((1000 - F.col("id")).alias("e"), (F.col("id") % 25).cast("int").alias("kind"))
+    fields, *matrices = fixture(elements, 8, axes, kind="kind")
+    dealt = lambda rows: stiffness(fixture(deal(rows, "e"), 8, axes, kind="kind")[0], "e", axes, *matrices, dealt=True)
+    want, got = (x.orderBy("e", *axes).toPandas() for x in (stiffness(fields, "e", axes, *matrices), dealt(elements)))
+    assert len(got) == 572 * 64 and got.equals(want)
+    assert dealt(elements.limit(0)).count() == 0
+    with pytest.raises(Exception, match="occurs twice"):
+        dealt(elements.union(elements.where("e = -1772"))).collect()
+    for rows in (fields.coalesce(1).orderBy(F.desc("e")), fields.coalesce(1).orderBy("x", "z", "e")):
+        with pytest.raises(Exception, match="not in the order of 'e'"):
+            stiffness(rows, "e", axes, *matrices, dealt=True).collect()
+
+
+@pytest.mark.parametrize("axes", [["x", "z"], ["i", "j", "k"]])
+def test_fields_are_those_of_decimals(spark, axes):
+    elements = spark.range(-30, 40).select(F.col("id").alias("e"), (F.col("id") % 25).cast("int").alias("kind"))
+    fields = fixture(elements, 5, axes, kind="kind")[0]
+    columns = fixture_columns(axes, kind="kind")
+    decimals = elements.join(fields.select("e", *axes), "e").select("e", *axes, *[F.expr(f"cast({x} as double)").alias(k) for k, x in columns.items()])
+    got, want = (x.orderBy("e", *axes).toPandas() for x in (fields, decimals))
+    assert len(got) == 70 * 5 ** len(axes) and got.equals(want) and (got.dtypes[list(columns)] == float).all()
+
+
 def test_local_graphs(spark):
     """Hooks, coordinates, shared results, label orders and captured weights, on arrays as on rows."""
     from modeloom.plans.local import columns_of
