@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.llm.common import discard, table, texts_of, written
+from modeloom.llm.common import discard, release, table, texts_of, written
 from modeloom.llm.components import components
 from modeloom.llm.pieces import SPACE, classes, code_points, mix, text_parts, text_slices, tile_hashes
 
@@ -153,6 +153,7 @@ def sign(docs: DataFrame) -> DataFrame:
     def work(batches):
         import hashlib
 
+        release()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in text_slices(texts):

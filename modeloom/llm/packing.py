@@ -22,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.llm.common import table, texts_of, written
+from modeloom.llm.common import release, table, texts_of, written
 from modeloom.llm.pieces import text_slices
 from modeloom.llm.tokens import library_cache, vocabulary
 
+ROWS = 1000  # rows of a batch whose texts are Python strings at a time
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -91,7 +92,8 @@ def cut_pieces(docs: DataFrame, vocab: str, end_id: int, capacity: int) -> DataF
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, number, end = library_cache(vocab), TaskContext.get().partitionId() << 32, np.array([end_id], np.uint32)
-        for rows in batches:
+        release()
+        for rows in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             texts, docs = rows.column(1).to_pylist(), rows.column(0).to_pylist()
             for a, b in text_slices(texts):
                 ids, at = cache.encode_texts(texts[a:b])

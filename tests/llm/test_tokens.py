@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -355,3 +356,18 @@ def test_caches_are_bounded_by_bytes(other):
         ids, _ = encoder.encode_texts([t, t[:900]])
         assert ids.tolist() == whole(t) + whole(t[:900])
         assert encoder.size() <= (1 << 18) + (1 << 20) and 20 * encoder.joined_chars <= bpe.JOINED_BYTES + 20 * 4000
+
+
+def test_a_pool_grows_in_place():
+    """A full pool is never held beside a larger copy of itself."""
+    cache = PieceCache(lambda pieces: [[1] for _ in pieces])
+    values = np.arange(1000, dtype=np.uint32)
+    tracemalloc.start()
+    try:
+        for _ in range(2000):
+            cache.put("text", values)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert cache.pools["text"][: cache.used["text"]].tolist() == values.tolist() * 2000
+    assert peak < 1.3 * cache.pools["text"].nbytes
