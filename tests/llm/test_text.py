@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -320,6 +321,28 @@ def test_merge_and_shards_find_the_same_prefixes(depth):
     assert one.alike(whole[1:], whole[:-1], depth).tolist() == [a == b for a, b in zip(text, text[1:])]
 
 
+def test_a_merge_knows_suffixes_by_their_places():
+    rng = np.random.default_rng(9)
+    shards = [[rng.integers(1, 4, rng.integers(1, 60)).astype(np.uint8) for _ in range(5)] for _ in range(4)]
+    rows = [np.concatenate([np.append(x, np.uint8(0)) for x in shard]) for shard in shards]
+    lengths = [np.array([len(x) for x in shard]) for shard in shards]
+    found = bwt.Merged([bwt.transform(r, n + 1) for r, n in zip(rows, lengths)], lengths, 10)
+    assert found.symbols.tolist() == np.concatenate(rows).tolist()
+    assert (found.at[found.owner] + found.offset).tolist() == list(range(len(found.symbols)))
+
+
+def test_op9_cuts_in_small_arrays():
+    """Cutting takes little memory beside the text and its segments."""
+    data = np.random.default_rng(3).integers(97, 123, 3_000_000).astype(np.uint8)
+    tracemalloc.start()
+    try:
+        segments = substrings.cut(data, np.arange(0, len(data) + 1, 1500))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(segments[0]) > 30_000 and peak < 50 << 20
+
+
 def passages(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(2, 8)))
