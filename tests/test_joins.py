@@ -4,13 +4,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from modeloom.operators import LOG_SUM_EXP, VARIANCE, as_of, combine, contract, contract_best, contract_masked, contract_skewed, contract_within, diagonal, einsum, einsum_shares, moving, reduce_with, stencil, trace
 from modeloom.operators.ranges import cover
 from modeloom.operators.shares import LocalJoin, choose_shares, loads, replicated
-from modeloom.operators.skew import Summary, grid
+from modeloom.operators.skew import Summary, block_products, grid
 from modeloom.operators.sliding import dealt_along
 from modeloom.plans import marginals
 from modeloom.tensor import Tensor
@@ -218,6 +219,31 @@ def test_few_frequent_values_make_whole_sums_in_blocks(spark, semiring, kind):
         contract_skewed(big, big.as_("k", "j"), ("i", "j"), part=5).df.collect()
 
 
+@pytest.mark.parametrize("nulls", [False, True])
+def test_labels_with_equal_rows_share_their_sums(spark, nulls):
+    """Of 20 kinds of labels; more labels of a kind than share a row, and labels that lack a value where ``nulls``."""
+    rows = [(k, i, f"g{i % 3}", None if nulls and (i % 20, k) == (7, 2) else i % 20 * 31 + k * k) for i in range(1500) for k in range(5) if not nulls or i % 20 != k]
+    a = Tensor(spark.createDataFrame(rows, "k long, i long, g string, v long"), ("k", "i", "g"))
+    b = Tensor(spark.createDataFrame([(k, j, v) for k, j, g, v in rows if j < 700], "k long, j long, v long"), ("k", "j"))
+    made, plain = contract_skewed(a, b, ("j", "g", "i"), part=50), contract(a, b, ("j", "g", "i"))
+    total = lambda t: t.df.agg(F.count("*"), F.count("v"), F.sum("v"), F.sum(F.col("v") * (F.col("i") * 31 + F.col("j") * 7 + F.ascii(F.substring("g", 2, 1)))), F.countDistinct("i", "g", "j")).first()
+    assert total(made) == total(plain) and total(made)[0] == total(made)[4] == 1500 * 700
+    block = pa.table({"which": [0] * len(rows) + [1] * len(rows), "k": [r[0] for r in rows] * 2, "i": [r[1] for r in rows] + [None] * len(rows), "j": [None] * len(rows) + [r[1] for r in rows], "v": [r[3] for r in rows] * 2})
+    lists = pa.concat_tables(block_products(block, ["k"], (["i"], ["j"]), "sum_product"))
+    lefts, sums = (np.array(lists[c].combine_chunks().value_lengths()) for c in "iv")
+    assert (lefts * sums).sum() == 1500 * 1500 and lefts.max() <= 64 and sums.max() <= 504
+    assert sums.sum() < 1500 * 1500 / 30  # a sum for each pair of a kind and a label, in a few rows of lists
+
+
+def test_a_written_gram_takes_little_room(spark, tmp_path):
+    """All pairs of 2000 labels whose rows are of 20 kinds: less than half a byte for each of four million rows."""
+    t = Tensor(spark.range(2000).selectExpr("id * 17 i", "explode(sequence(0L, 6L)) k", "1000 + id % 20 * 97 % 53 v").withColumn("v", F.col("v") + F.col("k") * F.col("v") % 11), ("i", "k"))
+    made = contract_skewed(t, t.as_("j", "k"), ("i", "j"), part=50)
+    made.df.write.parquet(str(tmp_path / "gram"))
+    assert spark.read.parquet(str(tmp_path / "gram")).count() == 2000 * 2000
+    assert sum(p.stat().st_size for p in (tmp_path / "gram").glob("*.parquet")) < 2000 * 2000 / 2
+
+
 # -- intervals and the latest before
 
 
