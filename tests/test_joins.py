@@ -239,6 +239,8 @@ def test_a_written_gram_takes_little_room(spark, tmp_path):
     """All pairs of 2000 labels whose rows are of 20 kinds: less than half a byte for each of four million rows."""
     t = Tensor(spark.range(2000).selectExpr("id * 17 i", "explode(sequence(0L, 6L)) k", "1000 + id % 20 * 97 % 53 v").withColumn("v", F.col("v") + F.col("k") * F.col("v") % 11), ("i", "k"))
     made = contract_skewed(t, t.as_("j", "k"), ("i", "j"), part=50)
+    each = [r["count"] for r in made.df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(each) == made.df.rdd.getNumPartitions() and max(each) < 2 * np.median(each)  # a block for each task
     made.df.write.parquet(str(tmp_path / "gram"))
     assert spark.read.parquet(str(tmp_path / "gram")).count() == 2000 * 2000
     assert sum(p.stat().st_size for p in (tmp_path / "gram").glob("*.parquet")) < 2000 * 2000 / 2
